@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,36 @@ def drop_saved(df: DataFrame) -> None:
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sample(rows: DataFrame, stratum: str, most: int, key: str = "doc_id") -> DataFrame:
+    """About ``most`` rows of each stratum at most, chosen by a hash of the key, for fitting a model.
+
+    A stratum with fewer rows is taken whole. Strata must be few: their counts come to the driver.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(stratum).count().collect()}
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000))
+    keep = F.lit(False)
+    for value, n in counts.items():
+        keep = keep | (F.col(stratum).eqNullSafe(F.lit(value)) & (draw < F.lit(int(min(1.0, most / n) * 1_000_000))))
+    return rows.where(keep)
+
+
+def rescale(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve through (score, label), by damped Newton steps with a slight ridge."""
+    if len(x) == 0:
+        return 0.0, -20.0
+    middle, spread = float(x.mean()), float(x.std()) or 1.0
+    ones = np.stack([(x - middle) / spread, np.ones_like(x)], 1)
+    loss = lambda w: np.logaddexp(0, np.where(y > 0, -1, 1) * (ones @ w)).sum() + ridge / 2 * w @ w
+    w = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(ones @ w, -30, 30)))
+        step = np.linalg.solve(ones.T @ (ones * (p * (1 - p))[:, None]) + ridge * np.eye(2), ones.T @ (p - y) + ridge * w)
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-7:
+            break
+    return float(w[0] / spread), float(w[1] - w[0] * middle / spread)
