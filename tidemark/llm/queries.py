@@ -17,7 +17,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(F.col("doc_id"), 5) != 0)
-    scored = toxicity.score(docs, toxicity.fit(docs.join(labels, "doc_id")), held_out)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), held_out)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 

@@ -152,14 +152,16 @@ def weigh(found: pa.Table, toxic: str, clean: str, max_tokens: int) -> tuple[Wei
     return Weights(*kept), rate
 
 
-def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, max_tokens: int = MAX_TOKENS) -> ToxicityModel:
-    """Learn from the rows' text and toxic (1 or 0; rows without are left out), a bounded sample of each.
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, max_tokens: int = MAX_TOKENS) -> ToxicityModel:
+    """Learn from the text of documents and their labels' toxic (1 or 0; others are left out), a bounded sample of each.
 
-    The calibration holds each half of the sample against weights of the other half.
+    The calibration holds each half of the sample against weights of the other half. Labels are sampled before
+    their documents are looked up, so at most the sample is broadcast and no text is shuffled.
     """
-    labelled = rows.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    labelled = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
-    chosen = sample(labelled, "toxic", sample_docs).select("toxic", half, "text")
+    few = sample(labelled, "toxic", sample_docs).limit(4 * sample_docs)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("toxic", half, "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
