@@ -8,9 +8,10 @@ The suffix array is distributed. Windows of ``least`` bytes that are equal have
 ``anchors``), so they meet in the bucket of the anchor's key, and each bucket sorts its own suffixes:
 
 1. keys are counted; those of one document only cannot repeat and go no further,
-2. every other anchor sends the run of bytes that its windows span to the key's bucket, where equal runs are
-   merged, the rest sorted, and previous factors found,
-3. covered spans go back to their documents and are cut out.
+2. every other anchor sends a hash of the run of bytes that its windows span to the key's bucket, where equal
+   runs are merged (the first document keeps its run); a run that is alone with its key ends there,
+3. runs that differ but share a key are sent with their bytes, and previous factors are found among their suffixes,
+4. covered spans go back to their documents and are cut out.
 
 A key or run that many documents share is merged before each shuffle, so that it sends an entry for each task
 and not for each document. Runs of the most frequent keys are cut into their windows, which are dealt by content.
@@ -25,19 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.anchors import anchors
+from tidemark.llm.anchors import KEY_MASK, anchors
 from tidemark.llm.common import binary, partitions, saved
 
-GRAM = 16
+GRAM = 24
 #: Anchors that a task merges at once.
 BLOCK = 1_500_000
 #: Keys whose runs are cut into windows: the most frequent ones, of those in so many documents.
 HOT_KEYS, HOT_DOCS = 100_000, 1_000
-#: Buckets for each shuffle partition.
-BUCKETS = 4
 LAST = (1 << 63) - 1
 SCHEMA = "kind int, dest long, blob binary"
 
@@ -78,9 +77,21 @@ def gather(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True)]
 
 
-def home(doc: np.ndarray, buckets: int) -> np.ndarray:
+def home(doc: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     mixed = doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+    return bucket_of(mixed ^ (mixed >> np.uint64(32)), buckets)
+
+
+def bucket_of(key: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    return buckets[(key % np.uint64(len(buckets))).astype(np.int64)]
+
+
+def even_buckets(spark: SparkSession) -> np.ndarray:
+    """A number for each shuffle partition that hashing deals to that partition, so that each gets one bucket."""
+    n = partitions(spark)
+    numbers = spark.range(n * (12 + n.bit_length())).select("id", F.expr(f"pmod(hash(id), {n})").alias("p"))
+    found = [r["id"] for r in numbers.groupBy("p").agg(F.min("id").alias("id")).collect()]
+    return np.sort(np.array(found, np.int64))
 
 
 def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -110,7 +121,7 @@ def groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def count_keys(texts: list[bytes], docs: np.ndarray, least: int, buckets: int) -> list[tuple[int, int, bytes]]:
+def count_keys(texts: list[bytes], docs: np.ndarray, least: int, buckets: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Kind 0: (key, document, log2 of its documents here) to the key's bucket; kind 1: (document, key) to the document's home."""
     found = list(anchors(texts, least, GRAM))
     if not found:
@@ -129,11 +140,11 @@ def count_keys(texts: list[bytes], docs: np.ndarray, least: int, buckets: int) -
     weight = np.repeat(weight, n)[one]
     every = np.flatnonzero(many)
     every = every[np.argsort(doc[every], kind="stable")]
-    out = dealt(0, (key[one] % np.uint64(buckets)).astype(np.int64), key[one], doc[one], weight)
+    out = dealt(0, bucket_of(key[one], buckets), key[one], doc[one], weight)
     return out + dealt(1, home(doc[every], buckets), doc[every], key[every])
 
 
-def match_keys(blobs: list[bytes], buckets: int) -> list[tuple[int, int, bytes]]:
+def match_keys(blobs: list[bytes], buckets: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Kind 1: (document, key) of what other tasks have too; kind 2: (key, documents) of frequent keys."""
     key, doc, weight = gather(blobs)
     order = np.argsort(key, kind="stable")
@@ -153,7 +164,7 @@ def match_keys(blobs: list[bytes], buckets: int) -> list[tuple[int, int, bytes]]
     return out
 
 
-def runs_of(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, wanted: tuple[np.ndarray, np.ndarray], hot: np.ndarray, least: int, buckets: int) -> list[tuple[int, int, bytes]]:
+def runs_of(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, wanted: tuple[np.ndarray, np.ndarray], hot: np.ndarray, least: int, buckets: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Kind 0: runs of bytes to their buckets; kind 1: spans that an earlier document here covers."""
     width = 2 * least - GRAM
     names = np.unique(np.stack([wanted[0].view(np.uint64), wanted[1]], 1), axis=0)
@@ -182,48 +193,73 @@ def runs_of(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, wanted: tupl
     if not len(row):
         return []
     size = (last - first + least).astype(np.uint8)
+    runs = run_bytes(texts, row, first, size, width)
+    doc, tag = docs[row], tags[row]
+    own = row_hash(runs) ^ size.astype(np.uint64)
+    whole = mark == 255
+    key[whole] = row_hash(runs[whole], 1) & KEY_MASK
+    order = np.lexsort((doc, own, key))
+    key, own, size, doc, tag, whole, first = (a[order] for a in (key, own, size, doc, tag, whole, first))
+    start = groups(key, own)
+    later = doc > np.repeat(doc[start], np.diff(np.r_[start, len(doc)]))
+    out = dealt(1, home(doc[later], buckets), doc[later], tag[later], first[later], first[later] + size[later])
+    sent = np.flatnonzero(~later)
+    sent = sent[np.argsort(doc[sent], kind="stable")]
+    dest = bucket_of(key[sent], buckets)
+    return out + dealt(0, dest, key[sent], own[sent], size[sent], whole[sent].astype(np.uint8), doc[sent], tag[sent], first[sent])
+
+
+def run_bytes(texts: list[bytes], row: np.ndarray, first: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """The runs as rows of a matrix, filled up with zeros."""
     data = np.frombuffer(b"".join(texts) + bytes(width), np.uint8)
     base = np.cumsum([0, *map(len, texts)])
     runs = np.lib.stride_tricks.sliding_window_view(data, width)[base[row] + first].copy()
     runs[np.arange(width) >= size[:, None]] = 0
-    doc, tag = docs[row], tags[row]
-    order, start = classes(runs, size, doc)
-    runs, size, doc, tag, mark, key, first = (a[order] for a in (runs, size, doc, tag, mark, key, first))
-    least_doc = np.repeat(doc[start], np.diff(np.r_[start, len(doc)]))
-    later = doc > least_doc
-    out = dealt(1, home(doc[later], buckets), doc[later], tag[later], first[later], first[later] + size[later])
-    sent = ~later
-    whole = mark[sent] == 255
-    dest = np.where(whole, row_hash(runs[sent]) % np.uint64(buckets), key[sent] % np.uint64(buckets)).astype(np.int64)
-    return out + dealt(0, dest, runs[sent], size[sent], mark[sent], doc[sent], tag[sent], first[sent])
+    return runs
+
+
+def merge_runs(blobs: list[bytes], buckets: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Kind 1: spans of runs that an earlier document has; kind 3: (document, tag, start, size, key) of runs to compare with others of their key."""
+    key, own, size, whole, doc, tag, first = gather(blobs)
+    order = np.lexsort((doc, own, key))
+    key, own, size, whole, doc, tag, first = (a[order] for a in (key, own, size, whole, doc, tag, first))
+    start = groups(key, own)
+    later = doc > np.repeat(doc[start], np.diff(np.r_[start, len(doc)]))
+    spans = np.flatnonzero(later)
+    spans = spans[np.argsort(doc[spans], kind="stable")]
+    out = dealt(1, home(doc[spans], buckets), doc[spans], tag[spans], first[spans], first[spans] + size[spans])
+    by_key = groups(key)
+    n = np.diff(np.r_[by_key, len(key)])
+    several = own[by_key] != np.maximum.reduceat(own, by_key)
+    fine = np.flatnonzero(np.repeat(several, n) & ~later & (whole == 0))
+    fine = fine[np.argsort(doc[fine], kind="stable")]
+    return out + dealt(3, home(doc[fine], buckets), doc[fine], tag[fine], first[fine], size[fine], key[fine])
+
+
+def fetch_runs(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, blobs: list[bytes], least: int, buckets: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Kind 0: the runs' bytes to their keys' buckets."""
+    doc, tag, first, size, key = gather(blobs)
+    place = {(int(d), int(t)): i for i, (d, t) in enumerate(zip(docs, tags, strict=True))}
+    row = np.array([place.get(x, -1) for x in zip(doc.tolist(), tag.tolist(), strict=True)], np.int64)
+    here = np.flatnonzero(row >= 0)
+    row, doc, tag, first, size, key = (a[here] for a in (row, doc, tag, first, size, key))
+    if not len(row):
+        return []
+    runs = run_bytes(texts, row, first, size, 2 * least - GRAM)
+    return dealt(0, bucket_of(key, buckets), runs, size, doc, tag, first)
 
 
-def row_hash(rows: np.ndarray) -> np.ndarray:
+def row_hash(rows: np.ndarray, seed: int = 0) -> np.ndarray:
     padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
     padded[:, : rows.shape[1]] = rows
     words = padded.view(np.uint64)
-    mixed = np.full(len(rows), 0x27D4EB2F165667C5, np.uint64)
+    mixed = np.full(len(rows), 0x27D4EB2F165667C5 + seed, np.uint64)
     for k in range(words.shape[1]):
         mixed = (mixed ^ words[:, k]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def classes(rows: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal rows together, least document first, and where each class starts."""
-    hashed = row_hash(rows) ^ size.astype(np.uint64)
-    order = np.lexsort((doc, hashed))
-    start = groups(hashed[order])
-    same = np.ones(len(order), bool)
-    same[start] = False
-    at = np.flatnonzero(same)
-    if len(at) and ((rows[order[at]] != rows[order[at - 1]]).any() or (size[order[at]] != size[order[at - 1]]).any()):
-        _, number = np.unique(np.c_[rows, size[:, None]], axis=0, return_inverse=True)  # equal hashes of unequal rows
-        order = np.lexsort((doc, number.ravel()))
-        start = groups(number.ravel()[order])
-    return order, start
-
-
 def previous_factors(words: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
     """For each suffix the length, up to ``least``, of its longest match with a suffix of a smaller document.
 
@@ -266,59 +302,39 @@ def previous_factors(words: np.ndarray, doc: np.ndarray, least: int) -> np.ndarr
     return out
 
 
-def find_spans(blobs: list[bytes], least: int, buckets: int) -> list[tuple[int, int, bytes]]:
-    """Kind 1: (document, tag, start, end) of what an earlier document covers."""
-    runs, size, mark, doc, tag, first = gather(blobs)
-    order, start = classes(runs, size, doc)
-    runs, size, mark, doc, tag, first = (a[order] for a in (runs, size, mark, doc, tag, first))
-    count = np.diff(np.r_[start, len(doc)])
-    later = doc > np.repeat(doc[start], count)
-    spans = [(doc[later], tag[later], first[later], first[later] + size[later])]
-    # what is left are the first documents of each class of equal runs; a class alone with its anchor has no one to match
+def find_spans(blobs: list[bytes], least: int, buckets: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Kind 1: (document, tag, start, end) of what an earlier document covers, by the suffixes of all runs."""
+    runs, size, doc, tag, first = gather(blobs)
     wide = runs.shape[1]
-    sliding = np.lib.stride_tricks.sliding_window_view(np.c_[runs[start], np.zeros((len(start), GRAM), np.uint8)], GRAM, axis=1)
-    at = np.minimum(mark[start].astype(np.int64), wide)
-    gram = row_hash(np.ascontiguousarray(sliding[np.arange(len(start)), at]))
-    by = np.argsort(gram, kind="stable")
-    cut = groups(gram[by])
-    together = np.repeat(np.diff(np.r_[cut, len(by)]) > 1, np.diff(np.r_[cut, len(by)]))
-    fine = np.sort(by[together & (mark[start][by] != 255)])
-    if len(fine):
-        rep = start[fine]
-        times = size[rep].astype(np.int64) - least + 1
-        owner = np.repeat(np.arange(len(fine)), times)
-        offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        stride = wide + 8
-        flat = np.zeros(len(fine) * stride + 16, np.uint8)
-        flat[: len(fine) * stride].reshape(len(fine), stride)[:, :wide] = runs[rep]
-        eight = np.ndarray((len(flat) - 8,), ">u8", flat, strides=(1,))
-        words = np.stack([eight[owner * stride + offset + k].astype(np.uint64) for k in range(0, least, 8)], 1)
-        if least % 8:
-            words[:, -1] &= ~np.uint64((1 << (8 * (8 - least % 8))) - 1)
-        hit = np.flatnonzero(previous_factors(words, doc[rep][owner], least) >= least)
-        if len(hit):
-            new = np.r_[True, (owner[hit][1:] != owner[hit][:-1]) | (offset[hit][1:] > offset[hit][:-1] + least)]
-            a = np.flatnonzero(new)
-            b = np.r_[a[1:], len(hit)] - 1
-            who, begin, end = owner[hit][a], offset[hit][a], offset[hit][b] + least
-            # the first document may hold the run several times
-            members = np.add.reduceat((~later).astype(np.int64), start)[fine][who]
-            entry = np.repeat(start[fine][who], members) + np.arange(members.sum()) - np.repeat(np.cumsum(members) - members, members)
-            base = first[entry]
-            spans.append((doc[entry], tag[entry], base + np.repeat(begin, members), base + np.repeat(end, members)))
-    found = [np.concatenate(x) for x in zip(*spans, strict=True)]
-    return dealt(1, home(found[0], buckets), *found)
+    times = size.astype(np.int64) - least + 1
+    owner = np.repeat(np.arange(len(runs)), times)
+    offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    stride = wide + 8
+    flat = np.zeros(len(runs) * stride + 16, np.uint8)
+    flat[: len(runs) * stride].reshape(len(runs), stride)[:, :wide] = runs
+    eight = np.ndarray((len(flat) - 8,), ">u8", flat, strides=(1,))
+    words = np.stack([eight[owner * stride + offset + k].astype(np.uint64) for k in range(0, least, 8)], 1)
+    if least % 8:
+        words[:, -1] &= ~np.uint64((1 << (8 * (8 - least % 8))) - 1)
+    hit = np.flatnonzero(previous_factors(words, doc[owner], least) >= least)
+    if not len(hit):
+        return []
+    a = np.flatnonzero(np.r_[True, (owner[hit][1:] != owner[hit][:-1]) | (offset[hit][1:] > offset[hit][:-1] + least)])
+    who, begin, end = owner[hit][a], offset[hit][a], offset[hit][np.r_[a[1:], len(hit)] - 1] + least
+    return dealt(1, home(doc[who], buckets), doc[who], tag[who], first[who] + begin, first[who] + end)
 
 
 def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (start, end of the removed bytes), kept (the bytes that stay) of every row.
+    """doc_id, n_bytes, n_removed, spans (start, end of the removed bytes), kept (the bytes that stay), text of every row.
+
+    ``text`` is what stays, less the bytes of characters that were cut in two.
 
     Texts are taken as UTF-8 bytes, null as none, and matches never cross documents. A null id comes after all
     others. Rows with the same id do not remove each other's passages. Texts under ``least`` bytes keep all; a
     table without rows gives one.
     """
     spark = docs.sparkSession
-    buckets = BUCKETS * partitions(spark)
+    buckets = even_buckets(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def ids(column: pa.Array) -> np.ndarray:
@@ -347,20 +363,27 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
         if texts:
             yield batch_of(count_keys(texts, np.concatenate(doc), least, buckets))
 
-    def collected(work):
-        """Kind 0 goes to ``work`` once the partition is read; the rest passes."""
+    def buckets_of(df: DataFrame, work) -> DataFrame:
+        """Each bucket's blobs of kind 0 go to ``work``, one bucket at a time; other kinds pass."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blobs: list[bytes] = []
+            bucket = None
             for batch in batches:
-                mine = np.array(batch.column(0).to_pylist()) == 0 if batch.num_rows else np.zeros(0, bool)
-                blobs += batch.column(2).filter(pa.array(mine)).to_pylist()
-                if not mine.all():
-                    yield batch.filter(pa.array(~mine))
-            if blobs and (rows := work(blobs)):
-                yield batch_of(rows)
-
-        return run
+                kinds, dests = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                if (kinds != 0).any():
+                    yield batch.filter(pa.array(kinds != 0))
+                mine = np.flatnonzero(kinds == 0)
+                for dest, blob in zip(dests[mine].tolist(), batch.column(2).take(pa.array(mine)).to_pylist(), strict=True):
+                    if dest != bucket and blobs:
+                        yield batch_of(work(blobs))
+                        blobs = []
+                    bucket = dest
+                    blobs.append(blob)
+            if blobs:
+                yield batch_of(work(blobs))
+
+        return df.repartition("dest").sortWithinPartitions("dest").mapInArrow(run, SCHEMA)
 
     def texts_of(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         expand = zstandard.ZstdDecompressor().decompress
@@ -374,6 +397,13 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
             out = runs_of(texts, doc, tag, tuple(gather(right.column("blob").to_pylist())), frequent.value, least, buckets)
         return pa.Table.from_batches([batch_of(out)])
 
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, bytes]] = []
+        if left.num_rows and right.num_rows:
+            doc, texts, tag = texts_of(left)
+            out = fetch_runs(texts, doc, tag, right.column("blob").to_pylist(), least, buckets)
+        return pa.Table.from_batches([batch_of(out)])
+
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         doc, texts, tag = texts_of(left)
         spans = {}
@@ -395,22 +425,25 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
                 "n_removed": pa.array([len(x) - len(k) for x, k in zip(texts, kept, strict=True)], pa.int64()),
                 "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in own], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 "kept": pa.array(kept, pa.binary()),
+                "text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()),
             }
         )
 
     packed = rows.mapInArrow(compress, "dest long, doc_id long, z binary")
-    counted = rows.mapInArrow(keys, SCHEMA).repartition("dest").mapInArrow(collected(lambda b: match_keys(b, buckets)), SCHEMA)
-    counted = saved(counted)
+    counted = saved(buckets_of(rows.mapInArrow(keys, SCHEMA), lambda b: match_keys(b, buckets)))
     often = [unpack(bytes(r["blob"])) for r in counted.where("kind = 2").select("blob").toLocalIterator()]
     hot = np.zeros(0, np.uint64)
     if often:
         key, total = (np.concatenate(x) for x in zip(*often, strict=True))
         hot = np.sort(key[np.argsort(-total, kind="stable")[:HOT_KEYS]])
     frequent = spark.sparkContext.broadcast(hot)
-    runs = packed.groupBy("dest").cogroup(counted.where("kind = 1").select("dest", "blob").groupBy("dest")).applyInArrow(fetch, SCHEMA)
-    spans = runs.repartition("dest").mapInArrow(collected(lambda b: find_spans(b, least, buckets)), SCHEMA).select("dest", "blob")
+    shared = counted.where("kind = 1").select("dest", "blob").groupBy("dest")
+    runs = buckets_of(packed.groupBy("dest").cogroup(shared).applyInArrow(fetch, SCHEMA), lambda b: merge_runs(b, buckets))
+    unlike = runs.where("kind = 3").select("dest", "blob").groupBy("dest")
+    factors = buckets_of(packed.groupBy("dest").cogroup(unlike).applyInArrow(compare, SCHEMA), lambda b: find_spans(b, least, buckets))
+    spans = runs.where("kind = 1").union(factors).select("dest", "blob")
     return packed.groupBy("dest").cogroup(spans.groupBy("dest")).applyInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
+        cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary, text string"
     )
 
 
