@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tidemark.plans import search_queries
+
 FLAGSHIP = "hybrid_union_rerank"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+_SPECS = search_queries.SPECS
+QUERIES = {name: query for name, (query, _) in _SPECS.items()}
+ORACLES: dict[str, str] = {name: sql for name, (_, sql) in _SPECS.items() if sql}
