@@ -40,7 +40,7 @@ def classify(pages: DataFrame, catalog: DataFrame, url: str = "url") -> DataFram
     by_host = rules.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("id", "rank", "rule", "kind"))).alias("rules"))
     keyed = pages.withColumn("h", urls.host(F.col(url))).withColumn("p", urls.path(F.col(url)))
     looks = F.lower(F.col("p")).endswith(".xml") | F.lower(F.col("p")).contains("sitemap")
-    fits = lambda r: F.when(r["rank"] == -1, looks).when(r["rank"] == 0, p == r["rule"]).otherwise(F.col("p").rlike(r["rule"]))
+    fits = lambda r: F.when(r["rank"] == -1, looks).when(r["rank"] == 0, p == r["rule"]).otherwise(F.rlike("p", r["rule"]))
     joined = keyed.join(F.broadcast(by_host), keyed["h"] == by_host["host"], "left").drop("host")
     hits = F.filter(F.coalesce("rules", F.array()), fits)
     best = F.coalesce(F.get(F.filter(hits, lambda r: r["rank"] == -1), 0), F.get(hits, 0))
@@ -164,7 +164,7 @@ def allowed(requests: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     mine = rules.withColumn("specific", specific).where("specific is not null")
     best = mine.groupBy("host").agg(F.max("specific").alias("specific"))
     own = mine.join(best, ["host", "specific"]).where("pattern is not null").groupBy("host").agg(F.collect_set(F.struct("allow", "pattern", rule_pattern(F.col("pattern")).alias("re"))).alias("rules"))
-    hit = F.filter(F.coalesce("rules", F.array()), lambda r: F.col("path").rlike(r["re"]))
+    hit = F.filter(F.coalesce("rules", F.array()), lambda r: F.rlike("path", r["re"]))
     longest = F.array_max(F.transform(hit, lambda r: F.struct(F.length(r["pattern"]).alias("n"), r["allow"].alias("allow"))))
     return requests.join(own, "host", "left").withColumn("allowed", F.coalesce(longest["allow"], F.lit(True))).drop("rules")
 

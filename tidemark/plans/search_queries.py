@@ -151,6 +151,7 @@ def _bm25(fields: dict[str, float], where: str, terms: int) -> str:
 
 _BOTH = "CASE WHEN token IN ('the', 'with') THEN token END"
 _PREFIX = "CASE WHEN token = 'the' THEN token WHEN starts_with(token, 'wi') THEN 'wi*' END"
+_WITH = "CASE WHEN token = 'the' THEN token WHEN starts_with(token, 'with') THEN 'with*' END"
 _TOP = "SELECT doc_id, round(score, 6) AS score FROM {0} ORDER BY {0}.score DESC, doc_id LIMIT 10"
 _COS = "cos AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, qv)"
 _ALL = f"(len(list_intersect({_TOKENS.format('content')}, ['the', 'with'])) = 2)"
@@ -200,7 +201,7 @@ SPECS = {
     ),
     "search_api": (
         search_api,
-        f"""WITH {_bm25(WEIGHTS, _BOTH, 2)}, k AS (SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 10),
+        f"""WITH {_bm25(WEIGHTS, _WITH, 2)}, k AS (SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 10),
         c AS (SELECT doc_id, score, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS t FROM k JOIN docs USING (doc_id)), hh AS (SELECT *, instr(lower(t), 'the with') AS hit FROM c),
         w AS (SELECT *, greatest(1, hit - 66) AS s FROM hh), e AS (SELECT *, least(length(t), s + 199) AS e FROM w)
         SELECT doc_id, CASE WHEN hit > 0 THEN CASE WHEN s > 1 THEN '…' ELSE '' END || trim(substr(t, s, e - s + 1)) || CASE WHEN e < length(t) THEN '…' ELSE '' END
