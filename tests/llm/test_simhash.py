@@ -76,3 +76,23 @@ def test_empty_table_repeated_rows_and_clashing_columns(spark):
     out = simhash.near_duplicates(docs)
     assert sorted(map(str, (r["doc_id"] for r in out.collect()))) == ["7", "7", "None"]
     assert out.where(F.col("component_id") == 7).count() == 3
+
+
+def test_several_fingerprints_find_copies_with_edits(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(2000)]
+    rows, group = [], {}
+    for i in range(30):
+        base = list(rng.choice(words, 300))
+        for k in range(3):
+            copy = list(base)
+            for at in rng.choice(300, k, replace=False):
+                copy[at] = "edited"
+            group[len(rows)] = i
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    assert len(out) == len(rows) and out[901] == 900
+    assert all(group[out[i]] == g for i, g in group.items())
+    assert sum(out[i] == 3 * g for i, g in group.items()) >= 0.95 * len(group)
