@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def doubles(v: Column) -> Column:
@@ -64,4 +65,4 @@ def pack(vectors: DataFrame, vector: str, packed: str) -> DataFrame:
             made = [None if v is None else np.asarray(v, "<f4").tobytes() for v in batch.column(vector).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, packed])
 
-    return vectors.mapInArrow(run, vectors.schema.add(packed, "binary"))
+    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, T.StructField(packed, T.BinaryType())]))

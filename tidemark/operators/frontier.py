@@ -150,7 +150,7 @@ def request_rate(rate: Column) -> Column:
 def rule_pattern(rule: Column) -> Column:
     """A robots path pattern as a regular expression: * is anything, a $ at the end is the end."""
     quoted = F.regexp_replace(rule, r"([.+?^(){}\[\]|\\])", r"\\$1")
-    open_ = F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\$(?!$)", r"\\$")
+    open_ = F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\$(?!$)", r"\\\$")
     return F.concat(F.lit("^"), open_)
 
 
