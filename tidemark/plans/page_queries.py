@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import dom
+from tidemark.operators import dom, extraction
+from tidemark.sources import tables
 from tidemark.sources.tables import table
 
 
@@ -94,3 +95,81 @@ SPECS = {
     "heuristic_select": (heuristic_select, None),
     "mlp_select": (mlp_select, None),
 }
+
+
+def css_selectors(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.selectors(pages(spark, d))
+
+
+def extract_documents(spark: SparkSession, d: str) -> DataFrame:
+    rows = pages(spark, d).select("page_id", "html", F.lit("2024-01-01").cast("timestamp").alias("scraped_at"))
+    out = extraction.extract(rows)
+    return out.select("page_id", "error", F.col("title.text").alias("title"), F.length("body.text").alias("body"), F.col("date.text").alias("date"), F.col("byline.text").alias("byline"), "published")
+
+
+def tightest_heading(spark: SparkSession, d: str) -> DataFrame:
+    found = extraction.tightest(dom.nodes_of(pages(spark, d)), F.col("tag").isin("h1", "article"))
+    return found.join(dom.nodes_of(pages(spark, d)).select("page_id", "node_id", "tag"), ["page_id", "node_id"]).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def title_variants(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("The name of "), F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, " | Site").otherwise(" - Some Blog")).alias("t"))
+    return rows.select("c_custkey", F.concat_ws(";", extraction.title_variants(F.col("t"))).alias("variants"))
+
+
+def title_rerank(spark: SparkSession, d: str) -> DataFrame:
+    rows = dom.documents_of(pages(spark, d)).select("page_id", "title", F.substring("content", 1, 40).alias("start"))
+    better = extraction.better_title(F.col("start"), extraction.title_variants(F.col("title")), F.col("title"))
+    return rows.select("page_id", (better == F.col("title")).alias("reranked"))
+
+
+def date_selection(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("page_id"), F.col("o_orderkey").alias("node_id"), F.date_format(F.date_trunc("month", F.col("o_orderdate").cast("timestamp")), "'on' MMMM d, yyyy").alias("text"))
+    return extraction.pick_date(o)
+
+
+def boundary_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select((F.col("o_orderkey") % 5).alias("gold"), (F.col("o_orderkey") % 3).alias("before"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderkey") % 5).alias("after"))
+    return extraction.boundary_report(rows)
+
+
+def folded_tokens(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    return extraction.folded_tokens(rows, "text", "tokens").select("doc_id", F.size("tokens").alias("n"))
+
+
+def label_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.col("source").alias("page_id"), F.col("doc_id").alias("node_id"), "text")
+    return extraction.rank_for_labels(rows, F.col("node_id") % 10, 20, 30_000).select("page_id", "node_id", "rank")
+
+
+def manifest_check(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest with the pages' hashes, some of them broken, and the rules that its rows break."""
+    digest = F.when(F.col("page_id") % 10 == 0, "none").otherwise(F.sha2("html", 256))
+    rows = pages(spark, d).select(F.col("page_id").cast("string").alias("page_id"), "url", digest.alias("html_hash"))
+    return tables.checked(rows, {"html_hash": F.col("html_hash").rlike("^[0-9a-f]{64}$")}).groupBy(F.concat_ws(",", "errors").alias("errors")).agg(F.count("*").alias("n"))
+
+
+SPECS |= {
+    "css_selectors": (css_selectors, None),
+    "extract_documents": (extract_documents, None),
+    "tightest_heading": (tightest_heading, "SELECT 'h1' AS tag, count(*) AS n FROM pages"),
+    "title_variants": (title_variants, "SELECT c_custkey, 'The name of ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN ' | Site' ELSE ' - Some Blog' END || ';The name of ' || c_name AS variants FROM customer"),
+    "title_rerank": (title_rerank, None),
+    "date_selection": (
+        date_selection,
+        "WITH g AS (SELECT o_custkey % 50 AS page_id, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS iso, count(*) AS n, min(o_orderkey) AS node_id FROM orders GROUP BY ALL) SELECT page_id, iso, node_id FROM g QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, node_id) = 1",
+    ),
+    "boundary_report": (
+        boundary_report,
+        """WITH r AS (SELECT o_orderkey % 5 AS g, o_orderkey % 3 AS b, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 5 END AS a FROM orders)
+        SELECT count(*) AS n, sum((b IS DISTINCT FROM a)::INT)::BIGINT AS changed, sum((a IS NOT DISTINCT FROM g AND b <> g)::INT)::BIGINT AS fixed, sum((b = g AND a IS DISTINCT FROM g)::INT)::BIGINT AS broken FROM r""",
+    ),
+    "folded_tokens": (folded_tokens, "SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))::INT AS n FROM documents"),
+    "label_candidates": (
+        label_candidates,
+        """WITH r AS (SELECT source AS page_id, doc_id AS node_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id % 10 DESC, doc_id) AS rank FROM documents QUALIFY rank <= 20),
+        u AS (SELECT *, sum(n) OVER (PARTITION BY page_id ORDER BY rank) AS used FROM r) SELECT page_id, node_id, rank::INT AS rank FROM u WHERE used <= 30000""",
+    ),
+    "manifest_check": (manifest_check, "SELECT CASE WHEN page_id % 10 = 0 THEN 'html_hash' ELSE '' END AS errors, count(*) AS n FROM pages GROUP BY 1"),
+}
