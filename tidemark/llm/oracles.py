@@ -33,4 +33,29 @@ SELECT doc_id, size, source_size, target,
 FROM run
 """
 
-ORACLES: dict[str, str] = {"op5_mixing": _MIX}
+#: Bytes as pairs of hexadecimal digits; every window of 50 bytes with the smallest document that has it.
+_SUFFIX = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, q, md5_number(substr(h, (2 * q + 1)::BIGINT, 100)) AS k
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 49))) AS q FROM d)
+), f AS (
+  SELECT k, min(doc_id) AS first FROM w GROUP BY k
+), c AS (
+  SELECT doc_id, q, max(q + 50) OVER (PARTITION BY doc_id ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+  FROM w JOIN f USING (k) WHERE first < doc_id
+), g AS (
+  SELECT doc_id, q, sum(CASE WHEN reach IS NULL OR q > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY q) AS run FROM c
+), s AS (
+  SELECT doc_id, run, min(q) AS a, max(q) + 50 AS b FROM g GROUP BY doc_id, run
+), cuts AS (
+  SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE list_aggregate(list_transform(range(0, len(starts) + 1),
+    lambda i: substr(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE ends[i] END) + 1, 2 * ((CASE WHEN i = len(starts) THEN len(h) // 2 ELSE starts[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE ends[i] END)))), 'string_agg', '') END)) AS kept_sha256
+FROM d LEFT JOIN cuts USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op5_mixing": _MIX, "op6_suffix": _SUFFIX}
