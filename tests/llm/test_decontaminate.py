@@ -79,3 +79,8 @@ def test_nulls_short_items_repeats_and_empty_tables(spark):
     assert sorted(str(r["doc_id"]) for r in out) == ["3", "3", "5", "None"]
     assert {r["item_id"] for r in out} == {0}
     assert run(spark, [], items) == {} == run(spark, docs, [])
+
+
+def test_texts_without_any_candidate():
+    searcher = d.build([0], ["some words that make up a benchmark item of fair length and more"])
+    assert searcher.search([b"nothing alike", b""]) == [] == searcher.search([])

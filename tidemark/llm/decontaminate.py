@@ -25,11 +25,11 @@ RECALL = 0.95
 #: Items with fewer words are not looked for: they are found in clean text.
 MIN_WORDS = 5
 #: Steps that a table samples, tables of one walk, walks at most.
-SAMPLES, TABLES, WALKS = 3, 8, 4
+SAMPLES, TABLES, WALKS = 3, 16, 4
 #: Steps of a walk at most; a bit of a 64-bit hash decides each.
-STEPS = 48
-#: Bytes that are split at once, windows whose walks advance together.
-PIECE, TOGETHER = 1 << 18, 1 << 14
+STEPS = 32
+#: Bytes that are split at once, windows whose walks advance together, words whose candidates are verified together.
+PIECE, TOGETHER, HELD = 1 << 18, 1 << 14, 1 << 20
 #: Words of items that one pass over the documents looks for.
 PASS_WORDS = 2_000_000
 
@@ -117,7 +117,7 @@ class Searcher:
                 continue
             held.append((i, tokens))
             size += len(tokens)
-            if size >= 4 * TOGETHER:
+            if size >= HELD:
                 found += self._search(held)
                 held, size = [], 0
         return found + (self._search(held) if held else [])
@@ -128,7 +128,7 @@ class Searcher:
         sizes = np.array([len(t) for _, t in held])
         base = np.cumsum(np.r_[0, sizes[:-1] + len(pad)])
         windows = np.concatenate([np.arange(b, b + n) for b, n in zip(base, sizes, strict=True)])
-        pairs = self.candidates(flat, windows)
+        pairs = self.likely(flat, self.candidates(flat, windows))
         if not len(pairs):
             return []
         out = []
@@ -151,7 +151,7 @@ class Searcher:
                 place = windows[at : at + TOGETHER]
                 for c, t, keys in walk(symbols, place, self.classes, w):
                     c = self.classes[c]
-                    near = np.flatnonzero(c.maps[w][t][keys >> np.uint64(c.shift)])
+                    near = np.flatnonzero(c.maps[w][t].take((keys >> np.uint64(c.shift)).view(np.int64)))
                     if not len(near):
                         continue
                     own, wanted = c.keys[w][t], keys[near]
@@ -162,6 +162,27 @@ class Searcher:
                         found.append(np.stack([np.repeat(place[near], n), c.owners[w][t][hit]], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
+    def allowed(self, item: np.ndarray) -> int:
+        """Edits of an item at most."""
+        return int(len(item) * (1 - self.similarity) + 1e-9)
+
+    def likely(self, flat: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Pairs around whose window enough words are the item's: each word that edits keep is."""
+        if not len(pairs):
+            return pairs
+        pairs = pairs[np.argsort(pairs[:, 1], kind="stable")]
+        cut = np.flatnonzero(np.r_[True, pairs[1:, 1] != pairs[:-1, 1]])
+        kept = []
+        for a, b in zip(cut.tolist(), np.r_[cut[1:], len(pairs)].tolist(), strict=True):
+            item = self.items[int(pairs[a, 1])]
+            most = self.allowed(item)
+            around = np.clip(pairs[a:b, :1] + np.arange(-most - 1, len(item) + most + 1), 0, len(flat) - 1)
+            own = np.sort(item)
+            near = flat[around]
+            same = own[np.minimum(np.searchsorted(own, near), len(own) - 1)] == near
+            kept.append(pairs[a:b][same.sum(axis=1) >= len(item) - most])
+        return np.concatenate(kept)
+
     def reaches(self, item: int, tokens: np.ndarray) -> bool:
         flat = np.r_[tokens, np.full(STEPS + 1, PAD)]
         return bool((self.candidates(flat, np.arange(len(tokens)))[:, 1] == item).any())
@@ -169,11 +190,8 @@ class Searcher:
     def verify(self, tokens: np.ndarray, starts: np.ndarray, item: np.ndarray) -> tuple[int, int, int] | None:
         """The place near the starts with the fewest edits, if few enough."""
         n = len(item)
-        most = int(n * (1 - self.similarity) + 1e-9)
+        most = self.allowed(item)
         slack = most + 1
-        there = np.r_[0, np.cumsum(np.isin(tokens, item))]
-        low, high = np.maximum(0, starts - slack), np.minimum(len(tokens), starts + n + slack)
-        starts = starts[there[high] - there[low] >= n - most]  # each word kept is one of the item's
         best = None
         at = 0
         while at < len(starts):
@@ -202,12 +220,16 @@ def walk(symbols: np.ndarray, start: np.ndarray, classes: list[Class], w: int) -
     for step in range(max(due, default=-1) + 1):
         np.take(symbols, place, out=here)
         for ct in due.get(step, ()):
-            keys[ct] = here.copy() if ct not in keys else keys[ct] * _BASE + here
+            if (key := keys.get(ct)) is None:
+                keys[ct] = here.copy()
+            else:
+                key *= _BASE
+                key += here
         np.right_shift(here, np.uint64(step), out=bit)
         np.bitwise_and(bit, np.uint64(1), out=bit)
         place += bit.view(np.int64)
     for (c, t), key in keys.items():
-        yield c, t, mix(key)
+        yield c, t, key
 
 
 def place(item: np.ndarray, tokens: np.ndarray) -> tuple[int, int, int]:
