@@ -121,3 +121,49 @@ def first_of(requests: DataFrame, key: Column) -> DataFrame:
     from pyspark.sql import Window
 
     return requests.withColumn("created", F.row_number().over(Window.partitionBy(key).orderBy("ts", "event_id")) == 1)
+
+
+def grant(runs: DataFrame, origins: DataFrame, now: Column, most: int) -> DataFrame:
+    """run_key, origin of the fetch runs that may start now; a micro-batch's claim, for ``foreachBatch``.
+
+    An origin gives runs while it is past its next allowed time and its backoff and has slots left, one for each
+    call if it has an interval; of all origins' offers the first by due time and run are granted, up to the slots that
+    are left in the whole. ``runs`` has run_key, origin, state, due_ms; ``origins`` has origin, next_ms, backoff_ms,
+    interval_ms, in_flight, max_in_flight.
+    """
+    from pyspark.sql import Window
+
+    open_ = origins.where(now >= F.greatest("next_ms", "backoff_ms")).withColumn("slots", F.col("max_in_flight") - F.col("in_flight"))
+    slots = open_.select("origin", F.when(F.col("interval_ms") > 0, F.least(F.lit(1), F.col("slots"))).otherwise(F.col("slots")).alias("slots")).where("slots > 0")
+    due = runs.where((F.col("state") == "queued") & (F.col("due_ms") <= now)).join(slots, "origin")
+    turn = F.row_number().over(Window.partitionBy("origin").orderBy("due_ms", "run_key"))
+    left = most - (origins.agg(F.coalesce(F.sum("in_flight"), F.lit(0))).first()[0] or 0)
+    return due.withColumn("turn", turn).where("turn <= slots").orderBy("due_ms", "run_key").limit(max(0, int(left))).select("run_key", "origin")
+
+
+def reserve(origins: DataFrame, granted: DataFrame, now: Column) -> DataFrame:
+    """Origins after a grant: slots taken, and the next allowed time an interval ahead."""
+    n = granted.groupBy("origin").agg(F.count("*").alias("granted"))
+    taken = F.coalesce("granted", F.lit(0))
+    return origins.join(n, "origin", "left").select(
+        "origin", F.when(taken > 0, now + F.col("interval_ms")).otherwise(F.col("next_ms")).alias("next_ms"), "backoff_ms", "interval_ms", (F.col("in_flight") + taken).alias("in_flight"), "max_in_flight"
+    )
+
+
+def configure(origins: DataFrame, limits: DataFrame, now: Column) -> DataFrame:
+    """New limits for some origins; the next allowed time never moves back, and reserves from now if asked."""
+    new = limits.select("origin", F.col("interval_ms").alias("i"), F.col("max_in_flight").alias("m"), F.col("reserve_from_now").alias("r"))
+    return origins.join(new, "origin", "left").select(
+        "origin",
+        F.when(F.col("r"), F.greatest(F.col("next_ms"), now + F.coalesce("i", "interval_ms"))).otherwise(F.col("next_ms")).alias("next_ms"),
+        "backoff_ms",
+        F.coalesce("i", "interval_ms").alias("interval_ms"),
+        "in_flight",
+        F.coalesce("m", "max_in_flight").alias("max_in_flight"),
+    )
+
+
+def requeue(runs: DataFrame, states: tuple[str, ...], now: Column) -> DataFrame:
+    """Runs in the given states are queued again as new."""
+    again = F.col("state").isin(*states)
+    return runs.withColumn("due_ms", F.when(again, now).otherwise(F.col("due_ms"))).withColumn("state", F.when(again, "queued").otherwise(F.col("state")))

@@ -122,6 +122,28 @@ def queue_snapshot_sample(spark: SparkSession, d: str) -> DataFrame:
     return Q.snapshot(order_runs(spark, d), F.lit(NOW), 40).select("run_key", "state", "rank")
 
 
+def fetch_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    runs = order_runs(spark, d).withColumn("origin", (F.col("run_key").cast("long") % 40).cast("string"))
+    k = F.col("n_nationkey") * 1
+    origins = table(spark, d, "nation").select(
+        k.cast("string").alias("origin"), (k * 60).cast("long").alias("next_ms"), F.when(k % 7 == 3, 5000).otherwise(0).cast("long").alias("backoff_ms"), (k % 3 * 100).cast("long").alias("interval_ms"), (k % 4).cast("long").alias("in_flight"), F.lit(5).cast("long").alias("max_in_flight")
+    )
+    return runs, origins
+
+
+def fetch_grants(spark: SparkSession, d: str) -> DataFrame:
+    return Q.grant(*fetch_tables(spark, d), F.lit(NOW), 60)
+
+
+def fetch_origins(spark: SparkSession, d: str) -> DataFrame:
+    runs, origins = fetch_tables(spark, d)
+    return Q.reserve(origins, Q.grant(runs, origins, F.lit(NOW), 60), F.lit(NOW).cast("long")).select("origin", "next_ms", "in_flight")
+
+
+def requeue_failed(spark: SparkSession, d: str) -> DataFrame:
+    return Q.counts(Q.requeue(order_runs(spark, d), ("failed",), F.lit(NOW)), F.lit(NOW))
+
+
 def latency_histogram(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.histogram(events(spark, d), "value")
 
@@ -226,6 +248,11 @@ _TURNS = f"t AS ({_T}), p AS (SELECT x.conv_id, x.turn, x.a, y.a AS b FROM t x J
 _MS = "(epoch_us(ts) // 1000)"
 _LABELLED = "j AS (SELECT l.*, d.lang, d.source FROM labels l JOIN documents d USING (doc_id))"
 _RUNS = "r AS (SELECT o_orderkey::VARCHAR AS run_key, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'P' THEN 'leased' ELSE 'queued' END AS state, o_orderkey % 2000 AS due_ms FROM orders)"
+_GRANTS = f"""{_RUNS}, o AS (SELECT n_nationkey::VARCHAR AS origin, n_nationkey * 60 AS next_ms, CASE WHEN n_nationkey % 7 = 3 THEN 5000 ELSE 0 END AS backoff_ms, n_nationkey % 3 * 100 AS interval_ms, n_nationkey % 4 AS in_flight FROM nation),
+ s AS (SELECT origin, CASE WHEN interval_ms > 0 THEN least(1, 5 - in_flight) ELSE 5 - in_flight END AS slots FROM o WHERE greatest(next_ms, backoff_ms) <= 1000),
+ t AS (SELECT run_key, (run_key::BIGINT % 40)::VARCHAR AS origin, due_ms FROM r WHERE state = 'queued' AND due_ms <= 1000),
+ k AS (SELECT t.*, slots, row_number() OVER (PARTITION BY origin ORDER BY due_ms, run_key) AS turn FROM t JOIN s USING (origin)),
+ g AS (SELECT run_key, origin FROM (SELECT *, row_number() OVER (ORDER BY due_ms, run_key) AS r FROM k WHERE turn <= slots) WHERE r <= 60 - (SELECT sum(in_flight) FROM o))"""
 
 SPECS = {
     "relative_date_resolve": (
@@ -265,6 +292,12 @@ SPECS = {
         queue_snapshot_sample,
         f"WITH {_RUNS}, k AS (SELECT *, CASE state WHEN 'leased' THEN 0 WHEN 'queued' THEN CASE WHEN due_ms <= 1000 THEN 1 ELSE 2 END ELSE 3 END AS rank FROM r ORDER BY rank, due_ms, run_key LIMIT 40) SELECT run_key, state, rank FROM k",
     ),
+    "fetch_grants": (fetch_grants, f"WITH {_GRANTS} SELECT run_key, origin FROM g"),
+    "fetch_origins": (
+        fetch_origins,
+        f"WITH {_GRANTS}, n AS (SELECT origin, count(*) AS k FROM g GROUP BY origin) SELECT o.origin, CASE WHEN k > 0 THEN 1000 + interval_ms ELSE next_ms END::BIGINT AS next_ms, (in_flight + coalesce(k, 0))::BIGINT AS in_flight FROM o LEFT JOIN n USING (origin)",
+    ),
+    "requeue_failed": (requeue_failed, f"WITH {_RUNS} SELECT CASE WHEN state = 'queued' AND due_ms > 1000 THEN 'delayed' WHEN state IN ('queued', 'failed') THEN 'ready' ELSE state END AS state, count(*) AS n FROM r GROUP BY 1"),
     "latency_histogram": (
         latency_histogram,
         "SELECT b::VARCHAR AS le, (SELECT count(*) FROM events WHERE value <= b) AS n FROM (SELECT unnest([5,10,20,30,40,50,75,100,200,400,800]) AS b) UNION ALL SELECT '+Inf', count(value) FROM events",
