@@ -13,10 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD
+from tidemark.llm.common import WORD, saved
 
 #: Rows that a bucket of one source holds on average, at most.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 500
 #: A digit of the key is a hexadecimal one.
 MAX_DIGITS = 12
 
@@ -66,7 +66,8 @@ def mix(
     0 and nothing is taken; a null source is a source of its own; rows with the same id share a key and are
     ordered by size, further ties count as given; a table without rows gives one.
     """
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
+    # texts are read once; what follows works on a few numbers a document
+    sized = saved(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key")))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     wanted = targets({r["source"]: r["size"] for r in per_source}, weights, share, repeats)
     most = max((r["n"] for r in per_source), default=0)
