@@ -124,3 +124,35 @@ def rank_for_labels(nodes: DataFrame, score: Column, most: int = 128, budget: in
     w = Window.partitionBy(key).orderBy(F.desc("score"), "node_id")
     ranked = nodes.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
     return ranked.withColumn("used", F.sum(F.length("text")).over(w)).where(F.col("used") <= budget)
+
+
+def local_candidates(nodes: DataFrame, seeds: DataFrame, up: int = 5, down: int = 7, most: int = 192, key: str = "page_id") -> DataFrame:
+    """key, seed_id, node_id, distance: the seed, its kept ancestors and descendants within so many levels, nearest first.
+
+    ``nodes`` has node_id, depth and subtree_end; a node is inside another if its number is in the other's range.
+    """
+    s = nodes.join(seeds.select(key, "node_id"), [key, "node_id"]).select(key, F.col("node_id").alias("seed_id"), F.col("subtree_end").alias("seed_end"), F.col("depth").alias("seed_depth"))
+    both = nodes.where("kept").join(s, key)
+    apart = F.col("depth") - F.col("seed_depth")
+    above = (F.col("node_id") <= F.col("seed_id")) & (F.col("seed_id") < F.col("subtree_end")) & (apart >= -up)
+    below = (F.col("seed_id") < F.col("node_id")) & (F.col("node_id") < F.col("seed_end")) & (apart <= down)
+    near = both.where(above | below).select(key, "seed_id", "node_id", F.abs(apart).alias("distance"))
+    w = Window.partitionBy(key, "seed_id").orderBy("distance", "node_id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
+
+
+def refine_boundary(candidates: DataFrame, numbers: DataFrame, ranker: dom.Network, margin: float, key: str = "page_id") -> DataFrame:
+    """key, seed_id, node_id: the candidate that the ranker puts highest if it is above the seed by the margin, else the seed.
+
+    The ranker sees a node's numbers, those of the node less the seed's, and the distance; it gives one score.
+    """
+    rows = numbers.select(key, "node_id", "numbers")
+    seed = rows.select(key, F.col("node_id").alias("seed_id"), F.col("numbers").alias("s"))
+    pairs = candidates.join(rows, [key, "node_id"]).join(seed, [key, "seed_id"])
+    apart = F.zip_with("numbers", "s", lambda a, b: a - b)
+    made = pairs.select(key, "node_id", F.concat("numbers", apart, F.array(F.col("distance").cast("float"))).alias("numbers"), "seed_id")
+    scored = dom.score_nodes(made.select(F.struct(key, "seed_id").alias("pair"), "node_id", "numbers"), ranker, "pair")
+    flat = scored.select(F.col(f"pair.{key}").alias(key), "pair.seed_id", "node_id", F.get("scores", F.lit(0)).alias("score"))
+    own = F.max(F.when(F.col("node_id") == F.col("seed_id"), F.col("score")))
+    best = flat.groupBy(key, "seed_id").agg(F.max(F.struct("score", (-F.col("node_id")).alias("o"))).alias("b"), own.alias("own"))
+    return best.select(key, "seed_id", F.when(F.col("b.score") > F.coalesce("own", F.lit(float("-inf"))) + margin, -F.col("b.o")).otherwise(F.col("seed_id")).cast("int").alias("node_id"))

@@ -150,7 +150,36 @@ def manifest_check(spark: SparkSession, d: str) -> DataFrame:
     return tables.checked(rows, {"html_hash": F.col("html_hash").rlike("^[0-9a-f]{64}$")}).groupBy(F.concat_ws(",", "errors").alias("errors")).agg(F.count("*").alias("n"))
 
 
+def author_boundary(spark: SparkSession, d: str) -> DataFrame:
+    """Refines the article element by a ranker with fixed random weights."""
+    nodes = dom.nodes_of(pages(spark, d))
+    seeds = nodes.where("tag = 'article'").select("page_id", "node_id")
+    rng = np.random.default_rng(1)
+    n = 2 * len(dom.FEATURES) + 1
+    ranker = dom.Network(rng.normal(size=(n, 24)) / n, np.zeros(24), rng.normal(size=(24, 1)), np.zeros(1), np.zeros(1))
+    return extraction.refine_boundary(extraction.local_candidates(nodes, seeds), dom.features(pages(spark, d)), ranker, 0.05)
+
+
+def local_candidates(spark: SparkSession, d: str) -> DataFrame:
+    nodes = dom.nodes_of(pages(spark, d))
+    found = extraction.local_candidates(nodes, nodes.where("tag = 'h1'").select("page_id", "node_id"))
+    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.max("distance").alias("furthest"))
+
+
+def byline_rescue(spark: SparkSession, d: str) -> DataFrame:
+    """Pages marked with an author whose name is in their heading: the heading is the byline's tightest node."""
+    named = pages(spark, d).select("page_id", F.regexp_replace("html", "<h1>", "<h1>Ada Lovelace ").alias("html"))
+    nodes = dom.nodes_of(named)
+    names = named.select("page_id", F.array(F.lit("Ada Lovelace")).alias("names"))
+    chosen = nodes.where("tag = 'article'").select("page_id", "node_id")
+    found = extraction.rescue_byline(nodes, names, chosen)
+    return found.join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).groupBy("tag").agg(F.count("*").alias("n"))
+
+
 SPECS |= {
+    "author_boundary": (author_boundary, None),
+    "local_candidates": (local_candidates, "SELECT page_id, 4::BIGINT AS n, 3 AS furthest FROM pages"),
+    "byline_rescue": (byline_rescue, None),
     "css_selectors": (css_selectors, None),
     "extract_documents": (extract_documents, None),
     "tightest_heading": (tightest_heading, "SELECT 'h1' AS tag, count(*) AS n FROM pages"),
