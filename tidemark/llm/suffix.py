@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -324,8 +324,8 @@ def find_spans(blobs: list[bytes], least: int, buckets: np.ndarray) -> list[tupl
     return dealt(1, home(doc[who], buckets), doc[who], tag[who], first[who] + begin, first[who] + end)
 
 
-def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (start, end of the removed bytes), kept (the bytes that stay), text of every row.
+def repeats(docs: DataFrame, least: int = 50, keep: Sequence[str] = ()) -> DataFrame:
+    """The columns to keep, doc_id, n_bytes, n_removed, spans (start, end of the removed bytes), kept (the bytes that stay), text of every row.
 
     ``text`` is what stays, less the bytes of characters that were cut in two.
 
@@ -336,6 +336,8 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     spark = docs.sparkSession
     buckets = even_buckets(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    whole = docs.select(*(F.col(c) for c in keep), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in whole.schema.fields[:-2])
 
     def ids(column: pa.Array) -> np.ndarray:
         return column.fill_null(LAST).to_numpy(zero_copy_only=False)
@@ -343,8 +345,9 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            dest = home(ids(batch.column(0)), buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(dest), batch.column(0), pa.array([squeeze(t or b"") for t in binary(batch.column(1))], pa.binary())], ["dest", "doc_id", "z"])
+            *others, doc_id, text = batch.columns
+            z = pa.array([squeeze(t or b"") for t in binary(text)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(home(ids(doc_id), buckets)), *others, doc_id, z], ["dest", *keep, "doc_id", "z"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
@@ -420,6 +423,7 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
         kept = [b"".join(x[a:b] for a, b in zip([0, *(e for _, e in s)], [*(b for b, _ in s), len(x)], strict=True)) for x, s in zip(texts, own, strict=True)]
         return pa.table(
             {
+                **{c: left.column(c) for c in keep},
                 "doc_id": left.column("doc_id"),
                 "n_bytes": pa.array([len(x) for x in texts], pa.int64()),
                 "n_removed": pa.array([len(x) - len(k) for x, k in zip(texts, kept, strict=True)], pa.int64()),
@@ -429,7 +433,7 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
             }
         )
 
-    packed = rows.mapInArrow(compress, "dest long, doc_id long, z binary")
+    packed = whole.mapInArrow(compress, f"dest long, {kept}doc_id long, z binary")
     counted = saved(buckets_of(rows.mapInArrow(keys, SCHEMA), lambda b: match_keys(b, buckets)))
     often = [unpack(bytes(r["blob"])) for r in counted.where("kind = 2").select("blob").toLocalIterator()]
     hot = np.zeros(0, np.uint64)
@@ -443,7 +447,7 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     factors = buckets_of(packed.groupBy("dest").cogroup(unlike).applyInArrow(compare, SCHEMA), lambda b: find_spans(b, least, buckets))
     spans = runs.where("kind = 1").union(factors).select("dest", "blob")
     return packed.groupBy("dest").cogroup(spans.groupBy("dest")).applyInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary, text string"
+        cut, f"{kept}doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary, text string"
     )
 
 
