@@ -17,6 +17,8 @@ ARTICLE = "<article><h1>Head &amp; line</h1><p>First\n para<b>graph</b>.<div cla
         ("<article><p>keep</p><section class=comments><p>a reader says</p></section><form>name <input></form><script>var t='</p>'</script><aside>x</aside></article>", "keep"),
         ("<main><header><h1>T</h1></header><p>x &lt;b&gt; &#233;&euro;</p></main><div id=cookie-notice>We use cookies</div>", "T x <b> é€"),
         ("<article><!-- no > yes --><p title='a>b'>ok</p><style>p{}</style></article>", "ok"),
+        ("<head><title>T</title><body class=has-sidebar><div class='page with-sidebar'><article><p>a</article><div class=sidebar>b</div></div>", "a"),
+        ("<title>open <p>text", "open text"),
         ("<div><p>unclosed <b>bold<br>next</div><script>never closed", "unclosed bold next"),
     ],
 )

@@ -26,7 +26,8 @@ LINKED = 0.5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|select|textarea|title|head(?=[\s>]))\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|select|textarea|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?</(?P=raw)\s*>"
+    r"|<(?:script|style)\b[^>]*>.*\Z"
     r"|<(?P<end>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attr>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
@@ -35,10 +36,13 @@ ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"
 VOID = frozenset("area base col embed hr img input link meta param source track wbr br".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input button".split())
 DROPPED = frozenset("nav footer aside form menu dialog button fieldset legend address".split())
+#: A class name with one of these tells about a layout ("has-sidebar").
+LAYOUT = frozenset("has with without no".split())
 WORDS = frozenset(
     "nav navigation navbar menu header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner"
     " cookie cookies consent notice notices alert comment comments disqus respond reply replies share sharing social related recommended recommendations breadcrumb breadcrumbs"
-    " newsletter subscribe subscription signup login widget popup modal overlay pagination pager toolbar skip search form".split()
+    " newsletter subscribe subscription signup login widget popup modal overlay pagination pager toolbar skip search form"
+    " adbox adslot adunit adbanner commentlist responses topbar bottombar rail disclaimer copyright trending popular teaser teasers paywall".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 
@@ -55,7 +59,8 @@ def _unwanted(tag: str, attr: str, in_article: bool) -> bool:
         if name == "role" and value in ROLES:
             return True
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value)) & WORDS
+            names = [set(re.split(r"[^a-z0-9]+", one)) for one in value.split()]
+            words = set().union(*(n for n in names if not n & LAYOUT)) & WORDS
             if tag in ("html", "body", "main", "article"):
                 words = set()  # a page's or article's own class tells about its layout
             if words - ({"header"} if in_article else set()):
