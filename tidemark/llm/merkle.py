@@ -5,7 +5,7 @@ paragraphs, those of paragraphs sections, which end at blank lines or after a pa
 top is the root. All cuts follow content, so an edit changes its own branch only. Equal roots mean equal texts;
 comparing two trees goes down from the root and skips equal branches.
 
-A fingerprint is text: the root's 32 hexadecimal digits, then the leaves as 12 digits of their hash and their
+A fingerprint is text: the root's 32 hexadecimal digits, then the leaves as 8 digits of their hash and their
 length, with marks where paragraphs and sections end. The inner hashes follow from the leaves.
 """
 
@@ -27,8 +27,8 @@ from tidemark.llm.common import binary, partitions
 
 SENTENCE = re.compile(r"[^.!?\n。！？]*+[.!?\n。！？]++\s*+|[^.!?\n。！？]++")
 #: A sentence of more characters is cut.
-LONG = 160
-SHORTER = re.compile(r".+?(?:[aeo0258]\s(?=\S{4})|$)", re.S)
+LONG = 40
+SHORTER = re.compile(r".+?(?:(?:[aeo0258]|[^\w\s])\s(?=\S{4})|$)", re.S)
 #: A paragraph in so many ends its section.
 SECTION = 8
 BUCKETS = 4
@@ -42,7 +42,7 @@ def fingerprint(text: str) -> str:
         for leaf in (sentence,) if len(sentence) <= LONG else SHORTER.findall(sentence):
             h = digest(leaf.encode("utf-8", "surrogatepass"))
             leaves.append(h)
-            out.append(f"{h[:12]}{len(leaf):x}")
+            out.append(f"{h[:8]}{len(leaf):x}")
         if "\n" in sentence:
             paragraphs.append(digest("".join(leaves)))
             leaves = []
@@ -62,7 +62,7 @@ def fingerprint(text: str) -> str:
 
 
 def _leaves(print_: str) -> list[tuple[str, int]]:
-    return [(x[:12], int(x[12:].rstrip(",;"), 16)) for x in print_[33:].split()]
+    return [(x[:8], int(x[8:].rstrip(",;"), 16)) for x in print_[33:].split()]
 
 
 def likeness(a: str, b: str) -> float:
@@ -94,10 +94,10 @@ def differences(a: str, b: str) -> list[tuple[int, int]]:
                 have[branch] -= 1
             else:
                 rest.append((at, branch))
-            at += sum(int(leaf[12:].rstrip(",;"), 16) for leaf in branch.split())
+            at += sum(int(leaf[8:].rstrip(",;"), 16) for leaf in branch.split())
         if level == 2:
             for start, leaf in rest:
-                end = start + int(leaf[12:].rstrip(",;"), 16)
+                end = start + int(leaf[8:].rstrip(",;"), 16)
                 if out and out[-1][1] == start:
                     out[-1] = (out[-1][0], end)
                 else:
