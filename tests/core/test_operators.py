@@ -51,7 +51,7 @@ def test_sitemap(spark):
 
 
 def replay(spark, *ops):
-    rows = [("r", t, op, kind, "c" if op == "fail" else None, delay) for t, op, kind, delay in ops]
+    rows = [("r", t, op, kind, "c" if op == "fail" else None, delay, *(token or [None])) for t, op, kind, delay, *token in ops]
     return stage_queue.replay(spark.createDataFrame(rows, stage_queue.EVENT)).first()
 
 
@@ -94,3 +94,9 @@ def test_expand_follows_own_host(spark):
     pages = spark.createDataFrame(rows, "page_id int, url string, html string")
     got = {r["url"]: r["depth"] for r in frontier.expand(pages, pages.where("page_id = 1").select("url"), 3).collect()}
     assert got == {"http://a.com/": 0, "http://a.com/b": 1, "http://a.com/d": 2}
+
+
+def test_tokens_fence_off_former_holders(spark):
+    ops = [(0, "enqueue", None, 0), (1, "claim", None, 0, "a"), (70_000, "claim", None, 0, "b"), (70_001, "complete", None, 0, "a")]
+    assert replay(spark, *ops)["state"] == "leased"
+    assert replay(spark, *ops, (70_002, "complete", None, 0, "b"))["state"] == "succeeded"

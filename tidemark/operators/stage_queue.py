@@ -17,7 +17,7 @@ MAX_ATTEMPTS = 5
 LEASE_MS = 60_000
 CODE, MESSAGE = 128, 2048
 RUN = "run_key string, state string, attempts int, due_ms long, lease_ms long, error_class string, error_code string, finished_ms long"
-EVENT = "run_key string, ts_ms long, op string, kind string, error_code string, delay_ms long"
+EVENT = "run_key string, ts_ms long, op string, kind string, error_code string, delay_ms long, token string"
 
 
 @dataclass
@@ -29,6 +29,7 @@ class Run:
     error_class: str | None = None
     error_code: str | None = None
     finished_ms: int | None = None
+    token: str | None = None
 
     def expire(self, now: int, most: int) -> None:
         """A lease that has run out gives the run back, or ends it after its last attempt."""
@@ -43,22 +44,23 @@ class Run:
             self.state, self.due_ms = "queued", now + delay
         else:
             self.state, self.finished_ms = "failed", now
-        self.lease_ms = 0
+        self.lease_ms, self.token = 0, None
 
-    def apply(self, op: str, now: int, kind: str | None = None, code: str | None = None, delay: int = 0, lease: int = LEASE_MS, most: int = MAX_ATTEMPTS) -> None:
+    def apply(self, op: str, now: int, kind: str | None = None, code: str | None = None, delay: int = 0, lease: int = LEASE_MS, most: int = MAX_ATTEMPTS, token: str | None = None) -> None:
+        """A token that isn't the lease's is a former holder's: its event changes nothing. Events without one are trusted."""
         self.expire(now, most)
-        held = self.state in ("leased", "running")
+        held = self.state in ("leased", "running") and (token is None or self.token is None or token == self.token)
         if op == "enqueue" and not self.state:
             self.state, self.due_ms = "queued", now + max(0, delay)
         elif op == "claim" and self.state == "queued" and self.due_ms <= now:
             self.state, self.attempts, self.lease_ms = "leased", self.attempts + 1, now + lease
-            self.error_class = self.error_code = None
+            self.error_class, self.error_code, self.token = None, None, token
         elif op == "heartbeat" and held:
             self.state, self.lease_ms = "running", now + lease
         elif op == "defer" and held:  # the attempt is not given back
-            self.state, self.due_ms, self.lease_ms, self.error_class, self.error_code = "queued", now + max(0, delay), 0, None, None
+            self.state, self.due_ms, self.lease_ms, self.error_class, self.error_code, self.token = "queued", now + max(0, delay), 0, None, None, None
         elif op == "complete" and held:
-            self.state, self.lease_ms, self.finished_ms = "succeeded", 0, now
+            self.state, self.lease_ms, self.finished_ms, self.token = "succeeded", 0, now, None
         elif op == "fail" and held:
             self._retry(now, max(0, delay), kind or "retryable", code, most)
 
@@ -81,7 +83,7 @@ def replay(events: DataFrame, lease_ms: int = LEASE_MS, max_attempts: int = MAX_
                     if key is not None and state.state:
                         out.append(state.row(key))
                     key, state = e.run_key, Run()
-                state.apply(e.op, int(e.ts_ms), e.kind, e.error_code, 0 if pd.isna(e.delay_ms) else int(e.delay_ms), lease_ms, max_attempts)
+                state.apply(e.op, int(e.ts_ms), e.kind, e.error_code, 0 if pd.isna(e.delay_ms) else int(e.delay_ms), lease_ms, max_attempts, e.token)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in RUN.split(", ")])
         if key is not None and state.state:
             yield pd.DataFrame([state.row(key)], columns=[c.split()[0] for c in RUN.split(", ")])

@@ -70,14 +70,23 @@ def retry_backoff_cap(spark: SparkSession, d: str) -> DataFrame:
 OPS = {"signup": "enqueue", "view": "claim", "click": "heartbeat", "error": "fail", "purchase": "complete"}
 
 
-def queue_events(spark: SparkSession, d: str) -> DataFrame:
+def as_queue_events(rows: DataFrame) -> DataFrame:
+    """Events as a queue's: five runs for each user."""
     op = F.element_at(F.create_map(*(F.lit(x) for kv in OPS.items() for x in kv)), F.col("event_type"))
     kind = F.when(F.col("event_id") % 7 == 0, "permanent").when(F.col("event_id") % 11 == 0, "blocked").otherwise("retryable")
-    return events(spark, d).select(F.concat_ws(":", "user_id", F.col("event_id") % 5).alias("run_key"), "ts_ms", op.alias("op"), kind.alias("kind"), F.concat(F.lit("e"), F.col("event_id") % 3).alias("error_code"), F.lit(1_000).cast("long").alias("delay_ms"))
+    return rows.select(
+        F.concat_ws(":", "user_id", F.col("event_id") % 5).alias("run_key"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
+        op.alias("op"),
+        kind.alias("kind"),
+        F.concat(F.lit("e"), F.col("event_id") % 3).alias("error_code"),
+        F.lit(1_000).cast("long").alias("delay_ms"),
+        F.when(F.col("event_id") % 3 == 0, "t").alias("token"),
+    )
 
 
 def queue_replay(spark: SparkSession, d: str) -> DataFrame:
-    return Q.replay(queue_events(spark, d))
+    return Q.replay(as_queue_events(table(spark, d, "events")))
 
 
 def stage_queue_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -88,11 +97,8 @@ def stage_queue_stream(spark: SparkSession, d: str) -> DataFrame:
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     raw = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-    op = F.element_at(F.create_map(*(F.lit(x) for kv in OPS.items() for x in kv)), F.col("event_type"))
-    kind = F.when(F.col("event_id") % 7 == 0, "permanent").when(F.col("event_id") % 11 == 0, "blocked").otherwise("retryable")
-    flow = raw.select(F.concat_ws(":", "user_id", F.col("event_id") % 5).alias("run_key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), op.alias("op"), kind.alias("kind"), F.concat(F.lit("e"), F.col("event_id") % 3).alias("error_code"), F.lit(1_000).cast("long").alias("delay_ms"))
     name = f"runs_{uuid.uuid4().hex}"
-    query = S.runs(flow).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+    query = S.runs(as_queue_events(raw)).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
 

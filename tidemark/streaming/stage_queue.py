@@ -10,7 +10,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tidemark.operators.stage_queue import LEASE_MS, MAX_ATTEMPTS, RUN, Run
 
-_STATE = "state string, attempts int, due_ms long, lease_ms long, error_class string, error_code string, finished_ms long"
+_STATE = "state string, attempts int, due_ms long, lease_ms long, error_class string, error_code string, finished_ms long, token string"
 _NAMES = [c.split()[0] for c in RUN.split(", ")]
 
 
@@ -25,8 +25,8 @@ class Runs(StatefulProcessor):
         run = Run(*self.run.get()) if self.run.exists() else Run()
         for e in pd.concat(list(rows)).sort_values(["ts_ms", "op"], kind="stable").itertuples(index=False):
             text = lambda v: None if v is None or pd.isna(v) else str(v)
-            run.apply(e.op, int(e.ts_ms), text(e.kind), text(e.error_code), 0 if pd.isna(e.delay_ms) else int(e.delay_ms), self.lease_ms, self.most)
-        self.run.update(run.row(key[0])[1:])
+            run.apply(e.op, int(e.ts_ms), text(e.kind), text(e.error_code), 0 if pd.isna(e.delay_ms) else int(e.delay_ms), self.lease_ms, self.most, text(e.token))
+        self.run.update((*run.row(key[0])[1:], run.token))
         if run.state:
             yield pd.DataFrame([run.row(key[0])], columns=_NAMES)
 
