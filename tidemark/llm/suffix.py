@@ -19,7 +19,6 @@ and not for each document. Runs of the most frequent keys are cut into their win
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -449,7 +448,3 @@ def repeats(docs: DataFrame, least: int = 50, keep: Sequence[str] = ()) -> DataF
     return packed.groupBy("dest").cogroup(spans.groupBy("dest")).applyInArrow(
         cut, f"{kept}doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary, text string"
     )
-
-
-def sha256(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
