@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,3 +79,15 @@ def nearest_anchor(rows: DataFrame, by: str, at: str, is_anchor: str) -> DataFra
     before = F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     return rows.withColumn("_b", before).withColumn("_a", after).withColumn("anchor", F.when(F.col("_a").isNull() | (F.col(at) - F.col("_b") <= F.col("_a") - F.col(at)), F.col("_b")).otherwise(F.col("_a"))).drop("_b", "_a")
+
+
+def encode(tokens: Column, ids: dict[str, int], size: int) -> Column:
+    """The first ``size`` tokens as ids: 1 for an unknown one, filled up with 0. ``ids`` is a vocabulary, so it is small."""
+    known = F.create_map(*(F.lit(x) for kv in ids.items() for x in kv)) if ids else F.create_map().cast("map<string, int>")
+    numbers = F.transform(F.slice(tokens, 1, size), lambda t: F.coalesce(known[t], F.lit(1)))
+    return F.concat(numbers, F.array_repeat(F.lit(0), F.lit(size) - F.size(numbers)))
+
+
+def standardize(value: Column, mean: float, std: float, clip: float | None = None) -> Column:
+    scaled = (value - mean) / std
+    return scaled if clip is None else F.greatest(F.lit(-clip), F.least(F.lit(clip), scaled))

@@ -176,7 +176,14 @@ def byline_rescue(spark: SparkSession, d: str) -> DataFrame:
     return found.join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def attribute_tokens(spark: SparkSession, d: str) -> DataFrame:
+    marked = pages(spark, d).select("page_id", F.regexp_replace("html", "<article>", "<article class='postBody main-text' id=main role=main>").alias("html"))
+    nodes = dom.nodes_of(marked).where(F.col("tag").isin("article", "div", "p"))
+    return nodes.groupBy("tag", F.concat_ws(" ", dom.attribute_tokens(F.col("attrs"))).alias("tokens")).agg(F.count_distinct("page_id").alias("pages"))
+
+
 SPECS |= {
+    "attribute_tokens": (attribute_tokens, "SELECT tag, tokens, count(*) AS pages FROM (SELECT 'article' AS tag, 'post body main text' AS tokens FROM pages UNION ALL SELECT 'div', 'ad' FROM pages UNION ALL SELECT 'p', '' FROM pages) GROUP BY ALL"),
     "author_boundary": (author_boundary, None),
     "local_candidates": (local_candidates, "SELECT page_id, 4::BIGINT AS n, 3 AS furthest FROM pages"),
     "byline_rescue": (byline_rescue, None),

@@ -208,6 +208,15 @@ def vocab_top_tokens(spark: SparkSession, d: str) -> DataFrame:
     return dataset.vocabulary(words, "t", ("de", "zzz", "the"), 64)
 
 
+def token_ids(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("t"))
+    return rows.select("conv_id", "turn", F.concat_ws(",", dataset.encode(F.col("t"), {"the": 2, "of": 3, "and": 4}, 12).cast("array<string>")).alias("ids"))
+
+
+def standardized(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", F.round(dataset.standardize(F.col("c_acctbal"), 4500.0, 500.0, 6.0), 6).alias("x"))
+
+
 def normalizer_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", F.lit(3.0).alias("same"))
     return dataset.normalizer(rows, ["l_quantity", "l_extendedprice", "l_discount", "same"]).select("column", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
@@ -333,6 +342,11 @@ SPECS = {
         vocab_top_tokens,
         "WITH c AS (SELECT token, count(*) AS n, list_position(['de', 'zzz', 'the'], token) AS p FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS token FROM documents) GROUP BY token), k AS (SELECT token, n, row_number() OVER (ORDER BY p IS NULL, p, n DESC, encode(token)) AS r FROM c) SELECT token, (r + 1)::INT AS id, n FROM k WHERE r <= 64",
     ),
+    "token_ids": (
+        token_ids,
+        f"WITH t AS ({_T}) SELECT conv_id, turn, array_to_string(list_transform(range(1, 13), lambda i: CASE WHEN i > len(a) THEN 0 WHEN a[i] = 'the' THEN 2 WHEN a[i] = 'of' THEN 3 WHEN a[i] = 'and' THEN 4 ELSE 1 END), ',') AS ids FROM t",
+    ),
+    "standardized": (standardized, "SELECT c_custkey, round(greatest(-6.0, least(6.0, (c_acctbal - 4500.0) / 500.0))::DOUBLE, 6) AS x FROM customer"),
     "normalizer_stats": (
         normalizer_stats,
         "SELECT 'l_quantity' AS \"column\", round(avg(l_quantity), 4) AS mean, round(stddev_pop(l_quantity), 4) AS std FROM lineitem UNION ALL SELECT 'l_extendedprice', round(avg(l_extendedprice), 4), round(stddev_pop(l_extendedprice), 4) FROM lineitem UNION ALL SELECT 'l_discount', round(avg(l_discount), 4), round(stddev_pop(l_discount), 4) FROM lineitem UNION ALL SELECT 'same', 3.0, 1.0",
