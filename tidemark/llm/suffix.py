@@ -25,7 +25,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.anchors import KEY_MASK, anchors
@@ -34,6 +34,8 @@ from tidemark.llm.common import binary, partitions, saved
 GRAM = 24
 #: Anchors that a task merges at once.
 BLOCK = 1_500_000
+#: Bytes of input, as stored, that a bucket is worth at least.
+BUCKET_BYTES = 1 << 20
 #: Keys whose runs are cut into windows: the most frequent ones, of those in so many documents.
 HOT_KEYS, HOT_DOCS = 100_000, 1_000
 LAST = (1 << 63) - 1
@@ -85,12 +87,18 @@ def bucket_of(key: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     return buckets[(key % np.uint64(len(buckets))).astype(np.int64)]
 
 
-def even_buckets(spark: SparkSession) -> np.ndarray:
-    """A number for each shuffle partition that hashing deals to that partition, so that each gets one bucket."""
+def even_buckets(docs: DataFrame) -> np.ndarray:
+    """Numbers that hashing deals to as many different shuffle partitions.
+
+    There are as many as shuffle partitions, or fewer where the input, by the optimizer's estimate of its size, is
+    small for them: every task sends each bucket a string, and small input cut fine would be mostly strings.
+    """
+    spark = docs.sparkSession
     n = partitions(spark)
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     numbers = spark.range(n * (12 + n.bit_length())).select("id", F.expr(f"pmod(hash(id), {n})").alias("p"))
     found = [r["id"] for r in numbers.groupBy("p").agg(F.min("id").alias("id")).collect()]
-    return np.sort(np.array(found, np.int64))
+    return np.sort(np.array(found, np.int64))[: max(1, -(-size // BUCKET_BYTES))]
 
 
 def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -333,7 +341,7 @@ def repeats(docs: DataFrame, least: int = 50, keep: Sequence[str] = ()) -> DataF
     table without rows gives one.
     """
     spark = docs.sparkSession
-    buckets = even_buckets(spark)
+    buckets = even_buckets(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     whole = docs.select(*(F.col(c) for c in keep), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in whole.schema.fields[:-2])
