@@ -22,9 +22,9 @@ from tidemark.llm.common import sample
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents of each language that a fit reads, about, at most.
-SAMPLE_DOCS = 3_000
+SAMPLE_DOCS = 1_200
 #: Words and n-grams that a model keeps, the most frequent ones.
-MAX_WORDS, MAX_GRAMS = 200_000, 100_000
+MAX_WORDS, MAX_GRAMS = 100_000, 60_000
 ORDERS = (5, 4, 3, 2, 1)
 #: Unseen words whose scores a worker remembers.
 REMEMBERED = 200_000
