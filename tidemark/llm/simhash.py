@@ -209,7 +209,7 @@ def near_copies(docs: DataFrame, shingle: int = 3, turns: int = 6, seed: int = 4
         same = nodes.join(heads, nodes[name] == heads["fp"]).where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
         pairs = links(heads, bits)
         near = pairs.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
-        own = same.union(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        own = saved(same.union(near.select(F.col("x").alias("a"), F.col("y").alias("b"))))  # else the plans of all turns are one
         edges = own if edges is None else edges.union(own)
     roots = components(edges)
     rooted = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
