@@ -84,3 +84,25 @@ def test_nulls_short_items_repeats_and_empty_tables(spark):
 def test_texts_without_any_candidate():
     searcher = d.build([0], ["some words that make up a benchmark item of fair length and more"])
     assert searcher.search([b"nothing alike", b""]) == [] == searcher.search([])
+
+
+@pytest.mark.parametrize("size", [16, 40, 60, 100, 200])
+def test_items_whose_beginning_or_end_takes_all_edits(size):
+    rng = np.random.default_rng(size)
+    vocab = np.array([f"w{i}" for i in range(400)])
+    items = [list(rng.choice(vocab, size)) for _ in range(40)]
+    most = size // 5
+    searcher = d.build(list(range(40)), [" ".join(i) for i in items])
+    ways = [lambda i: ["edit"] * most + i[most:], lambda i: i[most:], lambda i: i[:-most] + ["edit"] * most, lambda i: i[:-most]]
+    for change in ways:
+        for before in (0, 70):  # at the text's very start, and inside it
+            texts = [" ".join([*rng.choice(vocab, before), *change(i), *rng.choice(vocab, before)]).encode() for i in items]
+            found = {r[0]: r for r in searcher.search(texts) if r[0] == r[1]}
+            assert len(found) >= 0.95 * len(items)
+            assert all(r[4] <= most for r in found.values())
+
+
+def test_too_low_a_recall_is_an_error(monkeypatch):
+    monkeypatch.setattr(d.Searcher, "reached", lambda self, trials: 0)
+    with pytest.raises(RuntimeError, match="recall"):
+        d.build([0], ["some words that make up a benchmark item of fair length and more"])
