@@ -96,3 +96,28 @@ def test_several_fingerprints_find_copies_with_edits(spark):
     assert len(out) == len(rows) and out[901] == 900
     assert all(group[out[i]] == g for i, g in group.items())
     assert sum(out[i] == 3 * g for i, g in group.items()) >= 0.95 * len(group)
+
+
+def test_near_copies_at_the_similarity_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(2000)]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows = []
+    for i in range(120):
+        base = list(rng.choice(words, 150))
+        copy = list(base)
+        for at in rng.choice(150, 1 + i % 5, replace=False):
+            copy[at] = f"edit{i}"
+        rows += [base, copy]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    alike = []
+    for i in range(0, len(rows), 2):
+        a, b = shingles(rows[i]), shingles(rows[i + 1])
+        same = len(a & b) / len(a | b)
+        if same >= 0.8:
+            alike.append((same, out[i + 1] == i))
+        else:
+            assert out[i + 1] == i + 1
+    assert sum(s < 0.9 for s, _ in alike) > 30
+    assert sum(hit for _, hit in alike) >= 0.98 * len(alike)
