@@ -49,3 +49,37 @@ def test_differences_locate_edits():
     assert merkle.fingerprint("") == merkle.fingerprint("") and merkle.likeness(merkle.fingerprint(""), a) == 0
     cut = merkle.SHORTER.findall("word " * 100)
     assert "".join(cut) == "word " * 100
+
+
+def test_order_counts_and_size_is_bounded():
+    rng = np.random.default_rng(9)
+    parts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 999, 12)) + ".\n" for _ in range(300)]
+    text, other = "".join(parts), "".join(rng.permutation(parts))
+    a, b = merkle.fingerprint(text), merkle.fingerprint(other)
+    assert merkle.likeness(a, b) < 0.3
+    assert max(len(merkle.fingerprint(x)) for x in (text, text * 50, text.replace("\n", "\n\n"), text.replace(" ", ""))) < 2400
+    changed = text[:3000] + "XX" + text[3000:]
+    spans = merkle.differences(a, merkle.fingerprint(changed))
+    assert any(s <= 3000 < e for s, e in spans) and sum(e - s for s, e in spans) < 0.25 * len(changed)
+    assert 0.8 < merkle.likeness(a, merkle.fingerprint(changed)) < 1
+
+
+def test_equal_nodes_in_order_against_brute_force():
+    rng = np.random.default_rng(10)
+
+    def brute(x, y):
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x, 1):
+            for j, b in enumerate(y, 1):
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + (a[1] if a[:2] == b[:2] else 0))
+        return best[-1][-1]
+
+    for _ in range(300):
+        nodes = [(int(k), int(k) % 5 + 1, 0) for k in range(6)]
+        x, y = ([nodes[int(k)] for k in rng.integers(0, 6, int(rng.integers(0, 12)))] for _ in range(2))
+        pairs = merkle._common(x, y)
+        assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        assert all(x[i][:2] == y[j][:2] for i, j in pairs)
+        assert sum(x[i][1] for i, _ in pairs) <= brute(x, y)
+        inner = sum(x[i][1] for i, _ in pairs)
+        assert inner == brute(x, y) or x[:1] == y[:1] or x[-1:] == y[-1:]  # common ends are taken first

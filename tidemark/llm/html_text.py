@@ -1,15 +1,21 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that each block element makes a line. A line weighs as much text as it has outside of
-links; lines in menus, headers, footers, sidebars, notices, adverts, forms and comments weigh nothing. Weights
-are summed over sliding windows of lines: where the sum surges from nothing text begins, where it dives to
-nothing text ends, and the lines between that weigh something are the page's text.
+links; weights are summed over sliding windows of lines. Where the sum surges over a threshold text begins, where
+it dives below text ends, and the lines between are the page's text: a lone line of links between paragraphs
+stays, a block of such lines is a dive. What markup says only lowers weights: lines in menus, headers, footers,
+sidebars, notices, adverts, forms and comments, and lines outside of a page's article, weigh a fraction, and a
+line with a lowered weight is no text even where its neighbours hold the sum up.
+
+Names that good prose has too (``related``, ``social``, ``form`` as a class) lower a weight only if what they
+hold looks like a list: mostly links, or short lines.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,70 +24,89 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lines in a window.
-WINDOW = 3
-#: Without an article element: characters in a window that make a surge, and the part of the largest stretch that another must have.
-SURGE, PART = 60, 0.25
-#: Part of a line's text in links from which it weighs nothing.
-LINKED = 0.5
+WINDOW = 5
+#: Characters in a window that make a surge, or that part of the page's largest window if it is less.
+SURGE, PART = 20, 0.1
+#: What a line's weight is lowered to.
+LOWERED = 0.05
+#: A doubtful element is a list if that part of its text is in links, or its lines are shorter on average.
+LINKED, PROSE = 0.5, 40
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|select|textarea|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?</(?P=raw)\s*>"
-    r"|<(?:script|style)\b[^>]*>.*\Z"
     r"|<(?P<end>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attr>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<cut>script|style)\b[^>]*>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
 ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+#: Elements whose content is no text; without an end tag the first two take the rest of the page, others nothing.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template svg iframe object select textarea title".split()}
 VOID = frozenset("area base col embed hr img input link meta param source track wbr br".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input button".split())
-DROPPED = frozenset("nav footer aside form menu dialog button fieldset legend address".split())
+DROPPED = frozenset("nav footer aside form menu dialog button fieldset legend".split())
+DOUBTFUL_TAGS = frozenset({"address"})
 #: A class name with one of these tells about a layout ("has-sidebar").
 LAYOUT = frozenset("has with without no".split())
 WORDS = frozenset(
-    "nav navigation navbar menu header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner"
-    " cookie cookies consent notice notices alert comment comments disqus respond reply replies share sharing social related recommended recommendations breadcrumb breadcrumbs"
-    " newsletter subscribe subscription signup login widget popup modal overlay pagination pager toolbar skip search form"
-    " adbox adslot adunit adbanner commentlist responses topbar bottombar rail disclaimer copyright trending popular teaser teasers paywall".split()
+    "nav navigation navbar menu masthead footer sidebar ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion"
+    " cookie cookies consent comments disqus respond comment breadcrumb breadcrumbs newsletter subscribe subscription signup login widget popup modal overlay"
+    " pagination pager toolbar adbox adslot adunit adbanner commentlist topbar bottombar rail paywall".split()
+)
+DOUBTFUL = frozenset(
+    "header aside banner notice notices alert reply replies share sharing social related recommended recommendations skip search form responses disclaimer copyright trending popular teaser teasers".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
+CLEAN, DOUBT, BAD = 0, 1, 2
 
 
-def _unwanted(tag: str, attr: str, in_article: bool) -> bool:
+def _standing(tag: str, attr: str, in_article: bool) -> int:
+    """Whether an element is no text, may be none, or is like its parent."""
     if tag in DROPPED or (tag == "header" and not in_article):
-        return True
-    if not attr or "=" not in attr and "hidden" not in attr:
-        return False
+        return BAD
+    found = DOUBT if tag in DOUBTFUL_TAGS else CLEAN
+    if not attr or ("=" not in attr and "hidden" not in attr):
+        return found
     for name, *values in ATTR.findall(attr):
         name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and UNSEEN.search(value)):
+            return BAD
         if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id"):
-            names = [set(re.split(r"[^a-z0-9]+", one)) for one in value.split()]
-            words = set().union(*(n for n in names if not n & LAYOUT)) & WORDS
-            if tag in ("html", "body", "main", "article"):
-                words = set()  # a page's or article's own class tells about its layout
-            if words - ({"header"} if in_article else set()):
-                return True
-    return False
-
-
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, in an article, unwanted) of each line with text."""
-    out: list[tuple[str, int, bool, bool]] = []
+            return BAD
+        if name in ("class", "id") and tag not in ("html", "body", "main", "article"):  # their own classes tell about layout
+            for one in value.split():
+                parts = set(re.split(r"[^a-z0-9]+", one))
+                if parts & LAYOUT:
+                    continue
+                if parts & WORDS:
+                    return BAD
+                if parts & (DOUBTFUL - {"header"} if in_article else DOUBTFUL):
+                    found = DOUBT
+    return found
+
+
+def lines(page: str) -> list[tuple[str, int, bool, bool, int]]:
+    """(text, characters in links, in an article, in what is no text, doubtful element or 0) of each line with text.
+
+    Linear in the page: end tags without an open element are told by counts, and the end of an element whose content
+    is no text is looked for once if it is missing.
+    """
+    out: list[tuple[str, int, bool, bool, int]] = []
     parts: list[str] = []
     linked = 0
     link = False
-    open_: list[tuple[str, bool, bool]] = []  # tag, in an article, unwanted
+    open_: list[tuple[str, bool, bool, int]] = []  # tag, in an article, no text, doubtful element
+    depth: Counter = Counter()
+    endless: set[str] = set()
+    doubts = 0
 
     def close() -> None:
         nonlocal linked
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                top = open_[-1] if open_ else ("", False, False)
-                out.append((text, linked, top[1], top[2]))
+                top = open_[-1] if open_ else ("", False, False, 0)
+                out.append((text, linked, *top[1:]))
             parts.clear()
         linked = 0
 
@@ -91,15 +116,30 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if link:
             linked += len(text.strip())
 
+    def pop() -> str:
+        tag = open_.pop()[0]
+        depth[tag] -= 1
+        return tag
+
     at = 0
-    for found in TOKEN.finditer(page):
+    while found := TOKEN.search(page, at):
         if found.start() > at:
             take(page[at : found.start()])
         at = found.end()
-        tag = found["tag"]
+        tag = (found["tag"] or found["cut"] or "").lower()
         if not tag:
             continue
-        tag = tag.lower()
+        if tag in RAW and not found["end"]:
+            if tag not in endless and (end := RAW[tag].search(page, at)):
+                at = end.end()
+                if tag != "svg":
+                    close()
+                continue
+            if tag in ("script", "style"):
+                at = len(page)
+                break
+            endless.add(tag)
+            continue
         if tag == "a":
             link = not found["end"]
         if tag in INLINE and tag not in DROPPED:
@@ -109,52 +149,68 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag in VOID:
             continue
         if found["end"]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == tag:
-                    del open_[i:]
-                    break
+            if depth[tag]:
+                while pop() != tag:
+                    pass
             continue
         while open_ and (open_[-1][0] == "p" or (open_[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"))):
-            open_.pop()
-        _, inside, bad = open_[-1] if open_ else ("", False, False)
+            pop()
+        _, inside, bad, doubt = open_[-1] if open_ else ("", False, False, 0)
         inside = inside or tag in ("article", "main")
         if not found["attr"].rstrip().endswith("/") or tag in ("p", "div", "article", "main", "section"):
-            open_.append((tag, inside, bad or _unwanted(tag, found["attr"], inside)))
+            standing = _standing(tag, found["attr"], inside)
+            if standing == DOUBT and not doubt:
+                doubts += 1
+                doubt = doubts
+            open_.append((tag, inside, bad or standing == BAD, doubt))
+            depth[tag] += 1
     if at < len(page):
         take(page[at:])
     close()
     return out
 
 
-def stretches(weights: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Runs of lines between a surge of the window sums and the dive after it."""
-    sums = np.convolve(weights, np.ones(WINDOW))[WINDOW // 2 : WINDOW // 2 + len(weights)]
-    up = np.diff(np.r_[0, (sums > 0).astype(np.int8), 0])
-    return [(a, b) for a, b in zip(np.flatnonzero(up == 1).tolist(), np.flatnonzero(up == -1).tolist(), strict=True) if sums[a:b].max() > least]
+def weights_of(found: list[tuple[str, int, bool, bool, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's characters outside of links, lowered where markup says so, and which are lowered."""
+    size = np.array([len(f[0]) for f in found], float)
+    links, inside, bad, doubt = (np.array([f[k] for f in found]) for k in range(1, 5))
+    n = int(doubt.max()) + 1
+    total, linked, count = np.bincount(doubt, size, n), np.bincount(doubt, links, n), np.bincount(doubt, minlength=n)
+    listed = (linked > LINKED * total) | (total < PROSE * count)
+    listed[0] = False
+    low = bad | listed[doubt]
+    if (size * (inside & ~low)).any():
+        low = low | ~inside
+    return np.maximum(0, size - links) * np.where(low, LOWERED, 1.0), low
+
+
+def stretches(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Lines from each surge of the window sums to the dive after it, less those without weight at its ends."""
+    sums = np.convolve(weights, np.ones(window))[window // 2 : window // 2 + len(weights)]
+    over = (sums >= min(SURGE, PART * sums.max())) & (sums > 0)
+    edge = np.diff(np.r_[0, over.astype(np.int8), 0])
+    out = []
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        heavy = np.flatnonzero(weights[a:b] > 0)
+        if len(heavy):
+            out.append((a + int(heavy[0]), a + int(heavy[-1]) + 1))
+    return out
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, window: int = WINDOW) -> str:
     found = lines(page or "")
     if not found:
         return ""
-    size = np.array([len(t) for t, *_ in found], float)
-    links, inside, bad = (np.array([f[k] for f in found]) for k in (1, 2, 3))
-    if (size * (inside & ~bad)).any():
-        weights, least = np.where(inside & ~bad, size, 0), 0.0
-        runs = stretches(weights, least)
-    else:
-        weights = np.where(bad | (links > LINKED * size), 0, size)
-        runs = stretches(weights, SURGE) or stretches(weights, 0)
-        most = max((weights[a:b].sum() for a, b in runs), default=0)
-        runs = [(a, b) for a, b in runs if weights[a:b].sum() >= PART * most]
-    return " ".join(found[i][0] for a, b in runs for i in range(a, b) if weights[i] > 0)
+    weights, low = weights_of(found)
+    return " ".join(found[i][0] for a, b in stretches(weights, window) for i in range(a, b) if not low[i])
 
 
 def extract(pages: DataFrame, *keep: Column) -> DataFrame:
     """The kept columns, text and n_chars (code points) of every row; ``pages`` has a column html.
 
-    Null and empty pages and pages without text give an empty text. Pages are taken whole and one by one, so
-    repeated rows and extra columns make no difference; no rows give none.
+    Null and empty pages and pages without text give an empty text. Pages are taken whole, one by one and in time
+    that is linear in their length, whatever their markup; so very long pages, ties and repeated rows make no
+    difference. Other columns are ignored, whatever their names; no rows give none.
     """
     rows = pages.select(*keep, F.col("html").cast("string").alias("html"))
 

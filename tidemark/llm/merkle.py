@@ -1,20 +1,23 @@
 """Document fingerprints as Merkle trees.
 
-Leaves are sentences (long ones without marks are cut at places that their letters choose), their parents are
-paragraphs, those of paragraphs sections, which end at blank lines or after a paragraph whose hash says so; on
-top is the root. All cuts follow content, so an edit changes its own branch only. Equal roots mean equal texts;
-comparing two trees goes down from the root and skips equal branches.
+Leaves are sentences (long ones without marks are cut at places that their letters choose). A leaf's end has a
+rank: 1 if a line ends there, 2 if a blank line follows, and more by its hash, each further one in ``FAN`` leaves. A
+node of level k is a run of leaves up to the next end of rank k or more: level 1 are paragraphs, level 2 sections, and
+so on up to one top node. A node's hash is that of its children's hashes, in order. All cuts follow content, so
+that an edit changes the nodes above it only. Equal roots mean equal texts; comparing two trees goes down from the
+root, passes over equal branches in order and opens the others.
 
-A fingerprint is text: the root's 32 hexadecimal digits, then the leaves as 8 digits of their hash and their
-length, with marks where paragraphs and sections end. The inner hashes follow from the leaves.
+A fingerprint is a digest of bounded size: the root's 32 hexadecimal digits, then the levels from the top down to
+the finest that has ``NODES`` nodes at most, each node as 8 digits of its hash, its length and its number of children.
+Texts of any length have some hundred bytes; what lies below the finest level is in its nodes' hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,95 +32,165 @@ SENTENCE = re.compile(r"[^.!?\n。！？]*+[.!?\n。！？]++\s*+|[^.!?\n。！
 #: A sentence of more characters is cut.
 LONG = 40
 SHORTER = re.compile(r".+?(?:(?:[aeo0258]|[^\w\s])\s(?=\S{4})|$)", re.S)
-#: A paragraph in so many ends its section.
-SECTION = 8
-BUCKETS = 4
+#: One end in so many (a power of two) reaches the next level; nodes that a fingerprint's finest level has at most.
+FAN_BITS, NODES = 2, 96
+BUCKETS = 2
 LOWEST = -(1 << 63)
 
+#: hash, length, children
+Node = tuple[int, int, int]
 
-def fingerprint(text: str) -> str:
-    digest = xxhash.xxh64_hexdigest
-    out, sections, paragraphs, leaves = [], [], [], []
+
+def _leaves(text: str) -> tuple[list[int], list[int], list[int]]:
+    """Hash, length and rank of each leaf."""
+    digest = xxhash.xxh64_intdigest
+    hashes, sizes, ranks = [], [], []
     for sentence in SENTENCE.findall(text):
         for leaf in (sentence,) if len(sentence) <= LONG else SHORTER.findall(sentence):
             h = digest(leaf.encode("utf-8", "surrogatepass"))
-            leaves.append(h)
-            out.append(f"{h[:8]}{len(leaf):x}")
+            hashes.append(h)
+            sizes.append(len(leaf))
+            ranks.append(((h & -h).bit_length() - 1) // FAN_BITS if h else 0)
         if "\n" in sentence:
-            paragraphs.append(digest("".join(leaves)))
-            leaves = []
-            if "\n\n" in sentence or int(paragraphs[-1], 16) % SECTION == 0:
-                sections.append(xxhash.xxh3_128_hexdigest("".join(paragraphs)))
-                paragraphs = []
-                out[-1] += ";"
-            else:
-                out[-1] += ","
-    if leaves:
-        paragraphs.append(digest("".join(leaves)))
-    if paragraphs:
-        sections.append(xxhash.xxh3_128_hexdigest("".join(paragraphs)))
-    # the root covers the text itself too, so that equality does not hang on 64 bits of a leaf
-    root = xxhash.xxh3_128_hexdigest("".join(sections) + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")))
-    return f"{root} {' '.join(out)}"
-
-
-def _leaves(print_: str) -> list[tuple[str, int]]:
-    return [(x[:8], int(x[8:].rstrip(",;"), 16)) for x in print_[33:].split()]
+            ranks[-1] += 2 if "\n\n" in sentence else 1
+    return hashes, sizes, ranks
+
+
+def tree(text: str) -> list[list[Node]]:
+    """Levels of nodes from the leaves up to a level of one node at most."""
+    hashes, sizes, ranks = _leaves(text)
+    levels = [[(h, n, 0) for h, n in zip(hashes, sizes, strict=True)]]
+    digest = xxhash.xxh64_intdigest
+    while len(levels[-1]) > 1:
+        k = len(levels)
+        out, kept, first = [], [], 0
+        below = levels[-1]
+        last = len(below) - 1
+        for i, rank in enumerate(ranks):
+            if rank >= k or i == last:
+                part = below[first : i + 1]
+                out.append((digest(b"".join([h.to_bytes(8, "little") for h, _, _ in part])), sum([n for _, n, _ in part]), len(part)))
+                kept.append(rank)
+                first = i + 1
+        levels.append(out)
+        ranks = kept
+    return levels
+
+
+def fingerprint(text: str) -> str:
+    levels = tree(text)
+    base = next((k for k, level in enumerate(levels) if len(level) <= NODES), len(levels) - 1)
+    # the root covers the text itself too, so that equality does not hang on 64 bits of a node
+    top = b"".join(h.to_bytes(8, "little") for h, _, _ in levels[-1])
+    root = xxhash.xxh3_128_hexdigest(top + xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
+    shown = [f"{k}:" + " ".join([f"{h >> 32:08x}{n:x}" + (f".{c:x}" if k > base else "") for h, n, c in levels[k]]) for k in range(len(levels) - 1, base - 1, -1)]
+    return f"{root}/{'/'.join(shown)}"
+
+
+def _levels(print_: str) -> dict[int, list[Node]]:
+    """Nodes by level."""
+    out: dict[int, list[Node]] = {}
+    for part in print_[33:].split("/"):
+        k, _, nodes = part.partition(":")
+        out[int(k)] = [(int(x[:8], 16), int(n, 16), int(c or "0", 16)) for x in nodes.split() for n, _, c in (x[8:].partition("."),)]
+    return out
+
+
+def _common(x: list[Node], y: list[Node]) -> list[tuple[int, int]]:
+    """Pairs of equal nodes, in the order of both, with the most characters together."""
+    pairs = []
+    a, b = 0, min(len(x), len(y))
+    while a < b and x[a][:2] == y[a][:2]:
+        pairs.append((a, a))
+        a += 1
+    tail = []
+    i, j = len(x), len(y)
+    while i > a and j > a and x[i - 1][:2] == y[j - 1][:2]:
+        i, j = i - 1, j - 1
+        tail.append((i, j))
+    places: dict[tuple[int, int], list[int]] = {}
+    for at in range(a, j):
+        places.setdefault(y[at][:2], []).append(at)
+    meets = [(p, q) for p in range(a, i) for q in reversed(places.get(x[p][:2], ()))]
+    if meets:  # best chain that ends at each place of y
+        best: list[tuple[int, tuple | None]] = [(0, None)] * (j - a + 1)
+        for p, q in meets:
+            before = best[q - a]
+            value = before[0] + x[p][1]
+            for k in range(q - a + 1, len(best)):
+                if best[k][0] >= value:
+                    break
+                best[k] = (value, ((p, q), before[1]))
+        chain = best[-1][1]
+        middle = []
+        while chain is not None:
+            middle.append(chain[0])
+            chain = chain[1]
+        pairs += reversed(middle)
+    return pairs + tail[::-1]
+
+
+def compare(a: str, b: str) -> tuple[int, list[tuple[int, int]]]:
+    """Characters in equal branches, and the ranges of characters of b in branches that differ, from the root down."""
+    one, two = _levels(a), _levels(b)
+    size = lambda levels: sum(n for _, n, _ in levels[min(levels)])
+    if a[:32] == b[:32]:
+        return size(two), []
+    low, high = max(min(one), min(two)), min(max(one), max(two))
+    if low > high:
+        return 0, [(0, size(two))] if size(two) else []
+    first = {id(levels): {k: [0, *accumulate(c for _, _, c in nodes)] for k, nodes in levels.items()} for levels in (one, two)}
+    starts = {k: [0, *accumulate(n for _, n, _ in nodes)] for k, nodes in two.items()}
+    same, ranges = 0, []
+    stack = [(high, 0, len(one[high]), 0, len(two[high]))]
+    while stack:
+        k, p, p_end, q, q_end = stack.pop()
+        x, y = one[k][p:p_end], two[k][q:q_end]
+        pairs = _common(x, y)
+        same += sum(x[i][1] for i, _ in pairs)
+        gaps = []
+        i0 = j0 = 0
+        for i, j in [*pairs, (len(x), len(y))]:
+            if i > i0 or j > j0:
+                gaps.append((p + i0, p + i, q + j0, q + j))
+            i0, j0 = i + 1, j + 1
+        for i, i_end, j, j_end in gaps:
+            if k > low and i < i_end and j < j_end:
+                f, g = first[id(one)][k], first[id(two)][k]
+                stack.append((k - 1, f[i], f[i_end], g[j], g[j_end]))
+            elif j < j_end:
+                ranges.append((starts[k][j], starts[k][j_end]))
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(ranges):
+        if out and out[-1][1] == s:
+            out[-1] = (out[-1][0], e)
+        else:
+            out.append((s, e))
+    return same, out
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of both texts' characters in leaves that they have in common, 1 if the roots are equal."""
+    """Share of both texts' characters in equal branches, which count in their order only; 1 if the roots are equal."""
     if a[:32] == b[:32]:
         return 1.0
-    x, y = Counter(_leaves(a)), Counter(_leaves(b))
-    total = sum(n * k for (_, n), k in x.items()) + sum(n * k for (_, n), k in y.items())
-    return 2 * sum(n * min(k, y[leaf]) for leaf, k in x.items() if (n := leaf[1]) and leaf in y) / total if total else 0.0
+    total = sum(sum(n for _, n, _ in levels[min(levels)]) for levels in map(_levels, (a, b)))
+    return 2 * compare(a, b)[0] / total if total else 0.0
 
 
 def differences(a: str, b: str) -> list[tuple[int, int]]:
-    """Ranges of characters of b whose leaves a doesn't have, found from the root down."""
-    if a[:32] == b[:32]:
-        return []
-    out: list[tuple[int, int]] = []
-
-    def cut(body: str, level: int) -> list[str]:
-        if level == 2:
-            return body.split()
-        marks = re.findall(r"[^;]+;?" if level == 0 else r"[^,;]+[,;]?", body)
-        return [m.strip() for m in marks if m.strip()]
-
-    def down(x: list[str], y: list[str], at: int, level: int) -> None:
-        have = Counter(x)
-        rest: list[tuple[int, str]] = []
-        for branch in y:
-            if have[branch] > 0:
-                have[branch] -= 1
-            else:
-                rest.append((at, branch))
-            at += sum(int(leaf[8:].rstrip(",;"), 16) for leaf in branch.split())
-        if level == 2:
-            for start, leaf in rest:
-                end = start + int(leaf[8:].rstrip(",;"), 16)
-                if out and out[-1][1] == start:
-                    out[-1] = (out[-1][0], end)
-                else:
-                    out.append((start, end))
-            return
-        open_ = [part for branch in have.elements() for part in cut(branch, level + 1)]
-        for start, branch in rest:
-            down(open_, cut(branch, level + 1), start, level + 1)
-
-    down(cut(a[33:], 0), cut(b[33:], 0), 0, 0)
-    return out
+    """Ranges of characters of b in branches that a doesn't have, found from the root down, as fine as the fingerprint's finest level."""
+    return compare(a, b)[1]
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, first_edit for every row.
 
     The edited text has the last half of a text (its length halved, rounded down) replaced by as many leading
     characters of the next document's text, or all. Next is by descending doc_id, null last, and the first after
     the last; rows with the same id follow each other in an order that depends on their texts only. Null texts
-    count as empty. A table without rows gives one; a single row is its own next.
+    count as empty. A table without rows gives none; a single row is its own next. Repeated rows are fingerprinted each;
+    texts of any length have a fingerprint of bounded size; other columns are ignored, whatever their names.
+    ``first_edit`` is where the first differing branch begins in the edited text, null if none differs.
 
     Ids are cut at quantiles into ranges, each a few tasks' worth; besides its own rows a range gets a copy of the
     row that follows its last one. Rows are sorted inside a partition and compared as they stream by.
@@ -125,9 +198,9 @@ def neighbours(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = BUCKETS * partitions(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, first_edit long"
     ids = rows.select("id")
-    found = ids.approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
+    found = ids.approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.5 / buckets)
     cuts = np.unique(np.array(found, np.float64)) if found else np.zeros(0)
     place = lambda x: np.searchsorted(cuts, x.astype(np.float64), "right")
 
@@ -175,7 +248,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, made)
 
-    made = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    made = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("first_edit", pa.int64())])
     dealt = rows.mapInArrow(spread, "bucket long, copy boolean, id long, doc_id long, z binary").repartition(partitions(spark), "bucket")
     return dealt.sortWithinPartitions("bucket", "copy", F.desc("id"), "z").mapInArrow(compare, schema)
 
@@ -184,6 +257,7 @@ def edit(doc_id: int | None, text: str, own: str, next_: str, next_print: str) -
     half = len(text) // 2
     edited = text[: len(text) - half] + next_[:half]
     edited_print = fingerprint(edited)
+    changed = differences(own, edited_print)
     return {
         "doc_id": doc_id,
         "n_chars": len(text),
@@ -192,4 +266,5 @@ def edit(doc_id: int | None, text: str, own: str, next_: str, next_print: str) -
         "edited_fingerprint": edited_print,
         "near_edited": likeness(own, edited_print),
         "near_next": likeness(own, next_print),
+        "first_edit": changed[0][0] if changed else None,
     }
