@@ -1,41 +1,45 @@
 """Benchmark passages in documents, with edits.
 
-Texts are sequences of words. A random walk embeds a sequence: at each step it writes the word it stands on and
-moves on or stays, by a bit of that word's hash which differs by step (CGK). Sequences that differ by few edits
-fall into step again soon after each edit, so that their embeddings agree at most steps: edit distance becomes
-Hamming distance. Tables sample a few steps of the embedding; an item and a window that agree on all samples of a
-table are a candidate pair. All windows of all documents, one from each word on, are looked up; walks of a block
-of windows advance together. Items fall into classes by length, and a class samples only steps that stay inside
-its shortest item. An item has walks from several of its words on, so that they cover all of it up to its end
-whichever part the edits take; what agrees with one of them is led back to the item's start. How many tables are used
-follows from the recall wanted, measured on items edited as much as a match may differ: at random, evenly, in their
-first words, without them, in their last words. Candidates are verified by exact edit distance of the whole item.
+Texts are sequences of words. A random walk embeds a sequence of n words in some three steps a word: at each step it
+writes the word it stands on and moves on or stays, by a bit of that word's hash which differs by step; past the last
+word it writes padding (CGK). Sequences that differ by few edits fall into step again soon after each edit, so that
+their embeddings agree at most steps: edit distance becomes Hamming distance. Tables sample a few steps of the
+embedding each, from all along it; an item and a window that agree on all samples of a table are a candidate pair.
+
+Windows are as long as the items that they are held against: items fall into classes by length, an eighth apart, and a
+class embeds windows of its shortest item's length. A window starts at every word of every document, but for those
+that provably hold no item of the class: an edit changes two pairs of adjacent words at most, so that around a match
+at least n - 1 - 2k pairs of words are an item's.
+
+How many walks are used follows from the recall wanted, measured in every class on items edited as much as a match
+may differ, in several ways: at random, evenly, in one place, at the head, at the tail, head or tail missing.
+Candidates are verified by exact edit distance of the whole item. Items of under ``MIN_WALK`` words allow no edit,
+so they are looked up as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY = 0.8
-RECALL = 0.95
-#: Items with fewer words are not looked for: they are found in clean text.
-MIN_WORDS = 5
+#: Recall wanted, and the least that a class may have with all walks.
+RECALL, LEAST_RECALL = 0.95, 0.9
+#: Items with fewer words are looked up exactly.
+MIN_WALK = 5
 #: Steps that a table samples, tables of one walk, walks at most.
-SAMPLES, TABLES, WALKS = 3, 16, 4
-#: Walks at least: real edits are less even than those that the recall is measured on.
-FEWEST = 2
-#: Steps of a walk at most; a bit of a 64-bit hash decides each.
-STEPS = 32
-#: Items with more words than this share a class, since walks start all along them.
-LONGEST = 16
+SAMPLES, TABLES, WALKS = 3, 24, 6
+#: Steps that the samples of every other table lie within; those of the rest lie anywhere.
+SPAN = 8
+#: Edited items that the recall of a class is measured on, in each way.
+TRIALS = 24
 #: Bytes that are split at once, windows whose walks advance together, words whose candidates are verified together.
-PIECE, TOGETHER, HELD = 1 << 18, 1 << 14, 1 << 20
+PIECE, TOGETHER, HELD = 1 << 18, 1 << 13, 1 << 20
 #: Words of items that one pass over the documents looks for.
 PASS_WORDS = 2_000_000
 
@@ -62,7 +66,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def words(text: bytes) -> np.ndarray:
-    """Hashes of the words of a text of any length; a word that spans pieces of it is hashed whole."""
+    """Hashes of the words of a text of any length, piece by piece; a word that spans pieces is hashed whole."""
     if len(text) <= PIECE:
         return _words(np.frombuffer(text, np.uint8))
     out, at = [], 0
@@ -70,10 +74,9 @@ def words(text: bytes) -> np.ndarray:
         end = min(len(text), at + PIECE)
         if end < len(text):
             cut = max(text.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-            if cut <= at:  # a word longer than a piece: its beginning and length stand for it
-                stop = next((i for i in range(end, len(text)) if _SPACE[text[i]]), len(text))
-                out.append(mix(_words(np.frombuffer(text[at:end].strip(), np.uint8))[:1] ^ np.uint64(stop - at)))
-                at = stop
+            if cut <= at:
+                at, found = _long_word(text, at)
+                out.append(found)
                 continue
             end = cut
         out.append(_words(np.frombuffer(text[at:end], np.uint8)))
@@ -81,6 +84,24 @@ def words(text: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _long_word(text: bytes, at: int) -> tuple[int, np.ndarray]:
+    """Where the first word from ``at`` on ends, and its hash: that of its pieces, each at its place."""
+    total, up, started = np.zeros(1, np.uint64), np.ones(1, np.uint64), False
+    while at < len(text):
+        data = np.frombuffer(text[at : at + PIECE], np.uint8)
+        if not started:
+            skip = int(np.argmin(_SPACE[data])) if _SPACE[data[0]] else 0
+            data, at, started = data[skip:], at + skip, True
+        gap = np.flatnonzero(_SPACE[data])
+        n = int(gap[0]) if len(gap) else len(data)
+        total += ((data[:n].astype(np.uint64) + np.uint64(1)) * _UP[:n]).sum(dtype=np.uint64) * up
+        up *= _UP[n]
+        at += n
+        if len(gap):
+            break
+    return at, mix(total)
+
+
 def _words(data: np.ndarray) -> np.ndarray:
     """Hashes of the runs without white space."""
     gap = np.r_[True, _SPACE[data], True]
@@ -102,16 +123,17 @@ def adjacent(tokens: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Class:
-    """Items of at least ``least`` words and the tables that look for them."""
+    """Items of about the same length and the tables that look for them."""
 
-    least: int
+    size: int  # words of a window: of the shortest item
+    lead: int  # words that a match may lack at its head
+    reach: int  # words that the longest item's match may take, with as many again before and after it
+    least: int  # pairs of adjacent words of items around a match, at least
     items: np.ndarray
-    samples: np.ndarray  # walks x tables x samples: the steps sampled
-    keys: list[list[np.ndarray]]  # sorted
-    owners: list[list[np.ndarray]]
-    offsets: list[list[np.ndarray]]  # of the walk in its item
-    maps: list[list[np.ndarray]]
-    shift: int
+    pairs: np.ndarray  # bitmap of the items' pairs of adjacent words, by the leading bits of their hash
+    samples: np.ndarray  # walks x tables x samples: the steps sampled, in order
+    keys: list[list[np.ndarray]] = field(default_factory=list)  # by walk and table; sorted
+    owners: list[list[np.ndarray]] = field(default_factory=list)
 
 
 @dataclass
@@ -122,6 +144,8 @@ class Searcher:
     classes: list[Class]
     similarity: float
     walks: int
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words: sorted hashes, items
+    recall: dict[int, float] = field(default_factory=dict)  # as measured, by words of a class's windows
 
     def search(self, texts: Sequence[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, end, edits) of each item in each text, the best place."""
@@ -140,16 +164,17 @@ class Searcher:
         return found + (self._search(held) if held else [])
 
     def _search(self, held: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
-        pad = np.full(STEPS + 1, PAD)
-        flat = np.concatenate([x for _, t in held for x in (t, pad)])
+        # words of no text around each one, so that windows may begin before a text whose match lacks its head
+        lead = max((c.lead for c in self.classes), default=0)
+        pad = mix(PAD + np.arange(lead + max((c.reach for c in self.classes), default=0), dtype=np.uint64))
+        flat = np.concatenate([pad[:lead], *(x for _, t in held for x in (t, pad))])
         sizes = np.array([len(t) for _, t in held])
-        base = np.cumsum(np.r_[0, sizes[:-1] + len(pad)])
-        windows = np.concatenate([np.arange(b, b + n) for b, n in zip(base, sizes, strict=True)])
-        pairs = self.likely(flat, self.candidates(flat, windows, np.repeat(base, sizes)))
+        base = np.cumsum(np.r_[lead, sizes[:-1] + len(pad)])
+        out = self.exact(held)
+        pairs = self.likely(flat, self.candidates(flat))
         if not len(pairs):
-            return []
-        out = []
-        doc = np.searchsorted(base, pairs[:, 0], "right") - 1
+            return out
+        doc = np.searchsorted(base - lead, pairs[:, 0], "right") - 1
         order = np.lexsort((pairs[:, 0], pairs[:, 1], doc))
         doc, at, item = doc[order], pairs[order, 0], pairs[order, 1]
         new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
@@ -159,25 +184,45 @@ class Searcher:
                 out.append((held[int(doc[a])][0], int(item[a]), *best))
         return out
 
-    def candidates(self, flat: np.ndarray, windows: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """(start, item) pairs of which a window agrees in a table; none starts before its text begins."""
+    def exact(self, held: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
+        """The first place of each short item in each text."""
+        out = []
+        for n, (keys, owners) in self.short.items():
+            for i, tokens in held:
+                if len(tokens) < n:
+                    continue
+                own = runs(tokens, n)
+                low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+                seen = set()
+                for at in np.flatnonzero(high > low).tolist():
+                    for item in owners[low[at] : high[at]].tolist():
+                        if item not in seen and (self.items[item] == tokens[at : at + n]).all():
+                            seen.add(item)
+                            out.append((i, item, at, at + n, 0))
+        return out
+
+    def candidates(self, flat: np.ndarray) -> np.ndarray:
+        """(start, item) pairs of which a window agrees in a table."""
         found = []
-        for w in range(self.walks):
-            symbols = mix(flat ^ self.seeds[w])
-            for at in range(0, len(windows), TOGETHER):
-                place, begin = windows[at : at + TOGETHER], begins[at : at + TOGETHER]
-                for c, t, keys in walk(symbols, place, self.classes, w):
-                    c = self.classes[c]
-                    near = np.flatnonzero(c.maps[w][t].take((keys >> np.uint64(c.shift)).view(np.int64)))
-                    if not len(near):
-                        continue
-                    own, wanted = c.keys[w][t], keys[near]
-                    low, high = np.searchsorted(own, wanted), np.searchsorted(own, wanted, "right")
-                    n = high - low
-                    if n.any():
-                        hit = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        start = np.maximum(np.repeat(place[near], n) - c.offsets[w][t][hit], np.repeat(begin[near], n))
-                        found.append(c.owners[w][t][hit] * len(flat) + start)
+        grams = np.r_[adjacent(flat), PAD] >> np.uint64(64 - PAIR_BITS)
+        for c in self.classes:
+            hits = np.cumsum(np.r_[0, c.pairs.take(grams.view(np.int64))], dtype=np.int32)
+            near = hits[np.minimum(np.arange(c.reach, len(hits) - 1 + c.reach), len(hits) - 1)] - hits[:-1] >= c.least
+            starts = np.flatnonzero(near)
+            for at in range(0, len(starts), TOGETHER):
+                start = starts[at : at + TOGETHER]
+                window = flat[np.minimum(start[:, None] + np.arange(c.size), len(flat) - 1)]
+                for w in range(self.walks):
+                    keys, _ = walk(window, c.samples[w], self.seeds[w])
+                    for t in range(len(keys)):
+                        own, wanted = c.keys[w][t], keys[t]
+                        low = np.searchsorted(own, wanted)
+                        hit = np.flatnonzero(own.take(low, mode="clip") == wanted) if len(own) else low[:0]
+                        if len(hit):
+                            low, high = low[hit], np.searchsorted(own, wanted[hit], "right")
+                            n = high - low
+                            row = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                            found.append(c.owners[w][t][row] * len(flat) + np.repeat(start[hit], n))
         if not found:
             return np.zeros((0, 2), np.int64)
         item, start = np.divmod(distinct(np.concatenate(found)), len(flat))
@@ -210,10 +255,16 @@ class Searcher:
             own[wanted] = False
         return np.concatenate(kept)
 
-    def reached(self, trials: list[tuple[int, np.ndarray]]) -> int:
-        """How many of the edited items are found."""
-        found = self._search([(k, tokens) for k, (_, tokens) in enumerate(trials)])
-        return len({k for k, item, *_ in found if item == trials[k][0]})
+    def reached(self, trials: list[tuple[int, int, int, np.ndarray]]) -> dict[int, float]:
+        """By class, the least share of the edited items (class, way, item, words) that is found, of all ways of editing."""
+        found = {(k, item) for k, item, *_ in self._search([(k, t[3]) for k, t in enumerate(trials)])}
+        hits: dict[tuple[int, int], list[bool]] = {}
+        for k, (size, way, item, _) in enumerate(trials):
+            hits.setdefault((size, way), []).append((k, item) in found)
+        out: dict[int, float] = {}
+        for (size, _), seen in hits.items():
+            out[size] = min(out.get(size, 1.0), sum(seen) / len(seen))
+        return out
 
     def verify(self, tokens: np.ndarray, starts: np.ndarray, item: np.ndarray) -> tuple[int, int, int] | None:
         """The place near the starts with the fewest edits, if few enough."""
@@ -234,30 +285,46 @@ class Searcher:
         return best
 
 
-def walk(symbols: np.ndarray, start: np.ndarray, classes: list[Class], w: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(class, table, key) for the walks from each start."""
-    due: dict[int, list[tuple[int, int]]] = {}
-    for c, one in enumerate(classes):
-        for t, steps in enumerate(one.samples[w]):
-            for step in steps.tolist():
-                due.setdefault(step, []).append((c, t))
-    place = start.astype(np.int64)
-    keys: dict[tuple[int, int], np.ndarray] = {}
-    here = np.empty(len(place), np.uint64)
-    bit = np.empty(len(place), np.uint64)
-    for step in range(max(due, default=-1) + 1):
-        np.take(symbols, place, out=here)
-        for ct in due.get(step, ()):
-            if (key := keys.get(ct)) is None:
-                keys[ct] = here.copy()
-            else:
-                key *= _BASE
-                key += here
-        np.right_shift(here, np.uint64(step), out=bit)
-        np.bitwise_and(bit, np.uint64(1), out=bit)
-        place += bit.view(np.int64)
-    for (c, t), key in keys.items():
-        yield c, t, key
+#: Bits of a pair's hash that its bitmap goes by.
+PAIR_BITS = 22
+
+
+def runs(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words."""
+    out = np.zeros(len(tokens) - n + 1, np.uint64)
+    for k in range(n):
+        out = mix(out * _BASE + tokens[k : len(tokens) - n + 1 + k])
+    return out
+
+
+def walk(windows: np.ndarray, samples: np.ndarray, seed: np.uint64) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys of the windows' walks by table, and which of them sample padding; a row of ``windows`` is a window's words."""
+    n, size = windows.shape
+    padded = np.empty((n, size + 1), np.uint64)
+    padded[:, :size] = windows
+    padded[:, size] = PAD
+    flat = padded.ravel()
+    place = np.arange(n, dtype=np.int64) * (size + 1)
+    end = place + size
+    due: dict[int, list[int]] = {}
+    for t, steps in enumerate(samples.tolist()):
+        for step in steps:
+            due.setdefault(step, []).append(t)
+    keys = [np.zeros(n, np.uint64) for _ in samples]
+    blank = [np.zeros(n, bool) for _ in samples]
+    mixed = flat
+    for step in range(int(samples.max()) + 1):
+        if step % 64 == 0:
+            mixed = mix(flat ^ (seed + np.uint64(step)))
+        here = mixed.take(place)
+        for t in due.get(step, ()):
+            keys[t] *= _BASE
+            keys[t] += here
+            blank[t] |= place == end
+        bit = ((here >> np.uint64(step % 64)) & np.uint64(1)).view(np.int64)
+        place += bit
+        np.minimum(place, end, out=place)
+    return keys, blank
 
 
 def place(item: np.ndarray, tokens: np.ndarray) -> tuple[int, int, int]:
@@ -297,93 +364,120 @@ def edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray
 
 
 def trials_of(item: np.ndarray, edits: int, rng: np.random.Generator) -> list[np.ndarray]:
-    """The item with so many edits: at random, words replaced evenly, the first words replaced, the first words dropped, the last words replaced."""
+    """The item with so many edits, in each of the ways that the recall is measured for."""
     new = rng.integers(1 << 63, size=edits, dtype=np.uint64)
     even = item.copy()
     even[np.linspace(0, len(item) - 1, edits + 2)[1:-1].astype(int)] = new
-    return [edited(item, edits, rng), even, np.r_[new, item[edits:]], item[edits:], np.r_[item[: len(item) - edits], new]]
+    at = int(rng.integers(len(item) - edits + 1))
+    return [
+        edited(item, edits, rng),
+        even,
+        np.r_[item[:at], new, item[at + edits :]],
+        np.r_[item[:at], new, item[at:]],
+        np.r_[new, item[edits:]],
+        item[edits:],
+        np.r_[item[: len(item) - edits], new],
+        item[: len(item) - edits],
+    ]
+
 
+def class_of(words: int) -> int:
+    """Lengths of a class are an eighth apart at most; short ones are their own."""
+    step = max(1, 1 << max(0, words.bit_length() - 4))
+    return words // step * step
 
-def offsets_of(words: int, steps: int) -> list[int]:
-    """Words of an item that walks start from: each walk goes over about half as many words as it has steps."""
-    last = max(0, words - steps // 2)
-    return sorted({*range(0, last, max(1, steps // 4)), last})
 
+def build(ids: list, texts: list[str], similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 7, min_words: int = 1) -> Searcher:
+    """Tables for the items of so many words or more; as many walks as reach the recall in each class and for each way of editing.
 
-def build(ids: list, texts: list[str], similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 7) -> Searcher:
-    """Tables for the items; as many walks as reach the recall on the items themselves, edited in each way."""
+    Raises an error if a class has not even ``LEAST_RECALL`` with all walks; ``recall`` of the result says what was measured.
+    """
     items = [words(t.lower().encode()) for t in texts]
     rng = np.random.default_rng(seed)
     seeds = rng.integers(1 << 63, size=WALKS, dtype=np.uint64)
     by: dict[int, list[int]] = {}
+    short: dict[int, list[int]] = {}
     for i, t in enumerate(items):
-        if len(t) >= MIN_WORDS:
-            by.setdefault(min(LONGEST, 1 << (len(t).bit_length() - 1)), []).append(i)
-    classes, filled = [], []
-    pad = np.full(STEPS + 1, PAD)
-    for least, own in sorted(by.items()):
-        steps = min(STEPS, max(SAMPLES + 1, int(1.5 * least)))
-        samples = np.stack([np.stack([np.sort(rng.choice(steps, SAMPLES, replace=False)) for _ in range(TABLES)]) for _ in range(WALKS)])
-        flat = np.concatenate([x for i in own for x in (items[i], pad)])
-        begin = np.cumsum(np.r_[0, [len(items[i]) + len(pad) for i in own]])[:-1]
-        inside = [offsets_of(len(items[i]), steps) for i in own]
-        offset = np.concatenate(inside)
-        owner = np.repeat(np.array(own), [len(o) for o in inside])
-        start = np.repeat(begin, [len(o) for o in inside]) + offset
-        size = max(12, (64 * len(start) - 1).bit_length())
-        classes.append(Class(least, np.array(own), samples, [], [], [], [], 64 - size))
-        filled.append((flat, start, owner, offset, size))
-    out = Searcher(ids, items, seeds, classes, similarity, 0)
-    tried = [int(i) for i in rng.permutation([i for v in by.values() for i in v])[:400]]
-    ways = list(zip(*([(i, t) for t in trials_of(items[i], out.allowed(items[i]), rng)] for i in tried), strict=True))
-    while ways:
-        if out.walks == WALKS:
-            found = ", ".join(f"{out.reached(way)}" for way in ways)
-            raise RuntimeError(f"{WALKS} walks find {found} of {len(tried)} items edited in each way, less than the recall of {recall}")
-        for one, (flat, start, owner, offset, size) in zip(classes, filled, strict=True):
-            keys, owners, offsets, maps = [], [], [], []
-            for _, _, key in sorted(walk(mix(flat ^ seeds[out.walks]), start, [one], out.walks), key=lambda x: x[1]):
+        if len(t) >= MIN_WALK:
+            by.setdefault(class_of(len(t)), []).append(i)
+        elif len(t) >= max(1, min_words):
+            short.setdefault(len(t), []).append(i)
+    looked = {}
+    for n, own in short.items():
+        keys = np.concatenate([runs(items[i], n) for i in own])
+        order = np.argsort(keys, kind="stable")
+        looked[n] = keys[order], np.array(own)[order]
+    out = Searcher(ids, items, seeds, [], similarity, 0, looked)
+    for _, own in sorted(by.items()):
+        sizes = [len(items[i]) for i in own]
+        size, most = min(sizes), max(out.allowed(items[i]) for i in own)
+        pairs = np.zeros(1 << PAIR_BITS, bool)
+        pairs[np.concatenate([adjacent(items[i]) for i in own]) >> np.uint64(64 - PAIR_BITS)] = True
+        steps = 2 * size  # as many as a walk has inside its window; the third step a word is padding
+        samples = np.zeros((WALKS, TABLES, SAMPLES), np.int64)
+        for w in range(WALKS):
+            for t in range(TABLES):
+                first = (steps - 1) * t // TABLES
+                near = np.arange(first, min(first + SPAN, steps)) if t % 2 == 0 and steps - first > SAMPLES else np.arange(steps)
+                samples[w, t] = np.sort(rng.choice(near, SAMPLES, replace=False))
+        least = min(len(items[i]) - 1 - 2 * out.allowed(items[i]) for i in own)
+        out.classes.append(Class(size, most, max(sizes) + 2 * most + 1, least, np.array(own), pairs, samples))
+    trials = []
+    for c in out.classes:
+        picked = rng.choice(c.items, TRIALS, replace=len(c.items) < TRIALS).tolist()
+        trials += [(c.size, way, i, t) for i in picked for way, t in enumerate(trials_of(items[i], out.allowed(items[i]), rng))]
+    while out.classes:
+        for c in out.classes:
+            window = np.stack([items[i][: c.size] for i in c.items])
+            keys, blank = walk(window, c.samples[out.walks], seeds[out.walks])
+            c.keys.append([])
+            c.owners.append([])
+            for key, skip in zip(keys, blank, strict=True):
+                key, owner = key[~skip], c.items[~skip]
                 order = np.argsort(key, kind="stable")
-                bits = np.zeros(1 << size, bool)
-                bits[key >> np.uint64(one.shift)] = True
-                keys.append(key[order])
-                owners.append(owner[order])
-                offsets.append(offset[order])
-                maps.append(bits)
-            one.keys.append(keys)
-            one.owners.append(owners)
-            one.offsets.append(offsets)
-            one.maps.append(maps)
+                c.keys[-1].append(key[order])
+                c.owners[-1].append(owner[order])
         out.walks += 1
-        if out.walks >= FEWEST and all(out.reached(way) >= recall * len(way) for way in ways):
+        out.recall = out.reached(trials)
+        if min(out.recall.values()) >= recall:
+            break
+        if out.walks == WALKS:
+            if (worst := min(out.recall.values())) < LEAST_RECALL:
+                raise RuntimeError(f"{WALKS} walks find {worst:.2f} of the edited items of a class, less than a recall of {LEAST_RECALL}")
             break
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def passes(benchmark: DataFrame, similarity: float, recall: float, min_words: int) -> Iterator[Searcher]:
+    """Searchers for the items, so many at once as have ``PASS_WORDS`` words together; items come to the driver one such part at a time."""
+    ids: list = []
+    texts: list[str] = []
+    held = 0
+    for row in benchmark.where("text is not null").select("item_id", "text").orderBy("item_id").toLocalIterator():
+        ids.append(row["item_id"])
+        texts.append(row["text"])
+        held += 1 + row["text"].count(" ")
+        if held >= PASS_WORDS:
+            yield build(ids, texts, similarity, recall, min_words=min_words)
+            ids, texts, held = [], [], 0
+    if ids:
+        yield build(ids, texts, similarity, recall, min_words=min_words)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, min_words: int = 1) -> DataFrame:
     """doc_id, item_id, first_word, end_word, edits, similarity: one row for each item that a document holds.
 
-    ``similarity`` is 1 - edits / words of the item, at least as asked for; letters' case is ignored. Items that are
-    null or have fewer than ``MIN_WORDS`` words are not looked for, null and empty texts hold none, repeated rows are
-    searched each, and an empty table on either side gives no rows. Items come to the driver, so many in each pass
-    over the documents as have ``PASS_WORDS`` words together.
+    ``similarity`` is 1 - edits / words of the item, at least as asked for; letters' case is ignored. Of several places
+    with the same edits the first is given. Null items and those with fewer than ``min_words`` words are not looked
+    for, null and empty texts hold none, repeated rows are searched each, texts of any length are searched whole, other
+    columns are ignored whatever their names, and an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
-    sized = benchmark.where("text is not null").select("item_id", "text")
-    parts: list[tuple[list, list[str]]] = []
-    held = PASS_WORDS
-    for row in sized.orderBy("item_id").toLocalIterator():
-        if held >= PASS_WORDS:
-            parts.append(([], []))
-            held = 0
-        parts[-1][0].append(row["item_id"])
-        parts[-1][1].append(row["text"])
-        held += 1 + row["text"].count(" ")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, first_word long, end_word long, edits long, similarity double"
     out = spark.createDataFrame([], schema)
-    for ids, texts in parts:
-        shared = spark.sparkContext.broadcast(build(ids, texts, similarity, recall))
+    for searcher in passes(benchmark, similarity, recall, min_words):
+        shared = spark.sparkContext.broadcast(searcher)  # PASS_WORDS words of items at most
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             searcher = shared.value
@@ -403,3 +497,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
         out = out.union(rows.mapInArrow(run, schema))
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *keep: Column, similarity: float = SIMILARITY, recall: float = RECALL, min_words: int = 1) -> DataFrame:
+    """The kept columns and text of the rows that hold no item, row by row: neither ids nor their repeats matter.
+
+    Otherwise as ``leaks``; ``keep`` must not name a column text.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    for searcher in passes(benchmark, similarity, recall, min_words):
+        shared = spark.sparkContext.broadcast(searcher)  # PASS_WORDS words of items at most
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(batch.num_columns - 1).to_pylist()
+                held = {r[0] for r in shared.value.search([(t or "").lower().encode() for t in texts])}
+                yield batch.filter(pa.array([i not in held for i in range(len(texts))], pa.bool_()))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows
