@@ -83,3 +83,13 @@ def test_equal_nodes_in_order_against_brute_force():
         assert sum(x[i][1] for i, _ in pairs) <= brute(x, y)
         inner = sum(x[i][1] for i, _ in pairs)
         assert inner == brute(x, y) or x[:1] == y[:1] or x[-1:] == y[-1:]  # common ends are taken first
+
+
+def test_known_leaves_are_those_of_the_whole_text():
+    rng = np.random.default_rng(12)
+    bits = ["word ", "longer-words ", "end. ", "why? ", "line\n", "blank\n\n", "ab" * 30, " "]
+    for _ in range(300):
+        a, b = ("".join(rng.choice(bits, int(rng.integers(0, 60)))) for _ in range(2))
+        at = int(rng.integers(0, len(a) + 1))
+        edited = a[:at] + b
+        assert merkle.leaves(edited, merkle.leaves(a), at) == merkle.leaves(edited)

@@ -14,9 +14,11 @@ Texts of any length have some hundred bytes; what lies below the finest level is
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -32,6 +34,8 @@ SENTENCE = re.compile(r"[^.!?\n。！？]*+[.!?\n。！？]++\s*+|[^.!?\n。！
 #: A sentence of more characters is cut.
 LONG = 40
 SHORTER = re.compile(r".+?(?:(?:[aeo0258]|[^\w\s])\s(?=\S{4})|$)", re.S)
+#: A sentence that ends so many characters before a change is cut as without it.
+LOOK = 8
 #: One end in so many (a power of two) reaches the next level; nodes that a fingerprint's finest level has at most.
 FAN_BITS, NODES = 2, 96
 BUCKETS = 2
@@ -41,11 +45,26 @@ LOWEST = -(1 << 63)
 Node = tuple[int, int, int]
 
 
-def _leaves(text: str) -> tuple[list[int], list[int], list[int]]:
-    """Hash, length and rank of each leaf."""
+@dataclass
+class Leaves:
+    """Hashes, lengths and ranks of a text's leaves, and (leaves, characters) up to the end of each sentence."""
+
+    hashes: list[int]
+    sizes: list[int]
+    ranks: list[int]
+    ends: list[tuple[int, int]]
+
+
+def leaves(text: str, known: Leaves | None = None, same: int = 0) -> Leaves:
+    """The leaves of a text; ``known`` are those of another that has the first ``same`` characters in common."""
     digest = xxhash.xxh64_intdigest
-    hashes, sizes, ranks = [], [], []
-    for sentence in SENTENCE.findall(text):
+    hashes, sizes, ranks, ends, at = [], [], [], [], 0
+    if known is not None:
+        k = bisect.bisect_right(known.ends, same - LOOK, key=lambda e: e[1]) - 1
+        if k >= 0:
+            n, at = known.ends[k]
+            hashes, sizes, ranks, ends = known.hashes[:n], known.sizes[:n], known.ranks[:n], known.ends[: k + 1]
+    for sentence in SENTENCE.findall(text, at):
         for leaf in (sentence,) if len(sentence) <= LONG else SHORTER.findall(sentence):
             h = digest(leaf.encode("utf-8", "surrogatepass"))
             hashes.append(h)
@@ -53,13 +72,15 @@ def _leaves(text: str) -> tuple[list[int], list[int], list[int]]:
             ranks.append(((h & -h).bit_length() - 1) // FAN_BITS if h else 0)
         if "\n" in sentence:
             ranks[-1] += 2 if "\n\n" in sentence else 1
-    return hashes, sizes, ranks
+        at += len(sentence)
+        ends.append((len(hashes), at))
+    return Leaves(hashes, sizes, ranks, ends)
 
 
-def tree(text: str) -> list[list[Node]]:
+def tree(found: Leaves) -> list[list[Node]]:
     """Levels of nodes from the leaves up to a level of one node at most."""
-    hashes, sizes, ranks = _leaves(text)
-    levels = [[(h, n, 0) for h, n in zip(hashes, sizes, strict=True)]]
+    ranks = found.ranks
+    levels = [[(h, n, 0) for h, n in zip(found.hashes, found.sizes, strict=True)]]
     digest = xxhash.xxh64_intdigest
     while len(levels[-1]) > 1:
         k = len(levels)
@@ -77,8 +98,8 @@ def tree(text: str) -> list[list[Node]]:
     return levels
 
 
-def fingerprint(text: str) -> str:
-    levels = tree(text)
+def fingerprint(text: str, found: Leaves | None = None) -> str:
+    levels = tree(found or leaves(text))
     base = next((k for k, level in enumerate(levels) if len(level) <= NODES), len(levels) - 1)
     # the root covers the text itself too, so that equality does not hang on 64 bits of a node
     top = b"".join(h.to_bytes(8, "little") for h, _, _ in levels[-1])
@@ -169,12 +190,18 @@ def compare(a: str, b: str) -> tuple[int, list[tuple[int, int]]]:
     return same, out
 
 
-def likeness(a: str, b: str) -> float:
-    """Share of both texts' characters in equal branches, which count in their order only; 1 if the roots are equal."""
+def shared(a: str, b: str) -> tuple[float, list[tuple[int, int]]]:
+    """Likeness and differences of two fingerprints."""
     if a[:32] == b[:32]:
-        return 1.0
+        return 1.0, []
+    same, ranges = compare(a, b)
     total = sum(sum(n for _, n, _ in levels[min(levels)]) for levels in map(_levels, (a, b)))
-    return 2 * compare(a, b)[0] / total if total else 0.0
+    return 2 * same / total if total else 0.0, ranges
+
+
+def likeness(a: str, b: str) -> float:
+    """Share of both texts' characters in equal branches, which count in their order only; 1 if the roots are equal."""
+    return shared(a, b)[0]
 
 
 def differences(a: str, b: str) -> list[tuple[int, int]]:
@@ -230,7 +257,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        held: tuple[int, int | None, str, str] | None = None
+        held: tuple[int, int | None, str, Leaves, str] | None = None
         out: list[tuple] = []
         for batch in batches:
             for b, copy, doc_id, z in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
@@ -238,10 +265,11 @@ def neighbours(docs: DataFrame) -> DataFrame:
                     held = None
                     continue
                 text = expand(z).decode("utf-8", "surrogatepass")
-                own = fingerprint(text)
+                cut = leaves(text)
+                own = fingerprint(text, cut)
                 if held is not None and held[0] == b:
                     out.append(edit(*held[1:], text, own))
-                held = None if copy else (b, doc_id, text, own)
+                held = None if copy else (b, doc_id, text, cut, own)
                 if len(out) >= 256:
                     yield pa.RecordBatch.from_pylist(out, made)
                     out = []
@@ -253,18 +281,18 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("bucket", "copy", F.desc("id"), "z").mapInArrow(compare, schema)
 
 
-def edit(doc_id: int | None, text: str, own: str, next_: str, next_print: str) -> dict:
+def edit(doc_id: int | None, text: str, cut: Leaves, own: str, next_: str, next_print: str) -> dict:
     half = len(text) // 2
     edited = text[: len(text) - half] + next_[:half]
-    edited_print = fingerprint(edited)
-    changed = differences(own, edited_print)
+    edited_print = fingerprint(edited, leaves(edited, cut, len(text) - half))
+    near, changed = shared(own, edited_print)
     return {
         "doc_id": doc_id,
         "n_chars": len(text),
         "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
         "fingerprint": own,
         "edited_fingerprint": edited_print,
-        "near_edited": likeness(own, edited_print),
+        "near_edited": near,
         "near_next": likeness(own, next_print),
         "first_edit": changed[0][0] if changed else None,
     }
