@@ -25,10 +25,10 @@ def brute(rows, least=50):
     return sorted(out, key=str)
 
 
-def run(spark, rows):
+def run(spark, rows, least=50):
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, kept int")
     return sorted(
-        ((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.repeats(docs).collect()), key=str
+        ((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.repeats(docs, least).collect()), key=str
     )
 
 
@@ -65,6 +65,38 @@ def test_frequent_keys_are_cut_into_windows(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("least", [30, 200])
+def test_other_lengths(spark, least):
+    rows = corpus(5) + [(3000 + i, "abcdefgh" * 60 + str(i)) for i in range(3)]
+    assert run(spark, rows, least) == brute(rows, least)
+    with pytest.raises(ValueError, match="least"):
+        suffix.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 24)
+
+
+def test_many_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    passage = "a passage that several of the documents have, longer than fifty bytes"
+    say = lambda: " ".join(f"w{int(x)}" for x in rng.integers(0, 10**6, 12))
+    rows = [(5, passage)] + [(None, f"{say()} {passage if i % 3 else say()} {say()}") for i in range(2000)] + [(7, f"{say()} {passage}") for _ in range(400)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_several_buckets_a_partition_and_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "FULL_BYTES", 500)
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 10)
+    monkeypatch.setattr(suffix, "TEXT_BYTES", 300)
+    monkeypatch.setattr(suffix, "SUFFIXES", 50)
+    rows = corpus(7)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    text = "x" + "a passage that both of the documents have, longer than fifty bytes"
+    docs = spark.createDataFrame([(1, text, 5, "l"), (2, text, 5, "l"), (2, text, 5, "l")], "doc_id long, text string, spans int, dest string")
+    out = suffix.repeats(docs.withColumnRenamed("dest", "lang"), keep=["lang"]).collect()
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in out) == [(1, text, "l"), (2, "", "l"), (2, "", "l")]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 

@@ -8,22 +8,24 @@ The suffix array is distributed. Windows of ``least`` bytes that are equal have
 ``anchors``), so they meet in the bucket of the anchor's key, and each bucket sorts its own suffixes:
 
 1. keys are counted; those of one document only cannot repeat and go no further,
-2. every other anchor sends a hash of the run of bytes that its windows span to the key's bucket, where equal
-   runs are merged (the first document keeps its run); a run that is alone with its key ends there,
-3. runs that differ but share a key are sent with their bytes, and previous factors are found among their suffixes,
-4. covered spans go back to their documents and are cut out.
-
-A key or run that many documents share is merged before each shuffle, so that it sends an entry for each task
-and not for each document. Runs of the most frequent keys are cut into their windows, which are dealt by content.
+2. every other anchor sends the run of bytes that its windows span to the key's bucket,
+3. a bucket sorts the suffixes of its runs and finds their previous factors by the nearest smaller documents on
+   either side; what they cover goes back to the documents and is cut out.
+
+Of equal runs, their bytes compared, a bucket sorts those of the two smallest documents: what is covered of the
+second is covered of all later ones. Before the shuffle a task merges equal runs of its own in the same way: the
+earliest one stays and is a previous factor of the others, so that what a third of all documents share sends an
+entry for each task and not for each document. Runs of the most frequent keys are cut into their windows, which are
+dealt by content.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +36,13 @@ from tidemark.llm.common import binary, partitions, saved
 GRAM = 24
 #: Anchors that a task merges at once.
 BLOCK = 1_500_000
-#: Bytes of input, as stored, that a bucket is worth at least.
-BUCKET_BYTES = 1 << 20
-#: Keys whose runs are cut into windows: the most frequent ones, of those in so many documents.
-HOT_KEYS, HOT_DOCS = 100_000, 1_000
+#: Bytes of input, as stored, that a bucket is worth at least, and at most.
+BUCKET_BYTES, FULL_BYTES = 1 << 20, 1 << 25
+#: Runs of a key are cut into windows if it is in so many documents and in one of so many of all entries. So there are
+#: ``HOT_KEYS`` such keys at most, and any other key has less than that part of the work.
+HOT_DOCS, HOT_KEYS = 1_000, 100_000
+#: Bytes of text whose runs are made at once, and suffixes that are sorted at once.
+TEXT_BYTES, SUFFIXES = 1 << 23, 1 << 20
 LAST = (1 << 63) - 1
 SCHEMA = "kind int, dest long, blob binary"
 
@@ -47,7 +52,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     head = [np.int64(len(arrays[0])).tobytes()]
     body = []
     for a in arrays:
-        head.append(a.dtype.str[1:].encode() + bytes([a.shape[1] if a.ndim > 1 else 0]))
+        head.append(a.dtype.str[1:].encode() + (a.shape[1] if a.ndim > 1 else 0).to_bytes(2, "little"))
         if a.itemsize == 8:
             a = np.diff(a, prepend=a.dtype.type(0)).view(np.uint8).reshape(-1, 8).T
         body.append(np.ascontiguousarray(a).tobytes())
@@ -59,8 +64,8 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(body, np.int64, 1)[0])
     kinds, at = [], 8
     while body[at : at + 1] != b";":
-        kinds.append((np.dtype(body[at : at + 2].decode()), body[at + 2]))
-        at += 3
+        kinds.append((np.dtype(body[at : at + 2].decode()), int.from_bytes(body[at + 2 : at + 4], "little")))
+        at += 4
     at, out = at + 1, []
     for kind, wide in kinds:
         if kind.itemsize == 8:
@@ -88,16 +93,18 @@ def bucket_of(key: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 
 
 def even_buckets(docs: DataFrame) -> np.ndarray:
-    """Numbers that hashing deals to as many different shuffle partitions.
+    """Numbers of buckets that hashing deals evenly to shuffle partitions.
 
     There are as many as shuffle partitions, or fewer where the input, by the optimizer's estimate of its size, is
-    small for them: every task sends each bucket a string, and small input cut fine would be mostly strings.
+    small for them: every task sends each bucket a string, and small input cut fine would be mostly strings. On large
+    input with few partitions each has several, which are worked on one after the other, so that memory is bounded.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    numbers = spark.range(n * (12 + n.bit_length())).select("id", F.expr(f"pmod(hash(id), {n})").alias("p"))
-    found = [r["id"] for r in numbers.groupBy("p").agg(F.min("id").alias("id")).collect()]
+    several = 1 if size >= 1 << 60 else max(1, -(-size // (FULL_BYTES * n)))  # without any estimate sizes are huge
+    numbers = spark.range(n * (12 + n.bit_length()) * several).select("id", F.expr(f"pmod(hash(id), {n})").alias("p"))
+    found = [i for r in numbers.groupBy("p").agg(F.array_sort(F.collect_list("id")).alias("ids")).collect() for i in r["ids"][:several]]
     return np.sort(np.array(found, np.int64))[: max(1, -(-size // BUCKET_BYTES))]
 
 
@@ -152,7 +159,7 @@ def count_keys(texts: list[bytes], docs: np.ndarray, least: int, buckets: np.nda
 
 
 def match_keys(blobs: list[bytes], buckets: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Kind 1: (document, key) of what other tasks have too; kind 2: (key, documents) of frequent keys."""
+    """Kind 1: (document, key) of what other tasks have too; kind 2: (key, documents) of frequent keys; kind 3: entries in all."""
     key, doc, weight = gather(blobs)
     order = np.argsort(key, kind="stable")
     key, doc, weight = key[order], doc[order], weight[order]
@@ -168,26 +175,26 @@ def match_keys(blobs: list[bytes], buckets: np.ndarray) -> list[tuple[int, int,
     hot = total >= HOT_DOCS
     if hot.any():
         out.append((2, 0, pack(key[start][hot], total[hot])))
+    out.append((3, 0, int(total.sum()).to_bytes(8, "little")))
     return out
 
 
-def runs_of(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, wanted: tuple[np.ndarray, np.ndarray], hot: np.ndarray, least: int, buckets: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Kind 0: runs of bytes to their buckets; kind 1: spans that an earlier document here covers."""
-    width = 2 * least - GRAM
-    names = np.unique(np.stack([wanted[0].view(np.uint64), wanted[1]], 1), axis=0)
-    pairs = names[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ names[:, 1]
-    pairs.sort()
+def pair_of(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A hash of document and key; equal ones only let a run through that need not go."""
+    return doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ key
+
+
+def runs_of(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, pairs: np.ndarray, hot: np.ndarray, least: int, buckets: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Kind 0: runs of bytes to their buckets; kind 1: spans that an equal run of an earlier document here covers. ``pairs`` are sorted."""
     at = [i for i, t in enumerate(texts) if len(t) >= least]
     found = list(anchors([texts[i] for i in at], least, GRAM))
-    if not found:
+    if not found or not len(pairs):
         return []
-    row, key, place, first, last = (np.concatenate([f[i] for f in found]) for i in range(5))
+    row, key, first, last = (np.concatenate([f[i] for f in found]) for i in (0, 1, 3, 4))
     row = np.array(at, np.int64)[row]
-    pair = docs[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ key
-    spot = np.searchsorted(pairs, pair)
-    kept = np.flatnonzero((spot < len(pairs)) & (pairs[np.minimum(spot, len(pairs) - 1)] == pair)) if len(pairs) else np.zeros(0, np.int64)
-    row, key, place, first, last = (a[kept] for a in (row, key, place, first, last))
-    mark = (place - first).astype(np.uint8)
+    pair = pair_of(docs[row], key)
+    kept = np.flatnonzero(pairs[np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)] == pair)
+    row, key, first, last = (a[kept] for a in (row, key, first, last))
     if len(hot) and len(key):
         often = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
         cut = np.flatnonzero(often)
@@ -196,24 +203,41 @@ def runs_of(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, wanted: tupl
         own = np.flatnonzero(~often)
         row = np.r_[row[own], np.repeat(row[cut], times)]
         first, last = np.r_[first[own], each], np.r_[last[own], each]
-        key, mark = np.r_[key[own], np.zeros(len(each), np.uint64)], np.r_[mark[own], np.full(len(each), 255, np.uint8)]
+        key = np.r_[key[own], np.zeros(len(each), np.uint64)]
+        whole = np.r_[np.zeros(len(own), bool), np.ones(len(each), bool)]
+    else:
+        whole = np.zeros(len(key), bool)
     if not len(row):
         return []
-    size = (last - first + least).astype(np.uint8)
-    runs = run_bytes(texts, row, first, size, width)
+    size = (last - first + least).astype(np.uint16)
+    runs = run_bytes(texts, row, first, size, 2 * least - GRAM)
     doc, tag = docs[row], tags[row]
-    own = row_hash(runs) ^ size.astype(np.uint64)
-    whole = mark == 255
-    key[whole] = row_hash(runs[whole], 1) & KEY_MASK
-    order = np.lexsort((doc, own, key))
-    key, own, size, doc, tag, whole, first = (a[order] for a in (key, own, size, doc, tag, whole, first))
-    start = groups(key, own)
+    if whole.any():
+        key[whole] = row_hash(runs[whole], 1) & KEY_MASK
+    start, order = equal_runs(runs, size, doc, key)
+    runs, key, size, doc, tag, first = (a[order] for a in (runs, key, size, doc, tag, first))
     later = doc > np.repeat(doc[start], np.diff(np.r_[start, len(doc)]))
     out = dealt(1, home(doc[later], buckets), doc[later], tag[later], first[later], first[later] + size[later])
     sent = np.flatnonzero(~later)
     sent = sent[np.argsort(doc[sent], kind="stable")]
-    dest = bucket_of(key[sent], buckets)
-    return out + dealt(0, dest, key[sent], own[sent], size[sent], whole[sent].astype(np.uint8), doc[sent], tag[sent], first[sent])
+    part = ((key >> np.uint64(24)) & np.uint64(0xFFFF)).astype(np.uint16)
+    return out + dealt(0, bucket_of(key[sent], buckets), runs[sent], size[sent], part[sent], doc[sent], tag[sent], first[sent])
+
+
+def equal_runs(runs: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of groups of equal runs in an order, and the order, in which each group's documents go up.
+
+    Hashes bring equal runs together; that they are equal is told by their bytes.
+    """
+    own = row_hash(runs) ^ size.astype(np.uint64)
+    order = np.lexsort((doc, own)) if key is None else np.lexsort((doc, own, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (size[order[1:]] != size[order[:-1]]) | (own[order[1:]] != own[order[:-1]])
+    same = np.flatnonzero(~new)
+    for at in range(0, len(same), 1 << 16):
+        few = same[at : at + (1 << 16)]
+        new[few] = (runs[order[few]] != runs[order[few - 1]]).any(axis=1)
+    return np.flatnonzero(new), order
 
 
 def run_bytes(texts: list[bytes], row: np.ndarray, first: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
@@ -225,37 +249,6 @@ def run_bytes(texts: list[bytes], row: np.ndarray, first: np.ndarray, size: np.n
     return runs
 
 
-def merge_runs(blobs: list[bytes], buckets: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Kind 1: spans of runs that an earlier document has; kind 3: (document, tag, start, size, key) of runs to compare with others of their key."""
-    key, own, size, whole, doc, tag, first = gather(blobs)
-    order = np.lexsort((doc, own, key))
-    key, own, size, whole, doc, tag, first = (a[order] for a in (key, own, size, whole, doc, tag, first))
-    start = groups(key, own)
-    later = doc > np.repeat(doc[start], np.diff(np.r_[start, len(doc)]))
-    spans = np.flatnonzero(later)
-    spans = spans[np.argsort(doc[spans], kind="stable")]
-    out = dealt(1, home(doc[spans], buckets), doc[spans], tag[spans], first[spans], first[spans] + size[spans])
-    by_key = groups(key)
-    n = np.diff(np.r_[by_key, len(key)])
-    several = own[by_key] != np.maximum.reduceat(own, by_key)
-    fine = np.flatnonzero(np.repeat(several, n) & ~later & (whole == 0))
-    fine = fine[np.argsort(doc[fine], kind="stable")]
-    return out + dealt(3, home(doc[fine], buckets), doc[fine], tag[fine], first[fine], size[fine], key[fine])
-
-
-def fetch_runs(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, blobs: list[bytes], least: int, buckets: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Kind 0: the runs' bytes to their keys' buckets."""
-    doc, tag, first, size, key = gather(blobs)
-    place = {(int(d), int(t)): i for i, (d, t) in enumerate(zip(docs, tags, strict=True))}
-    row = np.array([place.get(x, -1) for x in zip(doc.tolist(), tag.tolist(), strict=True)], np.int64)
-    here = np.flatnonzero(row >= 0)
-    row, doc, tag, first, size, key = (a[here] for a in (row, doc, tag, first, size, key))
-    if not len(row):
-        return []
-    runs = run_bytes(texts, row, first, size, 2 * least - GRAM)
-    return dealt(0, bucket_of(key, buckets), runs, size, doc, tag, first)
-
-
 def row_hash(rows: np.ndarray, seed: int = 0) -> np.ndarray:
     padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
     padded[:, : rows.shape[1]] = rows
@@ -310,25 +303,62 @@ def previous_factors(words: np.ndarray, doc: np.ndarray, least: int) -> np.ndarr
 
 
 def find_spans(blobs: list[bytes], least: int, buckets: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Kind 1: (document, tag, start, end) of what an earlier document covers, by the suffixes of all runs."""
-    runs, size, doc, tag, first = gather(blobs)
+    """Kind 1: (document, tag, start, end) of what an earlier document covers, by the suffixes of all runs.
+
+    Equal windows have equal keys, so parts of the keys are sorted one after the other.
+    """
+    runs, size, part, doc, tag, first = gather(blobs)
+    order = np.argsort(part, kind="stable")
+    times = np.cumsum((size[order].astype(np.int64) - least + 1))
+    start = groups(part[order])
+    out, at = [], 0
+    while at < len(start):
+        low = times[start[at] - 1] if start[at] else 0
+        end = max(at + 1, int(np.searchsorted(times[np.r_[start[1:], len(order)] - 1], low + SUFFIXES, "right")))
+        mine = order[start[at] : start[end] if end < len(start) else len(order)]
+        out.append(covered(runs[mine], size[mine], doc[mine], least) + (mine,))
+        at = end
+    who = np.concatenate([m[w] for w, _, _, m in out])
+    begin, stop = (np.concatenate([o[k] for o in out]) for k in (1, 2))
+    to = np.argsort(doc[who], kind="stable")
+    who, begin, stop = who[to], begin[to], stop[to]
+    return dealt(1, home(doc[who], buckets), doc[who], tag[who], first[who] + begin, first[who] + stop)
+
+
+def covered(runs: np.ndarray, size: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, begin, end): the maximal parts of runs that previous factors of ``least`` bytes cover."""
+    start, order = equal_runs(runs, size, doc)
+    n = np.diff(np.r_[start, len(order)])
+    group = np.repeat(np.arange(len(start)), n)
+    lowest = doc[order[start]]
+    later = np.flatnonzero(doc[order] > lowest[group])  # in the order of groups and documents
+    second = later[np.r_[True, group[later][1:] != group[later][:-1]]] if len(later) else later
+    chosen = order[np.r_[start, second]]  # of each group the smallest document's run and the next one's
     wide = runs.shape[1]
-    times = size.astype(np.int64) - least + 1
-    owner = np.repeat(np.arange(len(runs)), times)
+    times = size[chosen].astype(np.int64) - least + 1
+    owner = np.repeat(np.arange(len(chosen)), times)
     offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     stride = wide + 8
-    flat = np.zeros(len(runs) * stride + 16, np.uint8)
-    flat[: len(runs) * stride].reshape(len(runs), stride)[:, :wide] = runs
+    flat = np.zeros(len(chosen) * stride + 16, np.uint8)
+    flat[: len(chosen) * stride].reshape(len(chosen), stride)[:, :wide] = runs[chosen]
     eight = np.ndarray((len(flat) - 8,), ">u8", flat, strides=(1,))
     words = np.stack([eight[owner * stride + offset + k].astype(np.uint64) for k in range(0, least, 8)], 1)
     if least % 8:
         words[:, -1] &= ~np.uint64((1 << (8 * (8 - least % 8))) - 1)
-    hit = np.flatnonzero(previous_factors(words, doc[owner], least) >= least)
+    hit = np.flatnonzero(previous_factors(words, doc[chosen][owner], least) >= least)
     if not len(hit):
-        return []
-    a = np.flatnonzero(np.r_[True, (owner[hit][1:] != owner[hit][:-1]) | (offset[hit][1:] > offset[hit][:-1] + least)])
-    who, begin, end = owner[hit][a], offset[hit][a], offset[hit][np.r_[a[1:], len(hit)] - 1] + least
-    return dealt(1, home(doc[who], buckets), doc[who], tag[who], first[who] + begin, first[who] + end)
+        return (np.zeros(0, np.int64),) * 3
+    new = np.flatnonzero(np.r_[True, (owner[hit][1:] != owner[hit][:-1]) | (offset[hit][1:] > offset[hit][:-1] + least)])
+    who, begin, end = owner[hit][new], offset[hit][new], offset[hit][np.r_[new[1:], len(hit)] - 1] + least
+    # rows of a chosen run: those of its group with its document, and for the second one all later ones
+    low = np.r_[start, second]
+    high = np.r_[start, second]
+    count_low = np.bincount(group[np.flatnonzero(doc[order] == lowest[group])], minlength=len(start))
+    high[: len(start)] += count_low
+    high[len(start) :] = (start + n)[group[second]]
+    k = (high - low)[who]
+    rows = np.repeat(low[who], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    return order[rows], np.repeat(begin, k), np.repeat(end, k)
 
 
 def repeats(docs: DataFrame, least: int = 50, keep: Sequence[str] = ()) -> DataFrame:
@@ -337,9 +367,13 @@ def repeats(docs: DataFrame, least: int = 50, keep: Sequence[str] = ()) -> DataF
     ``text`` is what stays, less the bytes of characters that were cut in two.
 
     Texts are taken as UTF-8 bytes, null as none, and matches never cross documents. A null id comes after all
-    others. Rows with the same id do not remove each other's passages. Texts under ``least`` bytes keep all; a
-    table without rows gives one.
+    others. Rows with the same id, null included, do not remove each other's passages; they are told apart by hashes
+    of their texts (64 bits for null ids, 32 for others), and repeated rows lose the same bytes each. Texts under
+    ``least`` bytes keep all, texts of any length are taken whole; a table without rows gives none. Other columns
+    than those to keep are ignored, whatever their names; those to keep must not have a name of the result's.
     """
+    if not GRAM < least < 1 << 14:
+        raise ValueError(f"least is {GRAM + 1} to {(1 << 14) - 1} bytes")
     spark = docs.sparkSession
     buckets = even_buckets(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -398,20 +432,17 @@ def repeats(docs: DataFrame, least: int = 50, keep: Sequence[str] = ()) -> DataF
     def texts_of(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         expand = zstandard.ZstdDecompressor().decompress
         texts = [expand(z) for z in table.column("z").to_pylist()]
-        return table.column("doc_id").combine_chunks().fill_null(LAST).to_numpy(), texts, np.array([zlib.crc32(t) & 0xFFFF for t in texts], np.uint16)
+        doc = table.column("doc_id").combine_chunks().fill_null(LAST).to_numpy()
+        tag = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
+        return doc, texts, np.where(doc == LAST, tag, tag & np.uint64(0xFFFFFFFF)).view(np.int64)
 
     def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int, bytes]] = []
         if left.num_rows and right.num_rows:
-            doc, texts, tag = texts_of(left)
-            out = runs_of(texts, doc, tag, tuple(gather(right.column("blob").to_pylist())), frequent.value, least, buckets)
-        return pa.Table.from_batches([batch_of(out)])
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, bytes]] = []
-        if left.num_rows and right.num_rows:
-            doc, texts, tag = texts_of(left)
-            out = fetch_runs(texts, doc, tag, right.column("blob").to_pylist(), least, buckets)
+            pairs = distinct(pair_of(*gather(right.column("blob").to_pylist())))
+            for at, end in pieces(left):
+                doc, texts, tag = texts_of(left.slice(at, end - at))
+                out += runs_of(texts, doc, tag, pairs, frequent.value, least, buckets)
         return pa.Table.from_batches([batch_of(out)])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -442,17 +473,37 @@ def repeats(docs: DataFrame, least: int = 50, keep: Sequence[str] = ()) -> DataF
 
     packed = whole.mapInArrow(compress, f"dest long, {kept}doc_id long, z binary")
     counted = saved(buckets_of(rows.mapInArrow(keys, SCHEMA), lambda b: match_keys(b, buckets)))
-    often = [unpack(bytes(r["blob"])) for r in counted.where("kind = 2").select("blob").toLocalIterator()]
-    hot = np.zeros(0, np.uint64)
-    if often:
-        key, total = (np.concatenate(x) for x in zip(*often, strict=True))
-        hot = np.sort(key[np.argsort(-total, kind="stable")[:HOT_KEYS]])
-    frequent = spark.sparkContext.broadcast(hot)
+    total = sum(int.from_bytes(r["blob"], "little") for r in counted.where("kind = 3").select("blob").toLocalIterator())
+    bound = max(HOT_DOCS, total // HOT_KEYS)
+
+    def hottest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                key, n = unpack(blob)
+                yield pa.RecordBatch.from_arrays([pa.array(key[n >= bound].view(np.int64))], ["key"])
+
+    hot = [r["key"] for r in counted.where("kind = 2").select("blob").mapInArrow(hottest, "key long").toLocalIterator()]
+    frequent = spark.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))  # HOT_KEYS keys at most
     shared = counted.where("kind = 1").select("dest", "blob").groupBy("dest")
-    runs = buckets_of(packed.groupBy("dest").cogroup(shared).applyInArrow(fetch, SCHEMA), lambda b: merge_runs(b, buckets))
-    unlike = runs.where("kind = 3").select("dest", "blob").groupBy("dest")
-    factors = buckets_of(packed.groupBy("dest").cogroup(unlike).applyInArrow(compare, SCHEMA), lambda b: find_spans(b, least, buckets))
-    spans = runs.where("kind = 1").union(factors).select("dest", "blob")
+    runs = packed.groupBy("dest").cogroup(shared).applyInArrow(fetch, SCHEMA)
+    spans = buckets_of(runs, lambda b: find_spans(b, least, buckets)).select("dest", "blob")
     return packed.groupBy("dest").cogroup(spans.groupBy("dest")).applyInArrow(
         cut, f"{kept}doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary, text string"
     )
+
+
+def pieces(table: pa.Table) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``TEXT_BYTES`` of text each, or one row."""
+    size = np.array([zstandard.frame_content_size(z) for z in table.column("z").to_pylist()], np.int64)
+    at = held = 0
+    for i, n in enumerate(size.tolist()):
+        if held and held + n > TEXT_BYTES:
+            yield at, i
+            at, held = i, 0
+        held += n
+    yield at, len(size)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
