@@ -1,9 +1,11 @@
 """Mix sources to target weights.
 
 Every document gets a random key that depends on its id only. Within a source documents are taken in the
-order of their keys; prefix sums of their sizes tell where the source's budget ends. The key's leading
-digits cut a source into buckets of bounded size, so that prefix sums are sums of whole buckets plus a
-running sum inside one bucket: no task ever holds a whole source.
+order of their keys; prefix sums of their sizes tell where the source's budget ends. Leading digits of the key cut a
+source's range into buckets of bounded size whose sums are combined before the shuffle. The bucket in which a budget
+ends is found by prefix sums over a few digits at a time, from the first ones on: no task ever sums over all buckets
+of a source. Only that one bucket's documents are sorted; all others are before or behind the cut and stay where they
+are.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from tidemark.llm.common import WORD, saved
 
 #: Rows that a bucket of one source holds on average, at most.
 BUCKET_ROWS = 500
-#: A digit of the key is a hexadecimal one.
-MAX_DIGITS = 12
+#: Digits of the key, which are hexadecimal, that buckets go by at most, and that one round of prefix sums goes by.
+MAX_DIGITS, STEP = 12, 3
 
 
 def size_of(text: Column) -> Column:
@@ -26,8 +28,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary"))
+def random_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """By the id; documents without one have keys by their texts, so that they don't share one."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string")))
+    return F.md5(F.concat(name, F.lit(":" + seed)).cast("binary"))
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float], share: float, repeats: float) -> dict[str | None, float]:
@@ -56,52 +60,60 @@ def mix(
     repeats: float = 2.0,
     seed: str = "mix",
     bucket_rows: int = BUCKET_ROWS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, before, taken.
+    """One row per document: the columns to keep, doc_id, source, size, source_size, target, taken.
 
-    ``before`` is the number of words of the same source whose key is smaller, ``taken`` how many words of
-    the document the mix takes over all epochs. A source's taken words add up to its target, rounded down.
+    ``taken`` is how many words of the document the mix takes over all epochs. A source's taken words add up to its
+    target, rounded down.
 
-    The number of sources is taken to be small (each is a row on the driver). Null or empty texts have size
-    0 and nothing is taken; a null source is a source of its own; rows with the same id share a key and are
-    ordered by size, further ties count as given; a table without rows gives one.
+    The number of sources is taken to be small (each is a row on the driver); they get their weights in order, one by
+    one. Null or empty texts have size 0 and nothing is taken; texts of any length count whole; a null source is a
+    source of its own; rows with the same id share a key and are ordered by size, further ties count as given; a table
+    without rows gives none. Columns that are not to be kept are ignored, whatever their names; those to keep must not
+    have a name of the result's.
     """
-    # texts are read once; what follows works on a few numbers a document
-    sized = saved(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key")))
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    wanted = targets({r["source"]: r["size"] for r in per_source}, weights, share, repeats)
-    most = max((r["n"] for r in per_source), default=0)
+    size, key = size_of(F.col("text")), random_key(F.col("doc_id"), F.col("text"), seed)
+    plain = docs.select("doc_id", "source", size.alias("size"), key.alias("key"))
+    # without more columns a few numbers a document are written once, instead of reading texts twice
+    rows = docs.select(*keep, *(c for c in ("doc_id", "source") if c not in keep), size.alias("size"), key.alias("key")) if keep else saved(plain)
+    numbers = plain if keep else rows
+    most = docs.count()
     digits = next(d for d in range(MAX_DIGITS + 1) if most <= bucket_rows * 16**d or d == MAX_DIGITS)
-
-    facts = docs.sparkSession.createDataFrame(
-        [(r["source"], int(r["size"]), wanted[r["source"]]) for r in per_source], "source string, source_size long, target double"
-    )
-    bucket = ["source", "bucket"]
-    keyed = sized.withColumn("bucket", F.substring("key", 1, digits))
-    inside = Window.partitionBy(*bucket).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = keyed.groupBy(*bucket).agg(F.sum("size").alias("bucket_size")).withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
-    # sources are few and known, so they are broadcast; buckets join on the shuffle that the running sum needs anyway
-    starts = sums.join(F.broadcast(facts), sums["source"].eqNullSafe(facts["source"])).select(
-        sums["source"].alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "target"
-    )
-    ranked = keyed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = ranked.join(starts, (F.coalesce("source", F.lit("")) == F.coalesce("s", F.lit(""))) & (F.col("bucket") == F.col("b")) & F.col("source").eqNullSafe(F.col("s")))
-    before = F.col("offset") + F.col("within")
-    budget = F.floor(F.col("target")).cast("long")
-    return joined.select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        before.alias("before"),
-        taken(F.col("size"), before, F.col("source_size"), budget).alias("taken"),
-    )
-
-
-def taken(size: Column, before: Column, source_size: Column, budget: Column) -> Column:
-    """Whole epochs count fully; the last one goes as far as the budget does."""
-    epochs = F.when(source_size > 0, F.floor(budget / source_size)).otherwise(0).cast("long")
-    last = budget - epochs * source_size
-    return (epochs * size + F.greatest(F.lit(0), F.least(size, last - before))).cast("long")
+    bucket = F.substring("key", 1, digits) if digits else F.lit("")
+    sums = saved(numbers.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size")))
+    facts = cuts(sums, weights, share, repeats, digits)
+
+    # a row for each source, as on the driver
+    placed = rows.withColumn("bucket", bucket).join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("s")))
+    named = [*keep, *(c for c in ("doc_id", "source") if c not in keep), "size", "source_size", "target"]
+    whole = F.col("epochs") * F.col("size")
+    at_cut = F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
+    clear = placed.where(~at_cut).select(*named, (whole + F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(0)).cast("long").alias("taken"))
+    ahead = Window.partitionBy("s").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("ahead") + F.coalesce(F.sum("size").over(ahead), F.lit(0))
+    last = F.greatest(F.lit(0), F.least("size", F.col("rest") - before))
+    return clear.union(placed.where(at_cut).select(*named, (whole + last).cast("long").alias("taken")))
+
+
+def cuts(sums: DataFrame, weights: Sequence[float], share: float, repeats: float, digits: int) -> DataFrame:
+    """s, source_size, target, epochs, rest, cut, ahead of each source.
+
+    It is taken ``epochs`` times as a whole and once up to ``rest`` words: the buckets before ``cut``, with ``ahead``
+    words, and the first ones of that bucket. Without a rest there is no cut.
+    """
+    spark = sums.sparkSession
+    sizes = {r["source"]: int(r["size"]) for r in sums.groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    wanted = targets(sizes, weights, share, repeats)
+    epochs = {s: int(wanted[s]) // n if n else 0 for s, n in sizes.items()}
+    rest = {s: int(wanted[s]) - epochs[s] * n for s, n in sizes.items()}
+    open_ = {s: ("", 0) for s, left in rest.items() if left > 0}  # prefix of the cut, words before it
+    for length in [*range(STEP, digits, STEP), digits] if digits and open_ else []:
+        known = spark.createDataFrame([(s, p, ahead, rest[s]) for s, (p, ahead) in open_.items()], "s string, prefix string, ahead long, rest long")
+        inside = sums.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("s")) & F.col("bucket").startswith(F.col("prefix")))
+        parts = inside.groupBy("s", F.substring("bucket", 1, length).alias("part")).agg(F.sum("size").alias("n"), F.first("ahead").alias("ahead"), F.first("rest").alias("rest"))
+        up_to = F.col("ahead") + F.sum("n").over(Window.partitionBy("s").orderBy("part"))  # 16 ** STEP parts of a source at most
+        hit = parts.withColumn("up_to", up_to).where("up_to - n < rest AND rest <= up_to")
+        open_ = {r["s"]: (r["part"], int(r["up_to"] - r["n"])) for r in hit.collect()}
+    facts = [(s, n, wanted[s], epochs[s], rest[s], *open_.get(s, (None, 0))) for s, n in sizes.items()]
+    return spark.createDataFrame(facts, "s string, source_size long, target double, epochs long, rest long, cut string, ahead long")
