@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import mixing
@@ -45,3 +46,36 @@ def test_stages(spark, tmp_path):
         want[r["source"]] = want.get(r["source"], 0) + r["taken"]
     assert want == {s: int(t) for s, t in mixing.targets(sizes, (5, 2, 1), 1.5, 2.0).items()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen["mix"])
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_null_and_repeated_ids_in_each_stage(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows, item, _ = corpus(rng)
+    rows = [(None if i % 3 == 0 else i % 5, t, la, s, n) for i, t, la, s, n in rows]
+    spark.createDataFrame(rows, COLUMNS).withColumns({"size": F.lit(1), "taken": F.lit("x"), "score": F.lit(0)}).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.saved(stage(spark, docs, str(tmp_path)))
+        seen[name] = docs.collect()
+    assert len(seen["language"]) == 160 and len(seen["near_duplicates"]) == 158
+    texts = [r["text"] for r in seen["near_duplicates"]]
+    assert len(set(texts)) == len(texts) <= len(seen["repeats"])
+    assert len(seen["decontaminate"]) == len(seen["repeats"]) - 1 and not any(item in r["text"] for r in seen["decontaminate"])
+    sizes = {}
+    for r in seen["decontaminate"]:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(r["text"].split())
+    want = mixing.targets(sizes, (5, 2, 1), 1.5, 2.0)
+    for source, target in want.items():
+        assert sum(r["taken"] for r in seen["mix"] if r["source"] == source) == int(target)
+    assert {(r["doc_id"], r["text"]) for r in seen["mix"]} <= {(r["doc_id"], r["text"]) for r in seen["decontaminate"]}
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "an item of some words that is long enough")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

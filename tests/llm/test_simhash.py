@@ -121,3 +121,24 @@ def test_near_copies_at_the_similarity_against_brute_force(spark):
             assert out[i + 1] == i + 1
     assert sum(s < 0.9 for s, _ in alike) > 30
     assert sum(hit for _, hit in alike) >= 0.98 * len(alike)
+
+
+def test_one_original_of_each_group_whatever_the_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, other = " ".join(words), " ".join(reversed(words))
+    rows = [(3, text, 1), (3, text, 2), (3, other, 3), (None, text, 4), (None, other + " more", 5), (None, None, 6), (8, "", 7), (2, text + " end", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    out = simhash.near_copies(docs.withColumnRenamed("node", "mark"), keep=["text", "mark"]).collect()
+    assert sorted((r["text"] or "", r["mark"]) for r in out) == sorted((t or "", m) for _, t, m in rows)
+    groups = {}
+    for r in out:
+        groups.setdefault(r["component_id"], []).append((r["mark"], r["original"]))
+    assert {k: sorted(m for m, _ in v) for k, v in groups.items()} == {2: [1, 2, 4, 8], 3: [3, 5], 8: [6, 7]}
+    assert {k: [m for m, o in v if o] for k, v in groups.items()} == {2: [8], 3: [3], 8: [7]}
+    assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
+def test_two_texts_with_one_id_are_not_linked_by_it(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "p q r s t u v"), (0, "p q r s t u v")], "doc_id long, text string")
+    out = simhash.near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(0, 0), (1, 0), (1, 1)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -40,10 +41,10 @@ def missing(columns: Iterable[str], df: DataFrame) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; a temporary one in local runs without it."""
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; in local runs without it, as in tests, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/tidemark-{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -64,30 +65,41 @@ def drop_saved(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sample(rows: DataFrame, stratum: str, most: int, key: str = "doc_id") -> DataFrame:
-    """About ``most`` rows of each stratum at most, chosen by a hash of the key, for fitting a model.
+#: A hash's range, for draws at any rate.
+RANGE = 1 << 62
 
-    A stratum with fewer rows is taken whole. Strata must be few: their counts come to the driver.
+
+def sample(rows: DataFrame, stratum: str, most: int, key: str = "doc_id") -> tuple[DataFrame, dict]:
+    """About ``most`` rows of each stratum at most, chosen by a hash of the key, for fitting a model; and each stratum's share that is taken.
+
+    A stratum with fewer rows is taken whole. Strata must be few: their counts come to the driver. Who fits
+    frequencies to the sample weighs a stratum's rows by the inverse of its share.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(stratum).count().collect()}
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000))
-    keep = F.lit(False)
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(RANGE))
+    keep, share = F.lit(False), {}
     for value, n in counts.items():
-        keep = keep | (F.col(stratum).eqNullSafe(F.lit(value)) & (draw < F.lit(int(min(1.0, most / n) * 1_000_000))))
-    return rows.where(keep)
+        share[value] = min(1.0, most / n)
+        limit = RANGE if most >= n else RANGE * most // n
+        keep = keep | (F.col(stratum).eqNullSafe(F.lit(value)) & (draw < F.lit(limit)))
+    return rows.where(keep), share
 
 
-def rescale(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve through (score, label), by damped Newton steps with a slight ridge."""
+def rescale(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve through (score, label), by damped Newton steps with a slight ridge.
+
+    Weights, of any scale, tell how many rows each one stands for.
+    """
     if len(x) == 0:
         return 0.0, -20.0
+    v = np.ones(len(x)) if weight is None else weight * (len(x) / weight.sum())
     middle, spread = float(x.mean()), float(x.std()) or 1.0
     ones = np.stack([(x - middle) / spread, np.ones_like(x)], 1)
-    loss = lambda w: np.logaddexp(0, np.where(y > 0, -1, 1) * (ones @ w)).sum() + ridge / 2 * w @ w
+    loss = lambda w: (v * np.logaddexp(0, np.where(y > 0, -1, 1) * (ones @ w))).sum() + ridge / 2 * w @ w
     w = np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(ones @ w, -30, 30)))
-        step = np.linalg.solve(ones.T @ (ones * (p * (1 - p))[:, None]) + ridge * np.eye(2), ones.T @ (p - y) + ridge * w)
+        step = np.linalg.solve(ones.T @ (ones * (v * p * (1 - p))[:, None]) + ridge * np.eye(2), ones.T @ (v * (p - y)) + ridge * w)
         size = 1.0
         while size > 1e-4 and loss(w - size * step) > loss(w):
             size /= 2

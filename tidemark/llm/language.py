@@ -11,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +23,44 @@ from tidemark.llm.common import sample
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents of each language that a fit reads, about, at most.
-SAMPLE_DOCS = 1_200
+SAMPLE_DOCS = 3_000
 #: Words and n-grams that a model keeps, the most frequent ones.
-MAX_WORDS, MAX_GRAMS = 100_000, 60_000
+MAX_WORDS, MAX_GRAMS = 200_000, 100_000
 ORDERS = (5, 4, 3, 2, 1)
-#: Unseen words whose scores a worker remembers.
-REMEMBERED = 200_000
+#: Unseen words whose scores a worker remembers, their letters at most, words of a text that are summed at once.
+REMEMBERED, SHORT, BLOCK = 200_000, 64, 1 << 15
 
 
-def grams(word: str, order: int) -> list[str]:
+def grams(word: str, order: int) -> Iterator[str]:
     padded = f" {word} "
-    return [padded[i : i + order] for i in range(len(padded) - order + 1)]
+    return (padded[i : i + order] for i in range(len(padded) - order + 1))
+
+
+class Rows(dict):
+    """A row of the table of scores for each word; unseen words are scored by their n-grams and get one of the last rows."""
+
+    def __init__(self, model: LanguageModel):
+        super().__init__(model.words)
+        self.model = model
+        n = len(model.words)
+        self.table = np.zeros((n + REMEMBERED + BLOCK, len(model.languages)), np.float32)
+        self.table[:n] = model.word_scores
+        self.next = n
+
+    def __missing__(self, word: str) -> int:
+        at = self.next
+        self.table[at] = self.model.backoff(word)
+        self.next += 1
+        if len(word) <= SHORT:  # longer ones take a row until the block is summed
+            self[word] = at
+        return at
+
+    def tidy(self) -> None:
+        """Between blocks: forget unseen words before the table is full."""
+        if self.next > len(self.model.words) + REMEMBERED:
+            self.clear()
+            self.update(self.model.words)
+            self.next = len(self.model.words)
 
 
 @dataclass
@@ -42,59 +70,64 @@ class LanguageModel:
     word_scores: np.ndarray
     grams: dict[str, int]
     gram_scores: np.ndarray
-    unseen: dict[str, np.ndarray] = field(default_factory=dict)
+    rows: Rows | None = field(default=None, compare=False, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rows": None}
 
     def backoff(self, word: str) -> np.ndarray:
-        """Mean score of the word's longest n-grams that are known; zeros if not even a letter is."""
-        if (score := self.unseen.get(word)) is None:
-            score = np.zeros(len(self.languages))
-            for order in ORDERS:
-                if known := [i for g in grams(word[:64], order) if (i := self.grams.get(g)) is not None]:
-                    score = self.gram_scores[known].mean(axis=0)
-                    break
-            if len(self.unseen) >= REMEMBERED:
-                self.unseen.clear()
-            self.unseen[word] = score
-        return score
+        """Mean score of the word's longest n-grams that are known, over the whole word; zeros if not even a letter is."""
+        for order in ORDERS:
+            total, n = np.zeros(len(self.languages)), 0
+            pieces = grams(word, order)
+            while some := list(islice(pieces, BLOCK)):
+                known = [i for g in some if (i := self.grams.get(g)) is not None]
+                if known:
+                    total += self.gram_scores[known].sum(axis=0)
+                    n += len(known)
+            if n:
+                return total / n
+        return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the posterior, tempered by the root of the number of words."""
-        counts = Counter(LETTERS.findall((text or "").lower()))
-        if not counts or not self.languages:
+        words = LETTERS.findall((text or "").lower())
+        if not words or not self.languages:
             return UNKNOWN, 0.0
-        rows, times, total = [], [], np.zeros(len(self.languages))
-        for word, n in counts.items():
-            if (i := self.words.get(word)) is None:
-                total += n * self.backoff(word)
-            else:
-                rows.append(i)
-                times.append(n)
-        if rows:
-            total += np.asarray(times, float) @ self.word_scores[rows]
+        if self.rows is None:
+            self.rows = Rows(self)
+        total = np.zeros(len(self.languages))
+        for at in range(0, len(words), BLOCK):
+            found = list(map(self.rows.__getitem__, words[at : at + BLOCK]))
+            total += self.rows.table.take(found, axis=0).sum(axis=0, dtype=np.float64)
+            self.rows.tidy()
         best = int(total.argmax())
-        spread = np.exp((total - total[best]) / max(1.0, counts.total() ** 0.5))
+        spread = np.exp((total - total[best]) / max(1.0, len(words) ** 0.5))
         return self.languages[best], float(spread[best] / spread.sum())
 
 
-def _scores(found: pa.Table, key: str, languages: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """Log frequencies less their mean over the languages, so that what tells nothing scores 0."""
-    names, row = np.unique(np.array(found[key].to_pylist(), dtype=object), return_inverse=True) if found.num_rows else ([], np.zeros(0, int))
-    counts = np.zeros((len(names), len(languages)))
+def _scores(found: pa.Table, key: str, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Log frequencies less their mean over the languages, so that what tells nothing scores 0; ``found`` has a list of (language, count) for each key."""
+    names = found[key].to_pylist()
+    if not names or not languages:
+        return {}, np.zeros((0, len(languages)), np.float32)
     column = {name: i for i, name in enumerate(languages)}
-    np.add.at(counts, (row, [column[x] for x in found["lang"].to_pylist()]), found["n"].to_numpy())
-    total = counts.sum(axis=0)
-    kept = np.sort(np.argsort(-counts.sum(axis=1), kind="stable")[:most])
-    logs = np.log((counts[kept] + 0.2) / (total + 0.2 * max(1, len(names))))
-    return {names[i]: at for at, i in enumerate(kept)}, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
+    counts = np.zeros((len(names), len(languages)))
+    for i, by in enumerate(found["by"].to_pylist()):
+        for x in by:
+            counts[i, column[x["lang"]]] += x["n"]
+    logs = np.log((counts + 0.2) / (counts.sum(axis=0) + 0.2 * len(names)))
+    return {name: i for i, name in enumerate(names)}, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
 def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
     """Learn from the rows' text and lang; rows without a lang are left out, and so are those beyond the sample.
 
-    Counting is distributed; the driver gets words seen twice and n-grams seen three times in the sample.
+    Counting is distributed; the driver gets the most frequent words and n-grams, as many as the model keeps. Languages
+    must be few.
     """
     labelled = rows.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    chosen = sample(labelled, "lang", sample_docs)
+    chosen, share = sample(labelled, "lang", sample_docs)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,28 +143,31 @@ def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WO
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 times = 1 + int(np.log2(n))  # frequent words must not drown the patterns of the rest
                 for order in ORDERS:
-                    for g in grams(word[:64], order):
+                    for g in grams(word, order):
                         found[lang, g] += times
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"]
             )
 
+    def frequent(counts: DataFrame, key: str, most: int) -> pa.Table:
+        by = counts.groupBy(key).agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))  # a row for each language
+        return by.orderBy(F.desc("total"), key).limit(most).select(key, "by").toArrow()
+
     counted = chosen.select("lang", "text").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = counted.where("n > 1").toArrow()
-    pieces = counted.mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 2").toArrow()
-    languages = sorted(set(words["lang"].to_pylist()) | set(pieces["lang"].to_pylist()))
-    w, ws = _scores(words, "word", languages, max_words)
-    g, gs = _scores(pieces, "gram", languages, max_grams)
-    return LanguageModel(languages, w, ws, g, gs)
+    words = frequent(counted, "word", max_words)
+    pieces = frequent(counted.mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", max_grams)
+    languages = sorted({x["lang"] for by in words["by"].to_pylist() for x in by}) if share else []
+    return LanguageModel(languages, *_scores(words, "word", languages), *_scores(pieces, "gram", languages))
 
 
 def identify(docs: DataFrame, model: LanguageModel, *keep: Column) -> DataFrame:
     """doc_id, the kept columns, lang_pred and score for every row.
 
-    ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Rows are scored one by
-    one: repeated rows and ids come back as they are, extra columns are ignored, no rows give none.
+    ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Of languages with the same
+    sum the first by name is taken. Rows are scored one by one, texts and words of any length as a whole: repeated rows
+    and ids come back as they are, extra columns are ignored, whatever their names, no rows give none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_words and max_grams entries
     rows = docs.select("doc_id", *keep, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,26 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, html_text, language, merkle, mixing, quality, simhash, suffix, toxicity, urls
-from tidemark.llm.common import fold, table
+from tidemark.llm.common import fold, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def held_out(folds: int, fold_: int) -> Column:
+    """Whether a document's fold is left out of learning; a null id is in no fold and never learned from."""
+    return F.coalesce(fold(F.col("doc_id"), folds) == fold_, F.lit(True))
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(fold(F.col("doc_id"), 5) != 0)
-    return quality.score(docs, quality.fit(docs, labels))
+    seen = saved(quality.features(table(spark, sf_dir, "documents")))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out(5, 0))
+    return quality.score(seen, quality.fit(seen, labels))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(F.col("doc_id"), 5) != 0)
-    scored = toxicity.score(docs, toxicity.fit(docs, labels), held_out)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(5, 0))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), held_out(5, 0).alias("held_out"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
@@ -47,8 +51,7 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = fold(F.col("doc_id"), 4) == 2
-    return language.identify(docs, language.fit(docs.where(~held_out)), held_out.alias("held_out"))
+    return language.identify(docs, language.fit(docs.where(~held_out(4, 2))), held_out(4, 2).alias("held_out"))
 
 
 #: Host, path, verdict.

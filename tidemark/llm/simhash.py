@@ -13,7 +13,7 @@ group of n near copies makes links in proportion to n.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ BITS = 64
 RADIUS = 3
 #: Fingerprints that have their own prefix in one bucket, on average; their variants are some 561 times as many.
 BUCKET = 1024
+#: Stands for a null id: after all others.
+LAST = (1 << 63) - 1
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 #: Bands of a text and least hashes in each.
@@ -138,23 +140,26 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def links(nodes: DataFrame, bits: int) -> DataFrame:
-    """a, b: pairs of distinct fingerprints within three bits, enough of them to connect all that are linked."""
+    """a, b: pairs of nodes (first_id, fp) within three bits, enough of them to connect all that are linked."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, prints = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             rows, prefix = prefixes(prints.view(np.uint64), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(prints[rows])], ["prefix", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(ids[rows]), pa.array(prints[rows])], ["prefix", "first_id", "fp"])
 
     def collide(group: pa.Table) -> pa.Table:
-        prints = np.sort(group.column("fp").to_numpy())
+        ids, prints = group.column("first_id").to_numpy(), group.column("fp").to_numpy()
+        order = np.lexsort((prints, ids))
+        ids, prints = ids[order], prints[order]
         a, b = meet(prints.view(np.uint64), int(group.column("prefix")[0].as_py()), bits)
         root = forest(len(prints), a, b)
         moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": prints[moved], "b": prints[root[moved]]})
+        return pa.table({"a_id": ids[moved], "a_fp": prints[moved], "b_id": ids[root[moved]], "b_fp": prints[root[moved]]})
 
-    dealt = nodes.select("fp").mapInArrow(deal, "prefix long, fp long")
-    return dealt.groupBy("prefix").applyInArrow(collide, "a long, b long")
+    dealt = nodes.select("first_id", "fp").mapInArrow(deal, "prefix long, first_id long, fp long")
+    found = dealt.groupBy("prefix").applyInArrow(collide, "a_id long, a_fp long, b_id long, b_fp long")
+    return found.select(*(F.struct(F.col(f"{x}_id").alias("first_id"), F.col(f"{x}_fp").alias("fp")).alias(x) for x in "ab"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -162,16 +167,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
 
     ``fingerprint`` is 16 hexadecimal digits; ``component_id`` is the smallest doc_id reachable over links of at
     most three differing bits, the document itself included. Rows with the same id are rows of their own and
-    both are returned; a null id never is a component's id unless no document in it has one. Texts without
-    words have fingerprint zero and are linked like any other. A table without rows gives one.
+    both are returned; a null id never is a component's id unless no document in it has one. Null texts count as
+    empty; texts without words have fingerprint zero and are linked like any other; texts of any length are taken
+    whole. Equal texts have equal fingerprints, so ties have one result. Other columns are ignored, whatever their
+    names. A table without rows gives none.
+
+    A node is a fingerprint with the smallest id that has it, so that a component's smallest node names its id and no
+    group ever meets under its root.
     """
     prints = saved(fingerprints(docs, shingle, seed))
-    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    bits = max(0, min(24, (nodes.count() // BUCKET).bit_length()))
+    nodes = saved(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("first_id")))
+    bits = max(0, (nodes.count() // BUCKET).bit_length())
     roots = components(links(nodes, bits))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = saved(rooted.join(least, "root").select(F.col("fp").alias("node_fp"), "component_id"))
+    rooted = nodes.select("fp", "first_id", F.struct("first_id", "fp").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
+    component = F.coalesce(F.col("root.first_id"), F.col("first_id"))
+    of = saved(rooted.select(F.col("fp").alias("node_fp"), F.when(component != LAST, component).alias("component_id")))
     return prints.join(of, prints["fp"] == of["node_fp"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp"
     )
@@ -205,21 +215,26 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """doc_id and component_id of every row, over links between texts whose word shingles are that similar.
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, component_id, original and the columns to keep of every row, over links between texts whose word shingles are that similar.
 
     Similarity is the share of common shingles in all shingles of two texts. A fingerprint of 64 bits finds few of
     the copies with some edits: at 0.8 about ten bits differ. So candidates are texts that share a band: ``ROWS`` least
     hashes of their shingles, as two of a similarity s do with s ** ROWS for each of ``BANDS`` bands; at 0.8 one of 2,800
     pairs shares none. Candidates are verified by their shingles. Each text of a band is held against the band's
     smallest, then against those of the band that are not connected to it yet, so that a large group makes links in
-    proportion to its size. Texts with the same shingles are one node. Otherwise as ``near_duplicates``.
+    proportion to its size. Texts with the same shingles are one node.
+
+    ``original`` is true for one row of each group, that with the smallest doc_id, null last; of several such rows one.
+    Rows are told apart by themselves, not by ids: ids may be null or repeat. Null and empty texts have no shingles and
+    are copies of each other; texts of any length are taken whole; other columns are ignored, whatever their names;
+    those to keep must not have a name of the result's. No rows give none.
     """
     seeds = np.random.default_rng(seed).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in binary(batch.column(1))]
+            sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in binary(batch.column(batch.num_columns - 1))]
             nodes = [xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets]
             bands = []
             for s in sets:
@@ -227,31 +242,38 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
                 bands.append([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:-1],
                     pa.array(np.array(nodes, np.uint64).view(np.int64)),
                     pa.array(list(np.array(bands, np.uint64).reshape(-1, BANDS).view(np.int64)), pa.list_(pa.int64())),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                ["doc_id", "node", "bands", "shingles"],
+                [*batch.schema.names[:-1], "node", "bands", "shingles"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = saved(rows.mapInArrow(run, "doc_id long, node long, bands array<long>, shingles binary"))
-    nodes = saved(prints.groupBy("node").agg(F.min("doc_id").alias("first_id")))
+    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("whole"))
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    # a row's number is stored with it, so that it is the same whoever reads it
+    prints = saved(rows.mapInArrow(run, f"{kept}node long, bands array<long>, shingles binary").withColumn("row", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("row"))).alias("first")
+    nodes = saved(prints.groupBy("node").agg(first))
     banded = prints.select("node", F.explode("bands").alias("band")).distinct()
     heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
     shared = saved(banded.join(heads.drop("n"), "band"))  # of bands that several nodes have
     wanted = shared.select("node").distinct()
     sets = saved(prints.join(wanted, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]))
-    first = saved(similar(shared.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), sets, similarity))
-    roots = saved(components(first).select(F.col("node").alias("n"), "root"))
+    direct = saved(similar(shared.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), sets, similarity))
+    roots = saved(components(direct).select(F.col("node").alias("n"), "root"))
     placed = shared.join(roots, F.col("node") == F.col("n"), "left").select("band", "node", "head", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
     apart = saved(placed.join(mixed, "band").where("node != head"))  # the head has met all of them
     a, b = (apart.select("band", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
     rest = a.join(b, "band").where("root_a < root_b").select("a", "b").distinct()
-    edges = saved(first.union(similar(rest, sets, similarity)))
-    of = components(edges).select(F.col("node").alias("n"), "root")
-    rooted = nodes.join(of, F.col("node") == F.col("n"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    found = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select(F.col("node").alias("n"), "component_id")
-    return prints.select("doc_id", "node").join(found, F.col("node") == F.col("n")).select("doc_id", "component_id")
+    links = saved(direct.union(similar(rest, sets, similarity)))
+    firsts = lambda x: nodes.select(F.col("node").alias(x), F.struct("first", "node").alias(f"{x}_node"))
+    named = links.join(firsts("a"), "a").join(firsts("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    of = components(named)  # nodes by their first rows: a component's smallest node names its first row
+    own = nodes.select(F.struct("first", "node").alias("own"), "node").join(of.withColumnRenamed("node", "linked"), F.col("own") == F.col("linked"), "left")
+    found = saved(own.select(F.col("node").alias("n"), F.coalesce("root.first", "own.first").alias("first")))
+    named = prints.drop("bands", "shingles").join(found, F.col("node") == F.col("n"))
+    component = F.when(F.col("first.id") != LAST, F.col("first.id")).alias("component_id")
+    return named.select(*keep, "doc_id", component, (F.col("row") == F.col("first.row")).alias("original"))

@@ -25,8 +25,8 @@ from tidemark.llm.common import rescale, sample
 TOKENS = re.compile(r"\w+")
 #: Documents of each label that a fit reads, about, at most.
 SAMPLE_DOCS = 12_000
-#: Tokens that a model keeps, those with the largest weights.
-MAX_TOKENS = 100_000
+#: Tokens that a model keeps, those with the largest weights, and tokens that are weighed, the most frequent ones.
+MAX_TOKENS, WEIGHED = 100_000, 400_000
 DRIFT = 0.6
 #: Lengths of the beginnings of words that stand in for a word.
 STEMS = (4, 5, 6)
@@ -156,11 +156,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, max_
     """Learn from the text of documents and their labels' toxic (1 or 0; others are left out), a bounded sample of each.
 
     The calibration holds each half of the sample against weights of the other half. Labels are sampled before
-    their documents are looked up, so at most the sample is broadcast and no text is shuffled.
+    their documents are looked up, so at most the sample is broadcast and no text is shuffled. The calibration weighs
+    each label by the inverse of its sampled share, so that its threshold is that of all labelled documents.
     """
     labelled = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
-    few = sample(labelled, "toxic", sample_docs).limit(4 * sample_docs)
+    few, share = sample(labelled, "toxic", sample_docs)  # about sample_docs rows of either label
     chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("toxic", half, "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, max_
 
     counted = chosen.mapInArrow(count, "token string, stem boolean, c0 long, t0 long, c1 long, t1 long")
     counted = counted.groupBy("token", "stem").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
-    found = counted.select("*", F.expr("t0 + t1 AS t"), F.expr("c0 + c1 AS c")).where("t + c > 2").toArrow()
+    found = counted.select("*", F.expr("t0 + t1 AS t"), F.expr("c0 + c1 AS c")).orderBy(F.desc(F.expr("t + c")), "token", "stem").limit(WEIGHED).toArrow()
     halves = [ToxicityModel(*weigh(found, f"t{i}", f"c{i}", max_tokens), 0.0, 1.0, 0.0) for i in (1, 0)]
 
     def examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, max_
     label, x = seen["toxic"].to_numpy().astype(float), seen["x"].to_numpy()
     clean = x[(label == 0) & seen["any"].to_numpy(zero_copy_only=False).astype(bool)]
     log_k = float(clean.mean() - np.euler_gamma) if len(clean) > 20 else 0.0  # a Gumbel's mean is its place plus Euler's constant
-    slope, intercept = rescale(x - log_k, label)
+    slope, intercept = rescale(x - log_k, label, np.where(label > 0, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0)))
     return ToxicityModel(*weigh(found, "t", "c", max_tokens), log_k, max(0.0, slope), intercept)
 
 
@@ -198,7 +199,8 @@ def score(docs: DataFrame, model: ToxicityModel, *keep: Column) -> DataFrame:
     """doc_id, the kept columns, score, passages for every row; ``passages`` holds the significant segments.
 
     Null and empty texts have no passages and the score of a text without any toxic token. Rows are scored one
-    by one: ties, repeated rows and clashing extra columns make no difference, no rows give none.
+    by one, texts of any length as a whole: null ids, ties, repeated rows and extra columns, whatever their names, make
+    no difference, no rows give none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", *keep, F.col("text").cast("string").alias("text"))
