@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,9 +66,27 @@ def test_token_f1(spark, a, b, f1):
     assert row[0] == pytest.approx(f1)
 
 
-@pytest.mark.parametrize(("text", "shape"), [("", "medium"), ("Ada Lovelace", "short person-name"), ("By Ada, 2 days ago.", "short has-digit ends-stop has-comma by-prefix relative-date"), ("5 min read", "short has-digit reading-time")])
+@pytest.mark.parametrize(("text", "shape"), [
+        ("", "shape:medium_text"),
+        ("word " * 21, "shape:medium_text"),
+        ("word " * 41, "shape:long_text"),
+        ("by " * 81, "shape:long_text"),
+        ("by " * 101, "shape:very_long_text"),
+        ("Ada Lovelace", "shape:short_text shape:single_name"),
+        ("@ada.l", "shape:short_text shape:single_name shape:handle"),
+        ("By Ada, 2 days ago.", "shape:short_text phrase:by_prefix shape:multiple_names shape:comma_list shape:relative_date"),
+        ("By: Ada and Alan Turing", "shape:short_text phrase:by_prefix phrase:by_colon shape:single_name shape:multiple_names shape:and_last_name"),
+        ("Posted May 3, 2024 · 5 min read", "shape:short_text phrase:published shape:multiple_names shape:comma_list shape:absolute_date shape:reading_time shape:date_plus_reading_time"),
+        ("thanks to the research team and its director", "shape:short_text phrase:thanks_to shape:multiple_names shape:and_last_name shape:organization shape:name_and_role"),
+    ],
+)
 def test_shapes(spark, text, shape):
-    assert one(spark, text, T.shape_tokens(F.col("x"))) == (shape,)
+    assert " ".join(one(spark, text, T.shape_tokens(F.col("x")))[0]) == shape
+
+
+def test_shapes_of_links_and_headings(spark):
+    made = one(spark, "Ada Lovelace", T.shape_tokens(F.col("x"), F.lit(1), F.lit(True)), T.shape_tokens(F.col("x"), F.lit(3)))
+    assert made == (["shape:short_text", "shape:one_link"], ["shape:short_text", "shape:multiple_links", "shape:single_name"])
 
 
 @pytest.mark.parametrize(
@@ -104,9 +123,33 @@ def test_vectors(spark):
 
 
 def test_keys(spark):
-    same = [keys.idempotency_key(F.lit("s"), F.lit("1"), keys.canonical_json(b=F.lit(1), a=F.lit("x"))), keys.idempotency_key(F.lit("s"), F.lit("1"), keys.canonical_json(a=F.lit("x"), b=F.lit(1)))]
-    other = keys.idempotency_key(F.lit("s"), F.lit("2"), keys.canonical_json(a=F.lit("x"), b=F.lit(1)))
-    x, y, z = one(spark, "", *same, other)
+    key = lambda version, *rerun: keys.idempotency_key(F.lit("s"), F.lit(version), keys.canonical_json(b=F.lit(1), a=F.lit("x")), F.lit("c"), *rerun)
+    x, y, z, forced = one(spark, "", key("1"), key("1", F.lit("")), key("2"), key("1", F.lit("again")))
+    assert x == "s:1:" + hashlib.sha256(b'{"configuration_version":"c","input":{"a":"x","b":1},"stage":{"name":"s","version":"1"}}').hexdigest()
+    assert forced == f"{x}:force:{hashlib.sha256(b'again').hexdigest()}"
     assert x == y != z
     assert [one(spark, n, keys.retry_delay(F.col("x"), 500, 10_000), schema="x int")[0] for n in (1, 2, 5, 6, 90)] == [500, 1000, 8000, 10000, 10000]
     assert one(spark, "a", keys.jittered(F.lit(1000), F.col("x")))[0] in range(1000)
+
+
+def test_canonical_json_sorts_every_level_and_needs_finite_numbers(spark):
+    rows = spark.createDataFrame([({"b": 1.5, "a": 2.0}, [(1, "x")])], "m map<string, double>, s array<struct<z: int, a: string>>")
+    made = keys.canonical_json(rows.schema, s=F.col("s"), m=F.col("m"))
+    assert rows.select(made).first()[0] == '{"m":{"a":2.0,"b":1.5},"s":[{"a":"x","z":1}]}'
+    bad = spark.createDataFrame([(float("nan"),)], "x double")
+    with pytest.raises(Exception, match="not finite"):
+        bad.select(keys.canonical_json(bad.schema, x=F.col("x"))).collect()
+
+
+@pytest.mark.parametrize(
+    ("text", "day"),
+    [("13/4/2024", "2024-04-13"), ("4/13/2024", "2024-04-13"), ("9/11/2026", None), ("le 9/11/2026 par Ada", "2026-11-09"), ("31/12/49", "2049-12-31"), ("31/12/50", "1950-12-31"), ("31/2/2024", None), ("2024-05-01 and May 1, 2024", "2024-05-01"), ("Sept. 3rd 2020", "2020-09-03")],
+)
+def test_calendar_dates(spark, text, day):
+    assert one(spark, text, dates.calendar_date(F.col("x")).cast("string")) == (day,)
+
+
+def test_scoring_dates(spark):
+    at = F.lit("2024-03-10").cast("date")
+    day = lambda text: one(spark, text, dates.scoring_date(F.col("x"), at).cast("string"))[0]
+    assert [day(t) for t in ("on 2024-1-5.", "May 3, 2020", "3 may 2020", "2 weeks ago", "1 day ago", "2024-02-30", "no")] == ["2024-01-05", "2020-05-03", "2020-05-03", "2024-02-25", "2024-03-09", None, None]

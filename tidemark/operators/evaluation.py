@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import overlap
 
 #: The latency histogram's upper bounds, in milliseconds.
 BOUNDS = (5, 10, 20, 30, 40, 50, 75, 100, 200, 400, 800)
@@ -33,10 +32,37 @@ def missing_scores(rows: DataFrame, by: str, gold: Column, predicted: Column) ->
     return n.select(by, (F.col("hit") / F.greatest(F.lit(1), F.col("said"))).alias("missing_precision"), (F.col("hit") / F.greatest(F.lit(1), F.col("true"))).alias("missing_recall"))
 
 
-def word_errors(gold: Column, predicted: Column) -> tuple[Column, Column]:
-    """Words missing and words unwanted, as multisets."""
-    both = overlap(gold, predicted)
-    return F.size(gold) - both, F.size(predicted) - both
+def overlaps(rows: DataFrame, keys: Sequence[str], gold: str, predicted: str) -> DataFrame:
+    """keys, gold_n, predicted_n, common: sizes of two arrays of tokens and of their multiset intersection; keys are unique.
+
+    Tokens are counted by key, combined before the shuffle, so texts of any length take time in proportion.
+    """
+    side = lambda c, k: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.struct(t.alias("token"), F.lit(k).alias("gold")))
+    both = rows.select(*keys, F.explode_outer(F.concat(side(F.col(gold), True), side(F.col(predicted), False))).alias("x"))
+    n = lambda mine: F.count(F.when(F.col("x.gold") == mine, 1))
+    counted = both.groupBy(*keys, F.col("x.token").alias("token")).agg(n(True).alias("g"), n(False).alias("p"))
+    return counted.groupBy(*keys).agg(F.sum("g").alias("gold_n"), F.sum("p").alias("predicted_n"), F.sum(F.least("g", "p")).alias("common"))
+
+
+def f1() -> Column:
+    """Token F1 of what ``overlaps`` gives: 1 if both are empty, 0 if one is."""
+    g, p = F.col("gold_n"), F.col("predicted_n")
+    return F.when(g + p == 0, 1.0).when((g == 0) | (p == 0), 0.0).otherwise(2.0 * F.col("common") / (g + p))
+
+
+def benchmark_scores(rows: DataFrame, least: float = 0.9) -> DataFrame:
+    """scope, field, n, accuracy, mean_f1, exact, specificity; ``rows`` has split, field, gold, f1 and exact.
+
+    Scopes are all pages, all but those trained on, and each other split. ``accuracy`` is the part with an F1 of 0.9 at
+    least; ``specificity`` that of pages without the field on which nothing was found, null without such pages.
+    """
+    scopes = F.array(F.lit("all"), F.when(F.col("split") != "train", "nontrain"), F.when(F.col("split").isin("validation", "test"), F.col("split")))
+    each = rows.withColumn("scope", F.explode(F.filter(scopes, lambda s: s.isNotNull())))
+    absent = F.coalesce(F.col("gold"), F.lit("")) == ""
+    ok = lambda c: F.avg(c.cast("int"))
+    return each.groupBy("scope", "field").agg(
+        F.count("*").alias("n"), ok(F.col("f1") >= least).alias("accuracy"), F.avg("f1").alias("mean_f1"), ok(F.col("exact")).alias("exact"), F.avg(F.when(absent, (F.col("f1") == 1).cast("int"))).alias("specificity")
+    )
 
 
 def histogram(rows: DataFrame, value: str, bounds: Sequence[int] = BOUNDS) -> DataFrame:
@@ -46,6 +72,21 @@ def histogram(rows: DataFrame, value: str, bounds: Sequence[int] = BOUNDS) -> Da
     return sums.select(F.explode(cells).alias("c")).select("c.le", "c.n")
 
 
+def latency_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """by, mean, median, p95; median and p95 at nearest ranks."""
+    rank = lambda part: F.expr(f"percentile_disc({part}) WITHIN GROUP (ORDER BY {value})")
+    return rows.groupBy(by).agg(F.avg(value).alias("mean"), rank(0.5).alias("median"), rank(0.95).alias("p95"))
+
+
+def split_counts(rows: DataFrame, split: str, label: str, wanted: dict[str, int]) -> DataFrame:
+    """split, label, n; a split whose rows are not as many as wanted is an error."""
+    total = rows.groupBy(split).agg(F.count("*").alias("total"))
+    expected = F.create_map(*(F.lit(x) for kv in wanted.items() for x in kv))
+    wrong = F.coalesce(expected[F.col(split)] != F.col("total"), F.lit(False))
+    checked = total.where(F.when(wrong, F.raise_error(F.concat(F.lit("wrong size of "), F.col(split))).cast("boolean")).otherwise(True))
+    return rows.groupBy(split, label).agg(F.count("*").alias("n")).join(checked.select(split), split)
+
+
 def nearest_rank(rows: DataFrame, by: str, value: str, part: float = 0.95) -> DataFrame:
     """by, value at rank ceil(n * part)."""
     return rows.groupBy(by).agg(F.expr(f"percentile_disc({part}) WITHIN GROUP (ORDER BY {value})").alias("p"))

@@ -157,15 +157,16 @@ def rule_pattern(rule: Column) -> Column:
 def allowed(requests: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     """Adds allowed: by the most specific groups of the agent, the longest pattern that matches, allow before disallow.
 
-    ``requests`` has host and path; rules are joined by host.
+    An agent is known by its product, what stands before a slash. A pattern's length is that of its letters, without
+    stars and the mark of the end. ``requests`` has host and path (with its query); rules are joined by host.
     """
-    fits = F.lit(agent.lower()).contains(F.col("agent")) & (F.col("agent") != "*")
+    fits = F.lit(agent.split("/")[0].lower()).contains(F.col("agent")) & (F.col("agent") != "*")
     specific = F.when(fits, F.length("agent")).when(F.col("agent") == "*", 0)
     mine = rules.withColumn("specific", specific).where("specific is not null")
     best = mine.groupBy("host").agg(F.max("specific").alias("specific"))
     own = mine.join(best, ["host", "specific"]).where("pattern is not null").groupBy("host").agg(F.collect_set(F.struct("allow", "pattern", rule_pattern(F.col("pattern")).alias("re"))).alias("rules"))
     hit = F.filter(F.coalesce("rules", F.array()), lambda r: F.rlike("path", r["re"]))
-    longest = F.array_max(F.transform(hit, lambda r: F.struct(F.length(r["pattern"]).alias("n"), r["allow"].alias("allow"))))
+    longest = F.array_max(F.transform(hit, lambda r: F.struct(F.length(F.regexp_replace(F.replace(r["pattern"], F.lit("*"), F.lit("")), r"\$$", "")).alias("n"), r["allow"].alias("allow"))))
     return requests.join(own, "host", "left").withColumn("allowed", F.coalesce(longest["allow"], F.lit(True))).drop("rules")
 
 

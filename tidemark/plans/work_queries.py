@@ -42,21 +42,62 @@ def published_at_precedence(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", dates.published(F.col("absolute"), F.col("relative"), F.col("at")).alias("published"))
 
 
+def dated_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' dates as texts in many ways."""
+    day, k = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 9
+    ways = ["'Published' MMMM d, yyyy", "d MMM yyyy", "yyyy/MM/dd", "M/d/yyyy", "d/M/yyyy", "'le' dd/MM/yyyy 'par Ada'", "d/M/yy", "MMM. d'th' yyyy"]
+    said = F.lit("2024-02-30 or 2024-03-01 and May 3, 2020")
+    for i, way in enumerate(ways):
+        said = F.when(k == i, F.date_format(day, way)).otherwise(said)
+    return table(spark, d, "orders").select("o_orderkey", "o_orderdate", said.alias("said"))
+
+
 def calendar_dates(spark: SparkSession, d: str) -> DataFrame:
-    day = F.col("o_orderdate").cast("timestamp")
-    said = F.when(F.col("o_orderkey") % 4 == 0, F.date_format(day, "'Published' MMMM d, yyyy")).when(F.col("o_orderkey") % 4 == 1, F.date_format(day, "d MMM yyyy")).when(F.col("o_orderkey") % 4 == 2, F.date_format(day, "yyyy/MM/dd")).otherwise("2024-02-30 or 2024-03-01 and May 3, 2020")
-    return table(spark, d, "orders").select("o_orderkey", F.date_format(dates.calendar_date(said), "yyyy-MM-dd").alias("day"))
+    return dated_texts(spark, d).select("o_orderkey", F.date_format(dates.calendar_date(F.col("said")), "yyyy-MM-dd").alias("day"))
+
+
+def scoring_dates(spark: SparkSession, d: str) -> DataFrame:
+    rows = dated_texts(spark, d).withColumn("said", F.when(F.col("o_orderkey") % 9 == 8, F.concat(F.col("o_orderkey") % 20, F.lit(" weeks  ago"))).otherwise(F.col("said")))
+    return rows.select("o_orderkey", F.date_format(dates.scoring_date(F.col("said"), F.col("o_orderdate")), "yyyy-MM-dd").alias("day"))
+
+
+def byline_prefix(spark: SparkSession, d: str) -> DataFrame:
+    start = F.element_at(F.array(*(F.lit(x) for x in ("By ", "Written by: ", "authors:", "AUTHORED BY - ", "", "Bypass "))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", T.without_byline_prefix(F.concat(start, F.col("c_name"))).alias("names"))
+
+
+def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
+    """Scores by scope and field over the labels, as if they were a benchmark's pages."""
+    j = judged(spark, d).withColumn("k", F.col("doc_id") % 10)
+    rows = j.select(
+        F.when(F.col("k") < 6, "train").when(F.col("k") < 8, "validation").otherwise("test").alias("split"),
+        F.col("lang").alias("field"),
+        F.when(F.col("doc_id") % 4 > 0, "x").alias("gold"),
+        ((F.col("doc_id") % 11) / 10.0).alias("f1"),
+        (F.col("doc_id") % 11 == 10).alias("exact"),
+    )
+    columns = ("accuracy", "mean_f1", "exact", "specificity")
+    return evaluation.benchmark_scores(rows).select("scope", "field", "n", *(F.round(c, 6).alias(c) for c in columns))
+
+
+def latency_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.latency_summary(events(spark, d), "event_type", "value").withColumn("mean", F.round("mean", 6))
+
+
+def split_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "region").select(F.when(F.col("r_regionkey") < 3, "train").otherwise("test").alias("split"), (F.col("r_regionkey") % 2).alias("label"))
+    return evaluation.split_counts(rows, "split", "label", {"train": 3, "test": 2})
 
 
 def idempotency_key(spark: SparkSession, d: str) -> DataFrame:
     payload = keys.canonical_json(status=F.col("o_orderstatus"), customer=F.col("o_custkey"), order=F.col("o_orderkey"))
-    return table(spark, d, "orders").select("o_orderkey", keys.idempotency_key(F.lit("fetch_raw"), F.lit("v1"), payload).alias("key"))
+    return table(spark, d, "orders").select("o_orderkey", keys.idempotency_key(F.lit("fetch_raw"), F.lit("v1"), payload, F.lit("cfg.2")).alias("key"))
 
 
 def rerun_key(spark: SparkSession, d: str) -> DataFrame:
     payload = keys.canonical_json(id=F.col("c_custkey"), nothing=F.lit(None).cast("string"))
-    rerun = F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string"))
-    return table(spark, d, "customer").select("c_custkey", keys.idempotency_key(F.lit("index"), F.lit("2"), payload, rerun).alias("key"), keys.valid_digest(F.sha2(payload, 256)).alias("valid"))
+    rerun = F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string"))
+    return table(spark, d, "customer").select("c_custkey", keys.idempotency_key(F.lit("index"), F.lit("2"), payload, F.lit("1"), rerun).alias("key"), keys.valid_digest(F.sha2(payload, 256)).alias("valid"))
 
 
 def enqueue_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -169,12 +210,12 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_f1(spark: SparkSession, d: str) -> DataFrame:
-    return turns(spark, d).select("conv_id", "turn", F.round(T.token_f1(F.col("a"), F.col("b")), 6).alias("f1"))
+    return evaluation.overlaps(turns(spark, d), ["conv_id", "turn"], "a", "b").select("conv_id", "turn", F.round(evaluation.f1(), 6).alias("f1"))
 
 
 def word_error_multiset(spark: SparkSession, d: str) -> DataFrame:
-    missing, unwanted = evaluation.word_errors(F.col("a"), F.col("b"))
-    return turns(spark, d).select("conv_id", "turn", missing.alias("missing"), unwanted.alias("unwanted"))
+    found = evaluation.overlaps(turns(spark, d), ["conv_id", "turn"], "a", "b")
+    return found.select("conv_id", "turn", (F.col("gold_n") - F.col("common")).alias("missing"), (F.col("predicted_n") - F.col("common")).alias("unwanted"))
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +275,7 @@ def argmax_with_missing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_shape_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", T.shape_tokens(F.col("text")).alias("shape"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(" ", T.shape_tokens(F.col("text"))).alias("shape"))
 
 
 def name_shape_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -269,6 +310,37 @@ _GRANTS = f"""{_RUNS}, o AS (SELECT n_nationkey::VARCHAR AS origin, n_nationkey
  k AS (SELECT t.*, slots, row_number() OVER (PARTITION BY origin ORDER BY due_ms, run_key) AS turn FROM t JOIN s USING (origin)),
  g AS (SELECT run_key, origin FROM (SELECT *, row_number() OVER (ORDER BY due_ms, run_key) AS r FROM k WHERE turn <= slots) WHERE r <= 60 - (SELECT sum(in_flight) FROM o))"""
 
+def _shapes() -> str:
+    """Phrases by the fixed patterns; a text with more than 500 characters or 80 words has none."""
+    on = lambda pattern: f"regexp_matches(x, '(?i){pattern}')"
+    phrases = {
+        "phrase:by_prefix": on(r"^\s*(?:by\b|written\s+by\b|author\s*:?)"),
+        "phrase:by_colon": on(r"^\s*by\s*:"),
+        "phrase:written_by": on(r"\bwritten\s+by\b"),
+        "phrase:article_written_by": on(r"^\s*(?:this\s+)?article\s+(?:was\s+)?written\s+by\b"),
+        "phrase:author_label": on(r"^\s*authors?\s*:"),
+        "phrase:acknowledgements": on(r"\backnowledg(?:e)?ments?\b"),
+        "phrase:contributors": on(r"\bcontributors?|contributions?\b"),
+        "phrase:thanks_to": on(r"\bthanks\s+to\b"),
+        "phrase:published": on(r"\b(?:publish(?:ed)?|posted)\b"),
+        "phrase:updated": on(r"\b(?:updated?|modified)\b"),
+        "shape:single_name": f"(w BETWEEN 1 AND 8 AND 2 * len(list_filter(ws, lambda y: regexp_matches(y, '^\\p{{Lu}}'))) >= w AND NOT {_DATE_SQL}) OR regexp_matches(trim(x), '^@[\\w.-]+$')",
+        "shape:multiple_names": on(r"(?:\s(?:and|und|et|y)\s|[,;&/·•])"),
+        "shape:comma_list": "contains(x, ',')",
+        "shape:and_last_name": r"regexp_matches(x, '(?i)(?:\band\b|&)\s+[\p{L}\p{N}_.''’-]+(?:\s+[\p{L}\p{N}_.''’-]+){0,4}[.!]?\s*$')",
+        "shape:handle": on(r"^\s*@[\w.-]+\s*$"),
+        "shape:organization": on(r"\bteam\b"),
+        "shape:name_and_role": on(r"\b(?:engineer|researcher|scientist|member|staff|director|lead|manager|editor)\b"),
+        "shape:absolute_date": _DATE_SQL,
+        "shape:relative_date": on(r"\b(?:an?|one|two|three|four|five|six|seven|eight|nine|ten|\d+)\s+(?:minute|hour|day|week|month|year)s?\s+ago\b"),
+        "shape:reading_time": on(r"\b(?:an?|one|two|three|four|five|six|seven|eight|nine|ten|\d+)\s*(?:min(?:ute)?s?|hours?)\s+(?:read|reading)\b"),
+    }
+    cases = ", ".join(f"CASE WHEN w <= 80 AND length(x) <= 500 AND ({sql}) THEN '{name}' END" for name, sql in phrases.items())
+    return rf"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS x, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda y: y <> '') AS ws FROM conversations), d AS (SELECT *, len(ws) AS w FROM c)
+    SELECT conv_id, turn, concat_ws(' ', CASE WHEN w BETWEEN 1 AND 20 THEN 'shape:short_text' WHEN w <= 40 THEN 'shape:medium_text' WHEN w <= 100 THEN 'shape:long_text' ELSE 'shape:very_long_text' END, {cases}) AS shape FROM d"""
+
+
+_DATE_SQL = r"regexp_matches(x, '(?i)(?:\b(?:19|20)\d{2}[-/.](?:0?[1-9]|1[0-2])[-/.](?:0?[1-9]|[12]\d|3[01])\b)|(?:\b(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s+(?:19|20)\d{2}\b)')"
 SPECS = {
     "relative_date_resolve": (
         relative_date_resolve,
@@ -285,9 +357,26 @@ SPECS = {
         published_at_precedence,
         "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '2024-05-01' WHEN 1 THEN strftime(ts - INTERVAL 3 DAY, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%SZ') END AS published FROM events",
     ),
-    "calendar_dates": (calendar_dates, "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders"),
-    "idempotency_key": (idempotency_key, """SELECT o_orderkey, 'fetch_raw:v1:' || sha256('{"customer":' || o_custkey || ',"order":' || o_orderkey || ',"status":"' || o_orderstatus || '"}') AS key FROM orders"""),
-    "rerun_key": (rerun_key, """SELECT c_custkey, 'index:2:' || sha256('{"id":' || c_custkey || ',"nothing":null}') || CASE WHEN c_custkey % 2 = 0 THEN ':rerun:' || c_custkey ELSE '' END AS key, true AS valid FROM customer"""),
+    "calendar_dates": (
+        calendar_dates,
+        """WITH o AS (SELECT o_orderkey, o_orderdate AS t, o_orderkey % 9 AS k, day(o_orderdate) AS dd FROM orders)
+        SELECT o_orderkey, CASE WHEN k IN (3, 4) AND dd <= 12 THEN NULL WHEN k = 6 AND dd <= 12 THEN NULL WHEN k = 8 THEN NULL ELSE strftime(t, '%Y-%m-%d') END AS day FROM o""",
+    ),
+    "scoring_dates": (
+        scoring_dates,
+        """SELECT o_orderkey, CASE WHEN o_orderkey % 9 IN (0, 1, 7) THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 9 = 8 THEN strftime(o_orderdate - to_days((o_orderkey % 20 * 7)::INT), '%Y-%m-%d') END AS day FROM orders""",
+    ),
+    "byline_prefix": (byline_prefix, "SELECT c_custkey, CASE WHEN c_custkey % 6 = 5 THEN 'pass ' ELSE '' END || lower(c_name) AS names FROM customer"),
+    "benchmark_report": (
+        benchmark_report,
+        """WITH j AS (SELECT l.doc_id AS d, lang AS field FROM labels l JOIN documents USING (doc_id)), r AS (SELECT *, CASE WHEN d % 10 < 6 THEN 'train' WHEN d % 10 < 8 THEN 'validation' ELSE 'test' END AS split, d % 11 / 10 AS f1 FROM j),
+        s AS (SELECT 'all' AS scope, * FROM r UNION ALL SELECT 'nontrain', * FROM r WHERE split <> 'train' UNION ALL SELECT split, * FROM r WHERE split <> 'train')
+        SELECT scope, field, count(*) AS n, round(avg((f1 >= 0.9)::INT), 6) AS accuracy, round(avg(f1), 6) AS mean_f1, round(avg((d % 11 = 10)::INT), 6) AS exact, round(avg((f1 = 1)::INT) FILTER (d % 4 = 0), 6) AS specificity FROM s GROUP BY scope, field""",
+    ),
+    "latency_summary": (latency_summary, "SELECT event_type, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type"),
+    "split_counts": (split_counts, "SELECT CASE WHEN r_regionkey < 3 THEN 'train' ELSE 'test' END AS split, r_regionkey % 2 AS label, count(*) AS n FROM region GROUP BY ALL"),
+    "idempotency_key": (idempotency_key, """SELECT o_orderkey, 'fetch_raw:v1:' || sha256('{"configuration_version":"cfg.2","input":{"customer":' || o_custkey || ',"order":' || o_orderkey || ',"status":"' || o_orderstatus || '"},"stage":{"name":"fetch_raw","version":"v1"}}') AS key FROM orders"""),
+    "rerun_key": (rerun_key, """SELECT c_custkey, 'index:2:' || sha256('{"configuration_version":"1","input":{"id":' || c_custkey || ',"nothing":null},"stage":{"name":"index","version":"2"}}') || CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 2 = 0 THEN ':force:' || sha256(c_custkey::VARCHAR) ELSE '' END AS key, true AS valid FROM customer"""),
     "enqueue_dedupe": (enqueue_dedupe, "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1"),
     "retry_backoff_cap": (retry_backoff_cap, "SELECT l_linenumber::INT AS attempt, least(10000, 500 * 2 ** (l_linenumber - 1))::BIGINT AS delay_ms, count(*) AS n FROM lineitem GROUP BY ALL"),
     "queue_replay": (queue_replay, None),
@@ -320,7 +409,7 @@ SPECS = {
     "p95_nearest_rank": (p95_nearest_rank, "SELECT event_type, list_sort(list(value))[ceil(count(value) * 0.95)::INT] AS p FROM events GROUP BY event_type"),
     "p95_floor_index": (p95_floor_index, "SELECT event_type, list_sort(list(value))[floor(0.95 * (count(value) - 1))::INT + 1] AS p FROM events GROUP BY event_type"),
     "token_f1": (token_f1, f"WITH {_TURNS} SELECT conv_id, turn, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0 * common / (len(a) + len(b)) END::DOUBLE, 6) AS f1 FROM o"),
-    "word_error_multiset": (word_error_multiset, f"WITH {_TURNS} SELECT conv_id, turn, (len(a) - coalesce(common, 0))::INT AS missing, (len(b) - coalesce(common, 0))::INT AS unwanted FROM o"),
+    "word_error_multiset": (word_error_multiset, f"WITH {_TURNS} SELECT conv_id, turn, (len(a) - coalesce(common, 0))::BIGINT AS missing, (len(b) - coalesce(common, 0))::BIGINT AS unwanted FROM o"),
     "accuracy_grouping_sets": (
         accuracy_grouping_sets,
         f"WITH {_LABELLED} SELECT source, lang, count(*) AS n, sum((quality <> toxic)::INT)::BIGINT AS correct, round(avg((quality <> toxic)::INT), 6) AS accuracy FROM j GROUP BY GROUPING SETS ((lang), (source, lang), ())",
@@ -360,13 +449,7 @@ SPECS = {
         argmax_with_missing,
         "WITH s AS (SELECT user_id, event_id, floor(value) / 10 AS s FROM events), b AS (SELECT user_id, max(s) AS m, sum(exp(s - 9.0)) + 1 AS total FROM s GROUP BY user_id) SELECT user_id, (SELECT min(event_id) FROM s WHERE s.user_id = b.user_id AND s.s = b.m AND m >= 9.0) AS chosen, round(exp(greatest(m, 9.0) - 9.0) / total, 6) AS share FROM b",
     ),
-    "text_shape_tokens": (
-        text_shape_tokens,
-        r"""WITH c AS (SELECT *, len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS w FROM conversations)
-        SELECT conv_id, turn, concat_ws(' ', CASE WHEN w BETWEEN 1 AND 8 THEN 'short' WHEN w <= 40 THEN 'medium' ELSE 'long' END, CASE WHEN regexp_matches(text, '\d') THEN 'has-digit' END, CASE WHEN regexp_matches(text, '[.!?]\s*$') THEN 'ends-stop' END, CASE WHEN contains(text, ',') THEN 'has-comma' END,
-          CASE WHEN regexp_matches(text, '(?i)^\s*(by\b|written\s+by\b|author\s*:?)') THEN 'by-prefix' END, CASE WHEN regexp_matches(text, '(?i)\b(an?|one|two|three|four|five|six|seven|eight|nine|ten|\d+)\s+(minute|hour|day|week|month|year)s?\s+ago\b') THEN 'relative-date' END,
-          CASE WHEN regexp_matches(text, '(?i)\b(an?|one|two|three|four|five|six|seven|eight|nine|ten|\d+)\s*(min(ute)?s?|hours?)\s+(read|reading)\b') THEN 'reading-time' END, CASE WHEN regexp_matches(text, '^\s*\p{Lu}[\p{L}''’.-]*(\s+\p{Lu}[\p{L}''’.-]*){1,4}\s*$') THEN 'person-name' END) AS shape FROM c""",
-    ),
+    "text_shape_tokens": (text_shape_tokens, _shapes()),
     "name_shape_flags": (
         name_shape_flags,
         r"SELECT c_custkey, regexp_matches('Ada ' || regexp_replace(c_name, '[^A-Za-z]', '', 'g'), '^\p{Lu}[\p{L}''’.-]*(\s+\p{Lu}[\p{L}''’.-]*){1,4}$') AS person, regexp_matches(c_name, '^\p{Lu}[\p{L}''’.-]*(\s+\p{Lu}[\p{L}''’.-]*){1,4}$') AS raw, 'og site name x ' || lower(c_mktsegment) AS words FROM customer",
