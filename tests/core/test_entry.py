@@ -18,6 +18,10 @@ def test_entry(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_stream_agrees_with_replay(spark):
-    found = __spark_entry__.queries()
-    rows = [sorted(tuple(r) for r in found[name](spark, SF).collect()) for name in ("queue_replay", "stage_queue_stream")]
+    from tidemark.operators import stage_queue
+    from tidemark.plans import work_queries
+
+    events = work_queries.as_queue_events(spark.read.parquet(f"{SF}/events.parquet"))
+    end = events.agg({"ts_ms": "max"}).first()[0]
+    rows = [sorted(tuple(r) for r in q.collect()) for q in (stage_queue.replay(events, now_ms=end), __spark_entry__.queries()["stage_queue_stream"](spark, SF))]
     assert str(rows[0]) == str(rows[1])

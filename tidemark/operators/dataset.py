@@ -8,16 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def sequence_ids(rows: DataFrame, key: str, digits: int = 3) -> DataFrame:
+    """Adds sequence_id: 1, 2, ... in the order of the keys' SHA-256, the same whoever counts; keys are unique.
+
+    Leading digits of the digest cut the order into 16 ** digits parts, which are numbered apart; only the parts' sizes
+    meet in one task.
+    """
+    hashed = rows.withColumn("_digest", F.sha2(F.col(key).cast("string"), 256)).withColumn("_part", F.substring("_digest", 1, digits))
+    sizes = hashed.groupBy("_part").agg(F.count("*").alias("_n"))  # 16 ** digits rows at most
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", ahead.alias("_ahead"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_digest"))
+    return hashed.join(F.broadcast(starts), "_part").withColumn("sequence_id", F.col("_ahead") + place).drop("_digest", "_part", "_ahead")
+
+
 def split_sites(pages: DataFrame, site: str, test: float = 0.15, validation: float = 0.15) -> DataFrame:
     """site, split: sites in the order of their SHA-256, the first part test, the next validation.
 
-    Sizes are rounded half to even. Sites are a dimension, so one window over them is fine.
+    Sizes are rounded half to even.
     """
-    sites = pages.select(site).distinct().withColumn("digest", F.sha2(F.col(site), 256))
-    n = sites.agg(F.count("*").alias("n"))
-    ranked = sites.withColumn("rank", F.row_number().over(Window.orderBy("digest"))).crossJoin(F.broadcast(n))  # one row
+    ranked = sequence_ids(pages.select(site).distinct(), site)
+    n = pages.agg(F.count_distinct(site).alias("n"))
     k, m = (F.greatest(F.lit(1), F.bround(F.col("n") * x).cast("int")) for x in (test, validation))
-    return ranked.select(site, F.when(F.col("rank") <= k, "test").when(F.col("rank") <= k + m, "validation").otherwise("train").alias("split"))
+    rank = F.col("sequence_id")
+    return ranked.crossJoin(F.broadcast(n)).select(site, F.when(rank <= k, "test").when(rank <= k + m, "validation").otherwise("train").alias("split"))  # n is one row
 
 
 def round_robin(rows: DataFrame, group: str, order: str, ranks: Sequence[str], most: int) -> DataFrame:
@@ -42,6 +56,12 @@ def vocabulary(tokens: DataFrame, token: str, priority: Sequence[str] = (), size
     return kept.select("token", (F.row_number().over(order) + 1).alias("id"), "n")
 
 
+def tag_vocabulary(nodes: DataFrame, tag: str = "tag", parent: str = "parent_tag") -> DataFrame:
+    """tag, id: the distinct tags of elements and their parents, sorted and numbered from 2; 0 is padding, 1 unknown. Tags are few."""
+    found = nodes.select(F.lower(F.col(tag)).alias("tag")).union(nodes.select(F.lower(F.col(parent)))).where("tag is not null").distinct()
+    return found.agg(F.array_sort(F.collect_list("tag")).alias("tags")).select(F.posexplode("tags").alias("id", "tag")).select("tag", (F.col("id") + 2).alias("id"))
+
+
 def normalizer(rows: DataFrame, columns: Sequence[str], least: float = 1e-6) -> DataFrame:
     """column, mean, std: population deviation, 1 where it is next to nothing."""
     stats = rows.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
@@ -56,6 +76,12 @@ def joined(manifest: DataFrame, annotations: DataFrame, pages: DataFrame) -> Dat
     return rows.where(F.when(stale, F.raise_error(F.concat(F.lit("stale "), F.col("page_id"))).cast("boolean")).otherwise(True)).drop("annotated_hash")
 
 
+def stale(overrides: DataFrame, rows: DataFrame, key: str, digest: str = "html_hash") -> DataFrame:
+    """Overrides whose row has another digest by now."""
+    now = rows.select(key, F.col(digest).alias("_now"))
+    return overrides.join(now, key).where(~F.col(digest).eqNullSafe(F.col("_now"))).drop("_now")
+
+
 def unused(overrides: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return overrides.join(rows.select(key).distinct(), key, "left_anti")
 

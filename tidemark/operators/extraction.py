@@ -17,7 +17,7 @@ from tidemark.operators import dom
 MAX_BYTES = 10_000_000
 #: Score from which a field of the lenient form is accepted.
 ACCEPT = 0.5
-_FIELD = "struct<node_id: int, text: string, confidence: double>"
+_FIELD = "struct<node_id: int, text: string, html: string, confidence: double>"
 
 
 def title_variants(title: Column) -> Column:
@@ -76,31 +76,54 @@ def selectors(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return dom._per_page(pages, key, work, kind, "array<struct<node_id: int, selector: string>>", "s").select(key, F.explode("s").alias("s")).select(key, "s.*")
 
 
-def extract(pages: DataFrame, network: dom.Network | None = None, missing: tuple[float, ...] = (0.0, 1.0, 0.5, 0.5), key: str = "page_id") -> DataFrame:
-    """key, error, title, body, date, byline (node, text and confidence each) and published of every page.
+def extract(pages: DataFrame, scorer: dom.Scorer | None = None, missing: tuple[float, ...] = (0.0, 1.0, 0.5, 0.5), key: str = "page_id") -> DataFrame:
+    """key, error, title, body, date, byline (node_id, text, html and confidence each) and published of every page.
 
-    ``pages`` has the key, html and scraped_at (a timestamp). Without a trained network the weight-free scores choose.
-    A page that is too long has an error and no fields.
+    ``pages`` has the key, html and scraped_at (a timestamp). Without a trained scorer the weight-free scores choose. Each
+    page is parsed once, with what it costs to choose all fields. A page that is too long has an error and no fields, and
+    so has one that can't be read.
     """
-    short = pages.where(F.coalesce(F.octet_length("html"), F.lit(0)) <= MAX_BYTES)
-    rows = dom.features(short, key)
-    scored = rows.select(key, "node_id", dom.heuristic_scores(rows).alias("scores")) if network is None else dom.score_nodes(rows, network, key)
-    chosen = dom.select(scored, list(missing), key)
-    texts = dom.nodes_of(short, key).select(key, "node_id", "text")
-    said = chosen.join(texts, [key, "node_id"], "left").groupBy(key).pivot("field", list(dom.FIELDS)).agg(F.first(F.struct("node_id", "text", "confidence")))
-    out = pages.select(key, "scraped_at", F.when(F.octet_length("html") > MAX_BYTES, "too_large").alias("error")).join(said, key, "left")
-    return out.select(key, "error", *(F.col(f).cast(_FIELD).alias(f) for f in dom.FIELDS), dates.published(F.date_format(dates.calendar_date(F.col("date.text")), "yyyy-MM-dd"), dates.relative_phrase(F.col("date.text")), F.col("scraped_at")).alias("published"))
+    kind = pa.struct([("node_id", pa.int32()), ("text", pa.string()), ("html", pa.string()), ("confidence", pa.float64())])
+    typed = pages.select(key, "scraped_at", F.col("html").cast("string").alias("html"))
+    shared = typed.sparkSession.sparkContext.broadcast(scorer)  # a scorer's weights are some thousand numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            errors, found = [], []
+            for html in batch.column(2).to_pylist():
+                error, fields = "too_large" if html is not None and len(html.encode("utf-8", "surrogatepass")) > MAX_BYTES else None, dict.fromkeys(dom.FIELDS)
+                if error is None:
+                    try:
+                        fields = dom.selected(html, shared.value, missing)
+                    except (AssertionError, ValueError, IndexError):  # the standard parser fails on some declarations
+                        error = "unreadable"
+                errors.append(error)
+                found.append(fields)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(errors, pa.string()), *(pa.array([f[name] for f in found], kind) for name in dom.FIELDS)], [key, "scraped_at", "error", *dom.FIELDS])
+
+    out = typed.mapInArrow(run, f"{key} {typed.schema[key].dataType.simpleString()}, scraped_at timestamp, error string, " + ", ".join(f"{f} {_FIELD}" for f in dom.FIELDS))
+    # each found once, since what follows asks for it several times
+    told = out.withColumn("_day", F.date_format(dates.calendar_date(F.col("date.text")), "yyyy-MM-dd")).withColumn("_ago", dates.relative_phrase(F.col("date.text")))
+    return told.select(key, "error", *dom.FIELDS, dates.published(F.col("_day"), F.col("_ago"), F.col("scraped_at")).alias("published"))
+
+
+def extract_all(pages: DataFrame, scorer: dom.Scorer | None = None, key: str = "page_id") -> DataFrame:
+    """key, field, node_id, text, html, confidence: a row for each field that was found."""
+    rows = extract(pages, scorer, key=key)
+    each = F.array(*(F.struct(F.lit(f).alias("field"), *(F.col(f)[c].alias(c) for c in ("node_id", "text", "html", "confidence"))) for f in dom.FIELDS))
+    return rows.select(key, F.explode(each).alias("x")).select(key, "x.*").where("node_id is not null")
 
 
 def accepted(field: Column, least: float = ACCEPT) -> Column:
     return F.when(field["confidence"] >= least, field)
 
 
-def boundary_report(rows: DataFrame, gold: str = "gold", before: str = "before", after: str = "after") -> DataFrame:
-    """n, changed, fixed, broken of a refinement of chosen nodes."""
+def boundary_report(rows: DataFrame, gold: str = "gold", before: str = "before", after: str = "after", near: Column | None = None) -> DataFrame:
+    """n, changed, fixed, broken of a refinement of chosen nodes, and fixable: wrong ones whose right node is a candidate (``near``)."""
+    near = F.lit(True) if near is None else near
     right = lambda c: F.col(c).eqNullSafe(F.col(gold))
     count = lambda c: F.sum(c.cast("int"))
-    return rows.agg(F.count("*").alias("n"), count(~F.col(before).eqNullSafe(F.col(after))).alias("changed"), count(right(after) & ~right(before)).alias("fixed"), count(right(before) & ~right(after)).alias("broken"))
+    return rows.agg(F.count("*").alias("n"), count(~F.col(before).eqNullSafe(F.col(after))).alias("changed"), count(right(after) & ~right(before)).alias("fixed"), count(right(before) & ~right(after)).alias("broken"), count(~right(before) & F.col(gold).isNotNull() & near).alias("fixable"))
 
 
 def folded_tokens(rows: DataFrame, column: str, out: str) -> DataFrame:

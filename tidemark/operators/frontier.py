@@ -47,6 +47,70 @@ def classify(pages: DataFrame, catalog: DataFrame, url: str = "url") -> DataFram
     return joined.withColumn("best", best).withColumn("kind", F.coalesce("best.kind", F.lit("reject"))).withColumn("source_id", F.col("best.id")).drop("h", "p", "rules", "best")
 
 
+def seeds(pages: DataFrame, catalog: DataFrame, url: str = "url") -> DataFrame:
+    """Adds kind and error: listings, articles and sitemaps may be enqueued; what the catalog does not know has an error that names its host."""
+    host = F.coalesce(F.nullif(urls.host(F.col(url)), F.lit("")), F.lit("<missing-host>"))
+    told = F.when(F.col("kind") == "reject", F.concat(F.lit("not in the catalog of sources: "), host))
+    return classify(pages, catalog, url).withColumn("error", told)
+
+
+def sources_of(catalog: DataFrame) -> DataFrame:
+    """host, sources, seeds, sitemaps: what the catalog has for each host; the catalog is a small dimension."""
+    at = lambda paths: F.transform(F.coalesce(F.col(paths), F.array()), lambda p: F.concat(F.lit("https://"), F.lower("host"), p))
+    rows = catalog.select(F.lower("host").alias("host"), "id", at("listing_paths").alias("s"), at("sitemap_paths").alias("m"))
+    gather = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    return rows.groupBy("host").agg(F.array_sort(F.collect_list("id")).alias("sources"), gather("s").alias("seeds"), gather("m").alias("sitemaps"))
+
+
+# Last segments of paths that are no article, and endings of feeds.
+UTILITY_SLUGS = ("about", "archive", "articles", "corporate", "discover", "engineering", "feed", "followers", "following", "industry", "latest", "login", "privacy", "product", "search", "subscribe")
+FEED_ENDINGS = ("atom", "json", "rss", "xml")
+
+
+def collectable(pages: DataFrame, catalog: DataFrame, hashed_hosts: tuple[str, ...] = (), url: str = "url") -> DataFrame:
+    """Adds collect: whether a source's page is an article to capture.
+
+    Feeds, pages of the site itself and mere locales are none. On ``hashed_hosts`` an article's path ends with a hash; on
+    others one of the source's article patterns fits. The catalog is a small dimension.
+    """
+    path = F.regexp_replace(F.col("_p"), "/+$", "")
+    slug = F.lower(F.element_at(F.split(path, "/"), -1))
+    ending = F.when(slug.contains("."), F.element_at(F.split(slug, r"\."), -1))
+    plain = ~F.coalesce(ending.isin(*FEED_ENDINGS), F.lit(False)) & ~slug.isin(*UTILITY_SLUGS) & ~slug.rlike("^[a-z]{2}(?:-[a-z]{2})?$")
+    by_host = catalog.groupBy(F.lower("host").alias("_host")).agg(F.flatten(F.collect_list(F.coalesce("article_path_patterns", F.array()))).alias("_patterns"))
+    keyed = pages.withColumn("_h", urls.host(F.col(url))).withColumn("_p", urls.path(F.col(url)))
+    fits = F.when(F.col("_h").isin(*hashed_hosts), slug.rlike("-[0-9a-f]{8,}$")) if hashed_hosts else F.when(F.lit(False), F.lit(False))
+    told = F.col("_host").isNotNull() & plain & fits.otherwise(F.exists("_patterns", lambda r: F.rlike(F.when(path == "", "/").otherwise(path), r)))
+    return keyed.join(F.broadcast(by_host), F.col("_h") == F.col("_host"), "left").withColumn("collect", F.coalesce(told, F.lit(False))).drop("_h", "_p", "_host", "_patterns")
+
+
+def sitemap_walk(files: DataFrame, roots: list[str], most: int = 60, limit: int = 1_000) -> DataFrame:
+    """url, place: the distinct pages that sitemaps name, in the order in which they are found, ``limit`` at most.
+
+    Indexes are opened breadth first, ``most`` files in all; ``files`` has the captured url and xml. Each level is one
+    join; of files only their names come to the driver, ``most`` of them.
+    """
+    spark = files.sparkSession
+    seen: list[str] = []
+    queue = list(dict.fromkeys(roots))
+    found = None
+    while queue and len(seen) < most:
+        now = queue[: most - len(seen)]
+        level = spark.createDataFrame([(u, len(seen) + i) for i, u in enumerate(now)], "url string, turn int")
+        seen += now
+        opened = files.join(F.broadcast(level), "url").select("turn", F.regexp_extract("xml", r"(?s)<(?![?!])(?:[\w.-]+:)?([\w.-]+)", 1).alias("root"), F.posexplode(sitemap_locs(F.col("xml"))).alias("at", "loc"))
+        inner = opened.where("root = 'sitemapindex'").orderBy("turn", "at").select("loc").limit(most + len(seen)).collect()
+        queue = [u for u in dict.fromkeys(r["loc"] for r in inner) if u not in seen]
+        leaves = opened.where("root = 'urlset'").select(urls.canonical(F.col("loc")).alias("url"), F.struct("turn", "at").alias("place"))
+        found = leaves if found is None else found.union(leaves)
+    if found is None:
+        return spark.createDataFrame([], "url string, place long")
+    first = found.where("url is not null").groupBy("url").agg(F.min("place").alias("place")).orderBy("place").limit(limit)
+    from pyspark.sql import Window
+
+    return first.select("url", F.row_number().over(Window.orderBy("place")).cast("long").alias("place"))  # limit rows
+
+
 def unseen(candidates: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
     """Candidates that were not seen, each once."""
     return candidates.dropDuplicates([key]).join(seen.select(key).distinct(), key, "left_anti")

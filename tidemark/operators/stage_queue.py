@@ -68,11 +68,18 @@ class Run:
         return key, self.state, self.attempts, self.due_ms, self.lease_ms, self.error_class, self.error_code, self.finished_ms
 
 
-def replay(events: DataFrame, lease_ms: int = LEASE_MS, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+def replay(events: DataFrame, lease_ms: int = LEASE_MS, max_attempts: int = MAX_ATTEMPTS, now_ms: int | None = None) -> DataFrame:
     """The runs after all events, each run's in the order of time; ``events`` has the columns of ``EVENT``.
 
-    Events are sorted in the shuffle and streamed, so a run may have any number of them.
+    Events are sorted in the shuffle and streamed, so a run may have any number of them. With ``now_ms`` leases that have
+    run out by then are taken back, as timers do in the stream.
     """
+    names = [c.split()[0] for c in RUN.split(", ")]
+
+    def last(key: str, state: Run) -> tuple:
+        if now_ms is not None:
+            state.expire(now_ms, max_attempts)
+        return state.row(key)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, Run()
@@ -81,12 +88,12 @@ def replay(events: DataFrame, lease_ms: int = LEASE_MS, max_attempts: int = MAX_
             for e in frame.itertuples(index=False):
                 if e.run_key != key:
                     if key is not None and state.state:
-                        out.append(state.row(key))
+                        out.append(last(key, state))
                     key, state = e.run_key, Run()
                 state.apply(e.op, int(e.ts_ms), e.kind, e.error_code, 0 if pd.isna(e.delay_ms) else int(e.delay_ms), lease_ms, max_attempts, e.token)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RUN.split(", ")])
+            yield pd.DataFrame(out, columns=names)
         if key is not None and state.state:
-            yield pd.DataFrame([state.row(key)], columns=[c.split()[0] for c in RUN.split(", ")])
+            yield pd.DataFrame([last(key, state)], columns=names)
 
     ordered = events.select(*(c.split()[0] for c in EVENT.split(", "))).repartition("run_key").sortWithinPartitions("run_key", "ts_ms", "op")
     return ordered.mapInPandas(run, RUN)
@@ -139,8 +146,10 @@ def grant(runs: DataFrame, origins: DataFrame, now: Column, most: int) -> DataFr
     slots = open_.select("origin", F.when(F.col("interval_ms") > 0, F.least(F.lit(1), F.col("slots"))).otherwise(F.col("slots")).alias("slots")).where("slots > 0")
     due = runs.where((F.col("state") == "queued") & (F.col("due_ms") <= now)).join(slots, "origin")
     turn = F.row_number().over(Window.partitionBy("origin").orderBy("due_ms", "run_key"))
-    left = most - (origins.agg(F.coalesce(F.sum("in_flight"), F.lit(0))).first()[0] or 0)
-    return due.withColumn("turn", turn).where("turn <= slots").orderBy("due_ms", "run_key").limit(max(0, int(left))).select("run_key", "origin")
+    left = origins.agg((most - F.coalesce(F.sum("in_flight"), F.lit(0))).alias("left"))  # one row
+    offered = due.withColumn("turn", turn).where("turn <= slots").orderBy("due_ms", "run_key").limit(most)
+    place = F.row_number().over(Window.orderBy("due_ms", "run_key"))  # of as many as the limit in the whole, at most
+    return offered.withColumn("place", place).crossJoin(F.broadcast(left)).where("place <= left").select("run_key", "origin")
 
 
 def reserve(origins: DataFrame, granted: DataFrame, now: Column) -> DataFrame:
@@ -152,6 +161,29 @@ def reserve(origins: DataFrame, granted: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def release(origins: DataFrame, finished: DataFrame, now: Column) -> DataFrame:
+    """Origins after runs ended: each gives its slot back, 0 at least are taken, and a failure may hold its origin back.
+
+    ``finished`` has a row for each run that completed or failed under its own lease: origin and backoff_ms, null or 0 if
+    the origin need not wait. The wait never gets shorter.
+    """
+    n = finished.groupBy("origin").agg(F.count("*").alias("ended"), F.max(F.coalesce("backoff_ms", F.lit(0))).alias("wait"))
+    until = F.when(F.coalesce("wait", F.lit(0)) > 0, F.greatest("backoff_ms", now + F.col("wait"))).otherwise(F.col("backoff_ms"))
+    return origins.join(n, "origin", "left").select("origin", "next_ms", until.alias("backoff_ms"), "interval_ms", F.greatest(F.lit(0), F.col("in_flight") - F.coalesce("ended", F.lit(0))).alias("in_flight"), "max_in_flight")
+
+
+def admit(items: DataFrame, seen: DataFrame, failed: DataFrame, key: str = "url") -> tuple[DataFrame, DataFrame]:
+    """Items to enqueue, each key once and none that was seen; and the keys seen afterwards, without those whose enqueuing failed."""
+    new = items.dropDuplicates([key]).join(seen.select(key), key, "left_anti")
+    lost = failed.select(key).distinct()
+    return new, seen.select(key).union(new.join(lost, key, "left_anti").select(key)).distinct()
+
+
+def cleared(runs: DataFrame, stage: str) -> DataFrame:
+    """Runs without those of a stage; a run's key begins with its stage."""
+    return runs.where(~F.col("run_key").startswith(stage + ":"))
+
+
 def configure(origins: DataFrame, limits: DataFrame, now: Column) -> DataFrame:
     """New limits for some origins; the next allowed time never moves back, and reserves from now if asked."""
     new = limits.select("origin", F.col("interval_ms").alias("i"), F.col("max_in_flight").alias("m"), F.col("reserve_from_now").alias("r"))

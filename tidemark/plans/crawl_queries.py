@@ -36,6 +36,41 @@ def url_classify(spark: SparkSession, d: str) -> DataFrame:
     return frontier.classify(pages(spark, d), catalog).select("page_id", "kind", "source_id")
 
 
+def seed_kinds(spark: SparkSession, d: str) -> DataFrame:
+    catalog = spark.createDataFrame(CATALOG, frontier.CATALOG)
+    return frontier.seeds(pages(spark, d), catalog).select("page_id", "kind", "error")
+
+
+def catalog_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation is a source of one of five hosts."""
+    k = F.col("n_nationkey")
+    rows = table(spark, d, "nation").select(
+        F.format_string("s%02d", k).alias("id"), F.concat(F.lit("Host"), F.col("n_regionkey"), F.lit(".example")).alias("host"), F.array(F.concat(F.lit("/l"), k % 3)).alias("listing_paths"), F.when(k % 2 == 0, F.array(F.lit("/sitemap.xml"))).alias("sitemap_paths")
+    )
+    return frontier.sources_of(rows).select("host", *(F.concat_ws(";", c).alias(c) for c in ("sources", "seeds", "sitemaps")))
+
+
+def collectable_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of two hosts, one with hashes at the ends of its articles' paths."""
+    k = F.col("page_id")
+    slug = F.when(k % 7 == 0, "en").when(k % 7 == 1, "feed.xml").when(k % 7 == 2, "latest").when(k % 7 == 3, F.concat(F.lit("story-"), F.substring(F.sha2(k.cast("string"), 256), 1, 10))).otherwise(F.concat(F.lit("p"), k))
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://"), F.when(k % 2 == 0, "H.example").when(k % 5 == 0, "none.example").otherwise("p.example"), F.lit("/blog/"), slug, F.lit("/")).alias("url"))
+    catalog = spark.createDataFrame([("h", "H", "h.example", None, None, None, None), ("p", "P", "p.example", None, [r"^/blog/[^/]+$"], None, None)], frontier.CATALOG)
+    return frontier.collectable(rows, catalog, ("h.example",)).select("page_id", "collect")
+
+
+def sitemap_walked(spark: SparkSession, d: str) -> DataFrame:
+    """An index of the nations' sitemaps, which name their customers; the first 500 pages."""
+    entry = lambda at: F.concat(F.lit("<url><loc> "), at, F.lit(" </loc></url>"))
+    at = lambda c: F.concat(F.lit("https://h.example/s"), c, F.lit(".xml"))
+    page = F.concat(F.lit("https://h.example/"), F.col("c_custkey"), F.lit("/"))
+    leaf = table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", entry(page).alias("x")))).alias("l"))
+    leaves = leaf.select(at(F.col("c_nationkey")).alias("url"), F.concat(F.lit("<urlset>"), F.array_join(F.transform("l", lambda x: x["x"]), ""), F.lit("</urlset>")).alias("xml"))
+    top = table(spark, d, "nation").agg(F.array_sort(F.collect_list("n_nationkey")).alias("l"))
+    root = top.select(F.lit("root").alias("url"), F.concat(F.lit("<sitemapindex>"), F.array_join(F.transform("l", lambda k: F.concat(F.lit("<sitemap><loc>"), at(k), F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("xml"))
+    return frontier.sitemap_walk(root.union(leaves), ["root", "absent"], 60, 500)
+
+
 def url_company(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", U.company(F.col("url")).alias("company"), U.company(F.concat(F.lit("https://meta"), F.col("page_id").cast("string"), F.lit(".example/x"))).alias("other"))
 
@@ -130,6 +165,27 @@ SPECS = {
         CASE WHEN h = 'tionsh.example.net' THEN CASE WHEN lower(p) LIKE '%.xml' OR lower(p) LIKE '%sitemap%' OR b = '/en/1' OR regexp_matches(p, '^/fr/[0-9]*5$') OR regexp_matches(p, '^/en/\d+(?:\.html)?/?$') THEN 'net' END
           WHEN h = 'ththin.example.com' THEN CASE WHEN regexp_matches(p, '^/[a-z]{{2}}/\d+$') THEN 'com-a' WHEN regexp_matches(p, '^/[a-z]{{2}}/\d+(?:\.html|/)?$') THEN 'com-b' END END AS source_id FROM p""",
     ),
+    "seed_kinds": (
+        seed_kinds,
+        r"""WITH p AS (SELECT page_id, lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS h, regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM pages), b AS (SELECT *, regexp_replace(p, '/+$', '') AS b FROM p),
+        k AS (SELECT page_id, h, CASE WHEN h = 'tionsh.example.net' THEN CASE WHEN lower(p) LIKE '%.xml' OR lower(p) LIKE '%sitemap%' THEN 'sitemap' WHEN b = '/en/1' OR regexp_matches(p, '^/fr/[0-9]*5$') THEN 'listing' WHEN regexp_matches(p, '^/en/\d+(?:\.html)?/?$') THEN 'article' ELSE 'reject' END
+          WHEN h = 'ththin.example.com' AND regexp_matches(p, '^/[a-z]{2}/\d+(?:\.html|/)?$') THEN 'article' ELSE 'reject' END AS kind FROM b)
+        SELECT page_id, kind, CASE WHEN kind = 'reject' THEN 'not in the catalog of sources: ' || CASE WHEN h = '' THEN '<missing-host>' ELSE h END END AS error FROM k""".replace("\\\\", "\\"),
+    ),
+    "catalog_hosts": (
+        catalog_hosts,
+        """WITH n AS (SELECT *, 'host' || n_regionkey || '.example' AS host, printf('s%02d', n_nationkey) AS id FROM nation)
+        SELECT host, string_agg(id, ';' ORDER BY id) AS sources, string_agg(DISTINCT 'https://host' || n_regionkey || '.example/l' || n_nationkey % 3, ';' ORDER BY 'https://host' || n_regionkey || '.example/l' || n_nationkey % 3) AS seeds,
+          coalesce(max(CASE WHEN n_nationkey % 2 = 0 THEN 'https://host' || n_regionkey || '.example/sitemap.xml' END), '') AS sitemaps FROM n GROUP BY host, n_regionkey""",
+    ),
+    "collectable_pages": (
+        collectable_pages,
+        "SELECT page_id, CASE WHEN page_id % 7 < 3 THEN false WHEN page_id % 2 = 0 THEN page_id % 7 = 3 ELSE page_id % 5 <> 0 END AS collect FROM pages",
+    ),
+    "sitemap_walked": (
+        sitemap_walked,
+        "SELECT url, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS place FROM (SELECT 'https://h.example/' || c_custkey AS url, c_nationkey, c_custkey FROM customer) ORDER BY c_nationkey, c_custkey LIMIT 500",
+    ),
     "url_company": (url_company, f"SELECT page_id, CASE WHEN {_AUTH} LIKE '%meta%' THEN 'Meta' ELSE {_AUTH} END AS company, 'Meta' AS other FROM pages"),
     "origin_id": (origin_id, f"SELECT 'o_' || sha256({_SCHEME} || '://' || {_AUTH}) AS origin_id, count(*) AS n FROM pages GROUP BY 1"),
     "url_hash": (url_hash, "SELECT page_id, sha256(url) AS url_hash, sha256(html) AS html_hash FROM pages"),

@@ -107,6 +107,25 @@ def extract_documents(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "error", F.col("title.text").alias("title"), F.length("body.text").alias("body"), F.col("date.text").alias("date"), F.col("byline.text").alias("byline"), "published")
 
 
+def extract_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' headings, found by the weight-free scores; white space as the page has it collapsed."""
+    rows = pages(spark, d).select("page_id", "html", F.lit("2024-01-01").cast("timestamp").alias("scraped_at"))
+    found = extraction.extract_all(rows).where("field = 'title'")
+    return found.select("page_id", "text", F.col("html").startswith("<h1>").alias("heading"))
+
+
+def scored_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """All fields by a scorer of the full shape with fixed random weights."""
+    rng = np.random.default_rng(3)
+    tags = {t: i for i, t in enumerate(("[document]", "a", "article", "b", "body", "div", "footer", "h1", "html", "li", "nav", "p", "ul"), 2)}
+    tokens = {t: i for i, t in enumerate(("role:title", "shape:short_text", "shape:medium_text", "shape:long_text", "shape:very_long_text"), 2)}
+    n = len(dom.FEATURES)
+    draw = lambda *shape: rng.normal(size=shape) / 4
+    scorer = dom.Scorer(tags, tokens, draw(len(tags) + 2, 6), draw(len(tokens) + 2, 4), np.zeros(n), np.ones(n), [(draw(38 + n, 36), draw(36)), (draw(36, 36), draw(36)), (draw(36, 4), draw(4))], np.zeros(4))
+    rows = pages(spark, d).select("page_id", "html", F.lit("2024-01-01").cast("timestamp").alias("scraped_at"))
+    return extraction.extract_all(rows, scorer).select("page_id", "field", "node_id", F.round("confidence", 6).alias("confidence"))
+
+
 def tightest_heading(spark: SparkSession, d: str) -> DataFrame:
     found = extraction.tightest(dom.nodes_of(pages(spark, d)), F.col("tag").isin("h1", "article"))
     return found.join(dom.nodes_of(pages(spark, d)).select("page_id", "node_id", "tag"), ["page_id", "node_id"]).groupBy("tag").agg(F.count("*").alias("n"))
@@ -118,7 +137,7 @@ def title_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_rerank(spark: SparkSession, d: str) -> DataFrame:
-    rows = dom.documents_of(pages(spark, d)).select("page_id", "title", F.substring("content", 1, 40).alias("start"))
+    rows = dom.documents_of(pages(spark, d)).select("page_id", "title", F.split("content", r"\.")[0].alias("start"))
     better = extraction.better_title(F.col("start"), extraction.title_variants(F.col("title")), F.col("title"))
     return rows.select("page_id", (better == F.col("title")).alias("reranked"))
 
@@ -189,6 +208,8 @@ SPECS |= {
     "byline_rescue": (byline_rescue, None),
     "css_selectors": (css_selectors, None),
     "extract_documents": (extract_documents, None),
+    "extract_titles": (extract_titles, "SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text, true AS heading FROM pages"),
+    "scored_nodes": (scored_nodes, None),
     "tightest_heading": (tightest_heading, "SELECT 'h1' AS tag, count(*) AS n FROM pages"),
     "title_variants": (title_variants, "SELECT c_custkey, 'The name of ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN ' | Site' ELSE ' - Some Blog' END || ';The name of ' || c_name AS variants FROM customer"),
     "title_rerank": (title_rerank, None),
@@ -199,7 +220,7 @@ SPECS |= {
     "boundary_report": (
         boundary_report,
         """WITH r AS (SELECT o_orderkey % 5 AS g, o_orderkey % 3 AS b, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 5 END AS a FROM orders)
-        SELECT count(*) AS n, sum((b IS DISTINCT FROM a)::INT)::BIGINT AS changed, sum((a IS NOT DISTINCT FROM g AND b <> g)::INT)::BIGINT AS fixed, sum((b = g AND a IS DISTINCT FROM g)::INT)::BIGINT AS broken FROM r""",
+        SELECT count(*) AS n, sum((b IS DISTINCT FROM a)::INT)::BIGINT AS changed, sum((a IS NOT DISTINCT FROM g AND b <> g)::INT)::BIGINT AS fixed, sum((b = g AND a IS DISTINCT FROM g)::INT)::BIGINT AS broken, sum((b <> g)::INT)::BIGINT AS fixable FROM r""",
     ),
     "folded_tokens": (folded_tokens, "SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))::INT AS n FROM documents"),
     "label_candidates": (

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import vector
 from tidemark.operators import retrieval as R
-from tidemark.sources.tables import table
+from tidemark.sources.tables import scratch, table
 
 TEXT, PREFIX_TEXT, SHORT_TEXT = "the with", "the wi", "the w"
 QUERY_VECTOR = 7
 K = 10
 WEIGHTS = {"title": 2.0, "content": 1.0}
+TAGS = {"lang": ["fr"], "source": ["src3", "src5", "src6"]}
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -33,35 +36,48 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
 
-def content_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return R.index(documents(spark, d), {"content": F.col("content")})
+def stored(spark: SparkSession, d: str) -> R.Index:
+    """The index of these tables, written when the first query of an application needs it."""
+    path = f"{scratch(spark)}/index-{spark.sparkContext.applicationId}-{zlib.crc32(d.encode())}"
+    R.store(documents(spark, d), {f: F.col(f) for f in WEIGHTS}, path)
+    return R.opened(spark, path)
+
+
+def content_index(spark: SparkSession, d: str) -> R.Index:
+    made = stored(spark, d)
+    return R.Index(made.postings.where("field = 'content'"), made.stats.where("field = 'content'"), True)
 
 
 def kw_and_match(spark: SparkSession, d: str) -> DataFrame:
-    postings, _ = content_index(spark, d)
-    found = R.matching_ids(postings, R.parse(TEXT + " "))
+    found = R.matching_ids(content_index(spark, d), R.parse(TEXT + " "))
     return documents(spark, d).join(found, "doc_id").groupBy("source").agg(F.count("*").alias("n"))
 
 
 def kw_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    postings, lengths = content_index(spark, d)
-    return rounded(R.top(R.bm25(postings, lengths, R.parse(TEXT + " "), {"content": 1.0}), K))
+    return rounded(R.top(R.bm25(content_index(spark, d), R.parse(TEXT + " "), {"content": 1.0}), K))
+
+
+def kw_unindexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the texts themselves, counting the query's words only."""
+    query = R.parse(TEXT + " ")
+    return rounded(R.top(R.bm25(R.index(documents(spark, d), {"content": F.col("content")}, query), query, {"content": 1.0}), K))
 
 
 def kw_field_weighted(spark: SparkSession, d: str) -> DataFrame:
-    postings, lengths = R.index(documents(spark, d), {f: F.col(f) for f in WEIGHTS})
-    return rounded(R.top(R.bm25(postings, lengths, R.parse(TEXT + " "), WEIGHTS), K))
+    return rounded(R.top(R.bm25(stored(spark, d), R.parse(TEXT + " "), WEIGHTS), K))
 
 
 def kw_prefix_expand(spark: SparkSession, d: str) -> DataFrame:
-    postings, lengths = content_index(spark, d)
-    return rounded(R.top(R.bm25(postings, lengths, R.parse(PREFIX_TEXT), {"content": 1.0}), K))
+    return rounded(R.top(R.bm25(content_index(spark, d), R.parse(PREFIX_TEXT), {"content": 1.0}), K))
 
 
 def kw_short_last_word(spark: SparkSession, d: str) -> DataFrame:
     """A single trailing character is dropped."""
-    postings, lengths = content_index(spark, d)
-    return rounded(R.top(R.bm25(postings, lengths, R.parse(SHORT_TEXT), {"content": 1.0}), K))
+    return rounded(R.top(R.bm25(content_index(spark, d), R.parse(SHORT_TEXT), {"content": 1.0}), K))
+
+
+def index_info(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d).info()
 
 
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -69,19 +85,17 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def knn_text_filtered(spark: SparkSession, d: str) -> DataFrame:
-    postings, _ = content_index(spark, d)
-    return rounded(R.nearest(vectors(spark, d).join(R.matching_ids(postings, R.parse(TEXT + " ")), "doc_id"), asked(spark, d), K))
+    return rounded(R.nearest(vectors(spark, d).join(R.matching_ids(content_index(spark, d), R.parse(TEXT + " ")), "doc_id"), asked(spark, d), K))
 
 
 def knn_tag_filtered(spark: SparkSession, d: str) -> DataFrame:
-    tagged = documents(spark, d).where((F.col("lang") == "fr") & F.col("source").isin("src3", "src5", "src6")).select("doc_id")
-    return rounded(R.nearest(vectors(spark, d).join(tagged, "doc_id"), asked(spark, d), K))
+    found = R.search(documents(spark, d), vectors(spark, d), TEXT, asked(spark, d), "semantic", K, tags=TAGS)
+    return rounded(found.select("doc_id", "score"))
 
 
 def hybrid_union_rerank(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
-    postings, lengths = R.index(docs, {f: F.col(f) for f in WEIGHTS})
-    found = R.hybrid(postings, lengths, vectors(spark, d), R.parse(TEXT + " "), asked(spark, d), K, WEIGHTS)
+    found = R.hybrid(stored(spark, d), vectors(spark, d), R.parse(TEXT + " "), asked(spark, d), K, WEIGHTS)
     return rounded(R.hydrate(found, docs.select("doc_id", "title", "source"))).select("doc_id", "title", "source", "score")
 
 
@@ -118,13 +132,35 @@ def hydrate_missing(spark: SparkSession, d: str) -> DataFrame:
 
 def ordered_union_dedupe(spark: SparkSession, d: str) -> DataFrame:
     rank = lambda df: df.selectExpr("doc_id", "row_number() OVER (ORDER BY score DESC, doc_id) AS rank")
-    postings, lengths = content_index(spark, d)
-    words, near = rank(R.top(R.bm25(postings, lengths, R.parse(TEXT + " "), {"content": 1.0}), K)), rank(R.nearest(vectors(spark, d), asked(spark, d), K))
+    words, near = rank(R.top(R.bm25(content_index(spark, d), R.parse(TEXT + " "), {"content": 1.0}), K)), rank(R.nearest(vectors(spark, d), asked(spark, d), K))
     return R.union_distinct(words, near).selectExpr("doc_id", "at.list AS list", "at.rank AS rank")
 
 
 def search_api(spark: SparkSession, d: str) -> DataFrame:
-    return R.search(documents(spark, d), vectors(spark, d), "the with ", asked(spark, d), "keyword", K).select("doc_id", "snippet", "score", F.round("engine_score", 6).alias("engine_score"))
+    return R.search(documents(spark, d), vectors(spark, d), "the with ", asked(spark, d), "keyword", K, made=stored(spark, d)).select("doc_id", "snippet", "score", F.round("engine_score", 6).alias("engine_score"))
+
+
+def search_semantic(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.search(documents(spark, d), vectors(spark, d), TEXT, asked(spark, d), "semantic", K)).select("doc_id", "title", "score")
+
+
+def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.search(documents(spark, d), vectors(spark, d), "the with ", asked(spark, d), "hybrid", K, made=stored(spark, d))).select("doc_id", "title", "score")
+
+
+def search_tagged(spark: SparkSession, d: str) -> DataFrame:
+    found = R.search(documents(spark, d), vectors(spark, d), "de la ", asked(spark, d), "keyword", K, tags=TAGS, made=stored(spark, d))
+    return found.select("doc_id", F.round("engine_score", 6).alias("engine_score"))
+
+
+def result_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Hits without an id have their key; authors stand in one text."""
+    k = F.col("doc_id")
+    hits = documents(spark, d).select(
+        F.when(k % 3 > 0, k).alias("doc_id"), F.concat(F.lit("doc:"), k).alias("doc_key"), "title", "content", F.concat(F.lit(" "), "source", F.lit(" , ,"), "lang").alias("authors"), F.when(k % 2 == 0, "").otherwise("2024-01-01").alias("published_at"), F.lit(0.5).alias("score")
+    )
+    made = R.results(hits, "the with")
+    return made.select("doc_id", "title", "url", F.concat_ws("|", "authors").alias("authors"), "company", "published_at", "score")
 
 
 def topic_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -159,6 +195,30 @@ _ALL = f"(len(list_intersect({_TOKENS.format('content')}, ['the', 'with'])) = 2)
 SPECS = {
     "kw_and_match": (kw_and_match, f"WITH {_DOCS} SELECT source, count(*) AS n FROM docs WHERE {_ALL} GROUP BY source"),
     "kw_bm25_topk": (kw_bm25_topk, f"WITH {_bm25({'content': 1.0}, _BOTH, 2)} {_TOP.format('scored')}"),
+    "kw_unindexed": (kw_unindexed, f"WITH {_bm25({'content': 1.0}, _BOTH, 2)} {_TOP.format('scored')}"),
+    "index_info": (
+        index_info,
+        f"""WITH {_DOCS}, f AS (SELECT 'title' AS field, doc_id, {_TOKENS.format('title')} AS w FROM docs UNION ALL SELECT 'content', doc_id, {_TOKENS.format('content')} FROM docs), t AS (SELECT DISTINCT field, doc_id, unnest(w) AS token FROM f)
+        SELECT field, (SELECT count(*) FROM docs) AS documents, count(DISTINCT token) AS tokens, count(*) AS postings FROM t GROUP BY field""",
+    ),
+    "search_semantic": (search_semantic, f"WITH {_DOCS}, {_QV}, {_COS}, k AS (SELECT doc_id, score FROM cos ORDER BY score DESC, doc_id LIMIT 10) SELECT doc_id, title, round(score, 6) AS score FROM k JOIN docs USING (doc_id)"),
+    "search_hybrid": (
+        search_hybrid,
+        f"""WITH {_bm25(WEIGHTS, _WITH, 2)}, {_QV}, {_COS}, both_ids AS (
+          (SELECT doc_id FROM scored ORDER BY score DESC, doc_id LIMIT 50) UNION (SELECT doc_id FROM cos ORDER BY score DESC, doc_id LIMIT 50)),
+        k AS (SELECT doc_id, score FROM cos JOIN both_ids USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10)
+        SELECT doc_id, title, round(score, 6) AS score FROM k JOIN docs USING (doc_id)""",
+    ),
+    "search_tagged": (
+        search_tagged,
+        f"""WITH {_bm25(WEIGHTS, "CASE WHEN token = 'de' THEN token WHEN starts_with(token, 'la') THEN 'la*' END", 2)}
+        SELECT doc_id, round(s.score, 6) AS engine_score FROM scored s JOIN docs USING (doc_id) WHERE lang = 'fr' AND source IN ('src3', 'src5', 'src6') ORDER BY s.score DESC, doc_id LIMIT 10""",
+    ),
+    "result_mapping": (
+        result_mapping,
+        f"""WITH {_DOCS} SELECT CASE WHEN doc_id % 3 > 0 THEN doc_id::VARCHAR ELSE 'doc:' || doc_id END AS doc_id, coalesce(title, '') AS title, '' AS url, source || '|' || lang AS authors, '' AS company,
+          CASE WHEN doc_id % 2 <> 0 THEN '2024-01-01' END AS published_at, 0.5::DOUBLE AS score FROM docs""",
+    ),
     "kw_field_weighted": (kw_field_weighted, f"WITH {_bm25(WEIGHTS, _BOTH, 2)} {_TOP.format('scored')}"),
     "kw_prefix_expand": (kw_prefix_expand, f"WITH {_bm25({'content': 1.0}, _PREFIX, 2)} {_TOP.format('scored')}"),
     "kw_short_last_word": (kw_short_last_word, f"""WITH {_bm25({'content': 1.0}, "CASE WHEN token = 'the' THEN token END", 1)} {_TOP.format('scored')}"""),

@@ -9,7 +9,7 @@ from tidemark.functions import dates, keys
 from tidemark.functions import text as T
 from tidemark.operators import dataset, evaluation
 from tidemark.operators import stage_queue as Q
-from tidemark.sources.tables import table
+from tidemark.sources.tables import scratch, table
 
 NOW = 1_000
 
@@ -131,17 +131,18 @@ def queue_replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stage_queue_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The replay as a stream over all events; the last row of each run."""
+    """The replay as a stream over all events, written as a table; the last row of each run, leases that ran out taken back."""
     import uuid
 
     from tidemark.streaming import stage_queue as S
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     raw = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-    name = f"runs_{uuid.uuid4().hex}"
-    query = S.runs(as_queue_events(raw)).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+    path = f"{scratch(spark)}/runs-{uuid.uuid4().hex}"
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")  # noqa: E731 - a batch that is tried again replaces itself
+    query = S.runs(as_queue_events(raw)).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return S.latest(spark.read.schema(S.VERSIONED).parquet(path))
 
 
 def lease_expiry(spark: SparkSession, d: str) -> DataFrame:
@@ -187,6 +188,30 @@ def fetch_origins(spark: SparkSession, d: str) -> DataFrame:
     return Q.reserve(origins, Q.grant(runs, origins, F.lit(NOW), 60), F.lit(NOW).cast("long")).select("origin", "next_ms", "in_flight")
 
 
+def release_origins(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the orders' runs end; some failures hold their origins back."""
+    runs, origins = fetch_tables(spark, d)
+    k = F.col("run_key").cast("long")
+    ended = runs.where(k % 3 == 0).select("origin", F.when(k % 5 == 0, k % 700).alias("backoff_ms"))
+    return Q.release(origins.withColumn("in_flight", F.col("in_flight") * 100), ended, F.lit(NOW).cast("long")).select("origin", "backoff_ms", "in_flight")
+
+
+def admitted(spark: SparkSession, d: str) -> DataFrame:
+    """Events' users as items: each once, not those seen; those whose enqueuing failed are not seen afterwards."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("url"))
+    new, after = Q.admit(e, e.where("url % 4 = 0").distinct(), e.where("url % 5 = 0"))
+    return new.select(F.lit("new").alias("what"), "url").union(after.select(F.lit("seen"), "url")).groupBy("what").agg(F.count("*").alias("n"), F.sum("url").alias("total"))
+
+
+def cleared_stage(spark: SparkSession, d: str) -> DataFrame:
+    runs = order_runs(spark, d).withColumn("run_key", F.concat(F.when(F.col("due_ms") % 2 == 0, "fetch").otherwise("index"), F.lit(":"), "run_key"))
+    return Q.counts(Q.cleared(runs, "fetch"), F.lit(NOW))
+
+
+def sequence_ids(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.sequence_ids(table(spark, d, "customer").select("c_custkey"), "c_custkey")
+
+
 def requeue_failed(spark: SparkSession, d: str) -> DataFrame:
     return Q.counts(Q.requeue(order_runs(spark, d), ("failed",), F.lit(NOW)), F.lit(NOW))
 
@@ -401,6 +426,18 @@ SPECS = {
         fetch_origins,
         f"WITH {_GRANTS}, n AS (SELECT origin, count(*) AS k FROM g GROUP BY origin) SELECT o.origin, CASE WHEN k > 0 THEN 1000 + interval_ms ELSE next_ms END::BIGINT AS next_ms, (in_flight + coalesce(k, 0))::BIGINT AS in_flight FROM o LEFT JOIN n USING (origin)",
     ),
+    "release_origins": (
+        release_origins,
+        f"""WITH {_GRANTS}, e AS (SELECT (run_key::BIGINT % 40)::VARCHAR AS origin, count(*) AS n, max(CASE WHEN run_key::BIGINT % 5 = 0 THEN run_key::BIGINT % 700 ELSE 0 END) AS wait FROM r WHERE run_key::BIGINT % 3 = 0 GROUP BY 1)
+        SELECT o.origin, CASE WHEN coalesce(wait, 0) > 0 THEN greatest(backoff_ms, 1000 + wait) ELSE backoff_ms END::BIGINT AS backoff_ms, greatest(0, in_flight * 100 - coalesce(n, 0))::BIGINT AS in_flight FROM o LEFT JOIN e USING (origin)""",
+    ),
+    "admitted": (
+        admitted,
+        """WITH u AS (SELECT DISTINCT user_id AS url FROM events) SELECT 'new' AS what, count(*) AS n, sum(url)::BIGINT AS total FROM u WHERE url % 4 <> 0
+        UNION ALL SELECT 'seen', count(*), sum(url)::BIGINT FROM u WHERE url % 4 = 0 OR url % 5 <> 0""",
+    ),
+    "cleared_stage": (cleared_stage, f"WITH {_RUNS} SELECT CASE WHEN state = 'queued' AND due_ms > 1000 THEN 'delayed' WHEN state = 'queued' THEN 'ready' ELSE state END AS state, count(*) AS n FROM r WHERE due_ms % 2 <> 0 GROUP BY 1"),
+    "sequence_ids": (sequence_ids, "SELECT c_custkey, row_number() OVER (ORDER BY sha256(c_custkey::VARCHAR)) AS sequence_id FROM customer"),
     "requeue_failed": (requeue_failed, f"WITH {_RUNS} SELECT CASE WHEN state = 'queued' AND due_ms > 1000 THEN 'delayed' WHEN state IN ('queued', 'failed') THEN 'ready' ELSE state END AS state, count(*) AS n FROM r GROUP BY 1"),
     "latency_histogram": (
         latency_histogram,

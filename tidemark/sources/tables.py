@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,3 +57,19 @@ def write(rows: DataFrame, path: str, kind: str = "parquet", mode: str = "overwr
 
 def empty(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; in local runs without it, as in tests, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/tidemark-{spark.sparkContext.applicationId}"
+    return base.rstrip("/")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """On whatever file system the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -1,4 +1,8 @@
-"""The stage queue as a streaming query: the batch replay's transitions over keyed state, leases as timers."""
+"""The stage queue as a streaming query: the batch replay's transitions over keyed state, leases as timers.
+
+Time is the events' own: a timer stands at each lease's end, and when the stream's watermark has passed it the run is
+taken back, whether or not another event of the run ever comes.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.stage_queue import LEASE_MS, MAX_ATTEMPTS, RUN, Run
 
-_STATE = "state string, attempts int, due_ms long, lease_ms long, error_class string, error_code string, finished_ms long, token string"
-_NAMES = [c.split()[0] for c in RUN.split(", ")]
+_STATE = "state string, attempts int, due_ms long, lease_ms long, error_class string, error_code string, finished_ms long, token string, version long"
+#: What the stream gives: runs, and how often each has been given.
+VERSIONED = f"{RUN}, version long"
+_NAMES = [c.split()[0] for c in VERSIONED.split(", ")]
 
 
 class Runs(StatefulProcessor):
@@ -19,21 +26,50 @@ class Runs(StatefulProcessor):
         self.lease_ms, self.most = lease_ms, max_attempts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.run = handle.getValueState("run", _STATE)
 
+    def _load(self) -> tuple[Run, int]:
+        if not self.run.exists():
+            return Run(), 0
+        *fields, version = self.run.get()
+        return Run(*fields), version
+
+    def _given(self, key, run: Run, version: int) -> Iterator[pd.DataFrame]:
+        self.run.update((*run.row(key[0])[1:], run.token, version + 1))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if run.lease_ms:
+            self.handle.registerTimer(run.lease_ms)
+        if run.state:
+            yield pd.DataFrame([(*run.row(key[0]), version + 1)], columns=_NAMES)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        run = Run(*self.run.get()) if self.run.exists() else Run()
+        run, version = self._load()
         for e in pd.concat(list(rows)).sort_values(["ts_ms", "op"], kind="stable").itertuples(index=False):
             text = lambda v: None if v is None or pd.isna(v) else str(v)
             run.apply(e.op, int(e.ts_ms), text(e.kind), text(e.error_code), 0 if pd.isna(e.delay_ms) else int(e.delay_ms), self.lease_ms, self.most, text(e.token))
-        self.run.update((*run.row(key[0])[1:], run.token))
-        if run.state:
-            yield pd.DataFrame([run.row(key[0])], columns=_NAMES)
+        yield from self._given(key, run, version)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        run, version = self._load()
+        run.expire(expiredTimerInfo.getExpiryTimeInMs(), self.most)
+        yield from self._given(key, run, version)
 
     def close(self) -> None:
         pass
 
 
-def runs(events: DataFrame, lease_ms: int = LEASE_MS, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """A row for each run that a batch of the stream touches, as it is after the batch. Needs the RocksDB state store."""
-    return events.groupBy("run_key").transformWithStateInPandas(Runs(lease_ms, max_attempts), RUN, "update", "none")
+def runs(events: DataFrame, lease_ms: int = LEASE_MS, max_attempts: int = MAX_ATTEMPTS, late: str = "0 seconds") -> DataFrame:
+    """A row for each run that a batch of the stream touches or whose lease ends, as it is then; the highest version is the last.
+
+    ``late`` is how much later than others an event may come. Needs the RocksDB state store.
+    """
+    timed = events.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", late)
+    return timed.groupBy("run_key").transformWithStateInPandas(Runs(lease_ms, max_attempts), VERSIONED, "update", "eventTime")
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """Of each run's rows the last one, out of a table that batches were written to."""
+    names = [n for n in _NAMES if n != "version"]
+    return rows.groupBy("run_key").agg(F.max_by(F.struct(*names[1:]), "version").alias("r")).select("run_key", "r.*")
