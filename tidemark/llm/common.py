@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +85,31 @@ def sample(rows: DataFrame, stratum: str, most: int, key: str = "doc_id") -> tup
     return rows.where(keep), share
 
 
+def commonest(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the largest counts, ``most`` at most; of rows with the same count all or none. ``rows`` is read twice, so a table.
+
+    Only the distinct counts come to the driver; there are about as many as the root of all counts together.
+    """
+    left = most
+    least = None
+    for r in sorted(rows.groupBy(count).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        left -= r["rows"]
+        if left < 0:
+            break
+        least = r[count]
+    return rows.where(F.col(count) >= least) if least is not None else rows.limit(0)
+
+
+#: Rows whose texts a worker turns into strings at once.
+SLICE = 256
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def rescale(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0) -> tuple[float, float]:
     """Slope and intercept of a logistic curve through (score, label), by damped Newton steps with a slight ridge.
 

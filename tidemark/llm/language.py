@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import sample
+from tidemark.llm.common import commonest, sample, saved, slices
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -28,7 +28,7 @@ SAMPLE_DOCS = 3_000
 MAX_WORDS, MAX_GRAMS = 200_000, 100_000
 ORDERS = (5, 4, 3, 2, 1)
 #: Unseen words whose scores a worker remembers, their letters at most, words of a text that are summed at once.
-REMEMBERED, SHORT, BLOCK = 200_000, 64, 1 << 15
+REMEMBERED, SHORT, BLOCK = 100_000, 64, 1 << 15
 
 
 def grams(word: str, order: int) -> Iterator[str]:
@@ -132,8 +132,9 @@ def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WO
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict[str, Counter] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            for part in slices([batch]):
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    by.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
             flat = [(lang, w, n) for lang, counter in by.items() for w, n in counter.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
@@ -151,9 +152,10 @@ def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WO
 
     def frequent(counts: DataFrame, key: str, most: int) -> pa.Table:
         by = counts.groupBy(key).agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))  # a row for each language
-        return by.orderBy(F.desc("total"), key).limit(most).select(key, "by").toArrow()
+        return commonest(saved(by), "total", most).select(key, "by").toArrow().sort_by(key)
 
     counted = chosen.select("lang", "text").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = saved(counted)
     words = frequent(counted, "word", max_words)
     pieces = frequent(counted.mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", max_grams)
     languages = sorted({x["lang"] for by in words["by"].to_pylist() for x in by}) if share else []
@@ -172,7 +174,7 @@ def identify(docs: DataFrame, model: LanguageModel, *keep: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = shared.value.predict
-        for batch in batches:
+        for batch in slices(batches):
             found = [predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score"])

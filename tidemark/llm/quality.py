@@ -26,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RANGE, rescale, sample
+from tidemark.llm.common import RANGE, rescale, sample, slices
 
 #: Labelled documents of each label that a fit reads, about, at most.
 SAMPLE_DOCS = 2_500
@@ -161,12 +161,11 @@ def features(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")), F.col("n_chars").cast("long").alias("n_chars"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                ids, texts, *meta = batch.slice(at, 1024).columns
-                t = pa.array([list(text_features(x or "").items()) for x in texts.to_pylist()], _MAP)
-                m = pa.array([list(meta_features(*x).items()) for x in zip(*(c.to_pylist() for c in meta), strict=True)], _MAP)
-                yield pa.RecordBatch.from_arrays([ids, t, m], ["doc_id", "t", "m"])
+        for batch in slices(batches):
+            ids, texts, *meta = batch.columns
+            t = pa.array([list(text_features(x or "").items()) for x in texts.to_pylist()], _MAP)
+            m = pa.array([list(meta_features(*x).items()) for x in zip(*(c.to_pylist() for c in meta), strict=True)], _MAP)
+            yield pa.RecordBatch.from_arrays([ids, t, m], ["doc_id", "t", "m"])
 
     return rows.mapInArrow(look, FEATURES)
 

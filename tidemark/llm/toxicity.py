@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import rescale, sample
+from tidemark.llm.common import commonest, rescale, sample, saved, slices
 
 TOKENS = re.compile(r"\w+")
 #: Documents of each label that a fit reads, about, at most.
@@ -177,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, max_
 
     counted = chosen.mapInArrow(count, "token string, stem boolean, c0 long, t0 long, c1 long, t1 long")
     counted = counted.groupBy("token", "stem").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
-    found = counted.select("*", F.expr("t0 + t1 AS t"), F.expr("c0 + c1 AS c")).orderBy(F.desc(F.expr("t + c")), "token", "stem").limit(WEIGHED).toArrow()
+    every = saved(counted.select("*", F.expr("t0 + t1 AS t"), F.expr("c0 + c1 AS c"), F.expr("t0 + t1 + c0 + c1 AS n")))
+    found = commonest(every, "n", WEIGHED).drop("n").toArrow().sort_by([("token", "ascending"), ("stem", "ascending")])
     halves = [ToxicityModel(*weigh(found, f"t{i}", f"c{i}", max_tokens), 0.0, 1.0, 0.0) for i in (1, 0)]
 
     def examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +209,7 @@ def score(docs: DataFrame, model: ToxicityModel, *keep: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             seen = [model.passages(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             kept = [[{"start": s, "end": e, "score": v, "expected": x} for s, e, v, x in found if x <= EXPECTED] for _, found in seen]
             columns = [*batch.columns[:-1], pa.array([model.score(*x) for x in seen], pa.float64()), pa.array(kept, kind)]
