@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import commonest, sample, saved, slices
+from tidemark.llm.common import commonest, drop_saved, sample, saved, slices
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -152,12 +152,16 @@ def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WO
 
     def frequent(counts: DataFrame, key: str, most: int) -> pa.Table:
         by = counts.groupBy(key).agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))  # a row for each language
-        return commonest(saved(by), "total", most).select(key, "by").toArrow().sort_by(key)
+        by = saved(by)
+        found = commonest(by, "total", most).select(key, "by").toArrow().sort_by(key)
+        drop_saved(by)
+        return found
 
     counted = chosen.select("lang", "text").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = saved(counted)
     words = frequent(counted, "word", max_words)
     pieces = frequent(counted.mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", max_grams)
+    drop_saved(counted)
     languages = sorted({x["lang"] for by in words["by"].to_pylist() for x in by}) if share else []
     return LanguageModel(languages, *_scores(words, "word", languages), *_scores(pieces, "gram", languages))
 

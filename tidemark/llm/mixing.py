@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, saved
+from tidemark.llm.common import WORD, drop_saved, saved
 
 #: Rows that a bucket of one source holds on average, at most.
 BUCKET_ROWS = 500
@@ -83,6 +83,7 @@ def mix(
     bucket = F.substring("key", 1, digits) if digits else F.lit("")
     sums = saved(numbers.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size")))
     facts = cuts(sums, weights, share, repeats, digits)
+    drop_saved(sums)
 
     # a row for each source, as on the driver
     placed = rows.withColumn("bucket", bucket).join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("s")))

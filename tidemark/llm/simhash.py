@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import binary, saved
+from tidemark.llm.common import binary, drop_saved, saved, slices
 from tidemark.llm.components import components
 
 BITS = 64
@@ -182,6 +182,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     rooted = nodes.select("fp", "first_id", F.struct("first_id", "fp").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
     component = F.coalesce(F.col("root.first_id"), F.col("first_id"))
     of = saved(rooted.select(F.col("fp").alias("node_fp"), F.when(component != LAST, component).alias("component_id")))
+    for used in (roots, nodes):
+        drop_saved(used)
     return prints.join(of, prints["fp"] == of["node_fp"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp"
     )
@@ -233,7 +235,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     seeds = np.random.default_rng(seed).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in binary(batch.column(batch.num_columns - 1))]
             nodes = [xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets]
             bands = []
@@ -245,22 +247,28 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
                     *batch.columns[:-1],
                     pa.array(np.array(nodes, np.uint64).view(np.int64)),
                     pa.array(list(np.array(bands, np.uint64).reshape(-1, BANDS).view(np.int64)), pa.list_(pa.int64())),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    batch.column(batch.num_columns - 1),
                 ],
-                [*batch.schema.names[:-1], "node", "bands", "shingles"],
+                [*batch.schema.names[:-1], "node", "bands", "whole"],
             )
 
-    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("whole"))
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, shingle, seed)).tobytes() for t in binary(batch.column(1))], pa.binary())], ["node", "shingles"])
+
+    rows = docs.select(*(c for c in keep if c != "text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("whole"))
     kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     # a row's number is stored with it, so that it is the same whoever reads it
-    prints = saved(rows.mapInArrow(run, f"{kept}node long, bands array<long>, shingles binary").withColumn("row", F.monotonically_increasing_id()))
+    prints = saved(rows.mapInArrow(run, f"{kept}node long, bands array<long>, whole string").withColumn("row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("row"))).alias("first")
     nodes = saved(prints.groupBy("node").agg(first))
     banded = prints.select("node", F.explode("bands").alias("band")).distinct()
     heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
     shared = saved(banded.join(heads.drop("n"), "band"))  # of bands that several nodes have
     wanted = shared.select("node").distinct()
-    sets = saved(prints.join(wanted, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]))
+    # one text of each such node, by its first row; shingles take more room than texts, so only these are written
+    firsts = nodes.join(wanted, "node", "left_semi").select(F.col("first.row").alias("row"))
+    sets = saved(prints.join(firsts, "row", "left_semi").select("node", "whole").mapInArrow(shingles, "node long, shingles binary"))
     direct = saved(similar(shared.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), sets, similarity))
     roots = saved(components(direct).select(F.col("node").alias("n"), "root"))
     placed = shared.join(roots, F.col("node") == F.col("n"), "left").select("band", "node", "head", F.coalesce("root", "node").alias("root"))
@@ -269,11 +277,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     a, b = (apart.select("band", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
     rest = a.join(b, "band").where("root_a < root_b").select("a", "b").distinct()
     links = saved(direct.union(similar(rest, sets, similarity)))
-    firsts = lambda x: nodes.select(F.col("node").alias(x), F.struct("first", "node").alias(f"{x}_node"))
-    named = links.join(firsts("a"), "a").join(firsts("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    first_of = lambda x: nodes.select(F.col("node").alias(x), F.struct("first", "node").alias(f"{x}_node"))
+    named = links.join(first_of("a"), "a").join(first_of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     of = components(named)  # nodes by their first rows: a component's smallest node names its first row
     own = nodes.select(F.struct("first", "node").alias("own"), "node").join(of.withColumnRenamed("node", "linked"), F.col("own") == F.col("linked"), "left")
     found = saved(own.select(F.col("node").alias("n"), F.coalesce("root.first", "own.first").alias("first")))
-    named = prints.drop("bands", "shingles").join(found, F.col("node") == F.col("n"))
+    for used in (of, links, apart, roots, direct, sets, shared, nodes):
+        drop_saved(used)
+    whole = {"text": F.col("whole").alias("text")}  # a column to keep that is written already
+    named = prints.drop("bands").join(found, F.col("node") == F.col("n"))
     component = F.when(F.col("first.id") != LAST, F.col("first.id")).alias("component_id")
-    return named.select(*keep, "doc_id", component, (F.col("row") == F.col("first.row")).alias("original"))
+    return named.select(*(whole.get(c, F.col(c)) for c in keep), "doc_id", component, (F.col("row") == F.col("first.row")).alias("original"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import commonest, rescale, sample, saved, slices
+from tidemark.llm.common import commonest, drop_saved, rescale, sample, saved, slices
 
 TOKENS = re.compile(r"\w+")
 #: Documents of each label that a fit reads, about, at most.
@@ -179,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, max_
     counted = counted.groupBy("token", "stem").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
     every = saved(counted.select("*", F.expr("t0 + t1 AS t"), F.expr("c0 + c1 AS c"), F.expr("t0 + t1 + c0 + c1 AS n")))
     found = commonest(every, "n", WEIGHED).drop("n").toArrow().sort_by([("token", "ascending"), ("stem", "ascending")])
+    drop_saved(every)
     halves = [ToxicityModel(*weigh(found, f"t{i}", f"c{i}", max_tokens), 0.0, 1.0, 0.0) for i in (1, 0)]
 
     def examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
