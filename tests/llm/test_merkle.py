@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import xxhash
 
 from tidemark.llm import merkle
 
@@ -93,3 +94,14 @@ def test_known_leaves_are_those_of_the_whole_text():
         at = int(rng.integers(0, len(a) + 1))
         edited = a[:at] + b
         assert merkle.leaves(edited, merkle.leaves(a), at) == merkle.leaves(edited)
+
+
+def test_many_rows_of_one_id(spark):
+    rng = np.random.default_rng(13)
+    rows = [(None if i % 3 else i, " ".join(f"w{int(x)}" for x in rng.integers(0, 99, 12))) for i in range(600)] + [(5, f"five {i}") for i in range(300)]
+    out = merkle.neighbours(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, h int")).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(i) for i, _ in rows)
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    order = sorted(rows, key=lambda r: (-r[0] if r[0] is not None else 1 << 63, signed(r[1])))
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest() for k, (_, t) in enumerate(order))
+    assert sorted(r["edited_sha256"] for r in out) == want

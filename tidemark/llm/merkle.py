@@ -219,48 +219,65 @@ def neighbours(docs: DataFrame) -> DataFrame:
     texts of any length have a fingerprint of bounded size; other columns are ignored, whatever their names.
     ``first_edit`` is where the first differing branch begins in the edited text, null if none differs.
 
-    Ids are cut at quantiles into ranges, each a few tasks' worth; besides its own rows a range gets a copy of the
-    row that follows its last one. Rows are sorted inside a partition and compared as they stream by.
+    Ids are cut at quantiles into ranges; an id that many rows have, as null may be, is a range of its own and cut by a hash
+    of their texts. Besides its own rows a range gets a copy of the row that follows its last one. Rows are sorted inside a
+    partition and compared as they stream by.
     """
     spark = docs.sparkSession
     buckets = BUCKETS * partitions(spark)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    whole = F.col("text").cast("string")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), F.xxhash64(F.coalesce(whole, F.lit(""))).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), whole.alias("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, first_edit long"
-    ids = rows.select("id")
+    ids = rows.select("id", "h")
     found = ids.approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.5 / buckets)
-    cuts = np.unique(np.array(found, np.float64)) if found else np.zeros(0)
-    place = lambda x: np.searchsorted(cuts, x.astype(np.float64), "right")
+    # ids with more rows than a range: fewer than there are ranges
+    many = {int(v): n for v, n in zip(*np.unique(np.array(found, np.float64), return_counts=True), strict=True) if n > 1}
+    hot = {r["id"]: r["n"] for r in ids.where(F.col("id").isin(list(many))).groupBy("id").agg(F.count("*").alias("n")).collect()} if many else {}
+    room = max(1, docs.count() // buckets)
+    parts = {v: -(-n // room) for v, n in hot.items() if n > room}
+    cuts = np.unique(np.array([*(int(x) for x in found), *parts, *(v + 1 for v in parts if v < (1 << 63) - 1)], np.int64))
+    most = max(parts.values(), default=1)
+    hot_ids = np.array(sorted(parts), np.int64)
+    shares = np.array([parts[v] for v in hot_ids.tolist()], np.int64)
+
+    def place(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The number of a row's range; ranges follow each other by descending numbers."""
+        part = np.zeros(len(x), np.int64)
+        if len(hot_ids):
+            at = np.minimum(np.searchsorted(hot_ids, x), len(hot_ids) - 1)
+            mine = hot_ids[at] == x
+            # hashes go up in the order of documents
+            part[mine] = ((h[mine].astype(np.float64) / 2.0**64 + 0.5) * shares[at[mine]]).astype(np.int64).clip(0, shares[at[mine]] - 1)
+        return np.searchsorted(cuts, x, "right") * most + (most - 1 - part)
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(place(x).astype(np.int64)), batch.column(0)], ["bucket", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(place(batch.column(0).to_numpy(), batch.column(1).to_numpy())), batch.column(0), batch.column(1)], ["bucket", "id", "h"])
 
-    first = {r["bucket"]: r["id"] for r in ids.mapInArrow(bucket, "bucket long, id long").groupBy("bucket").agg(F.max("id").alias("id")).collect()}
+    leading = F.max(F.struct("id", (-1 - F.col("h")).alias("turned")))  # the greatest id, of its rows the least hash
+    first = {r["bucket"]: (r["f"]["id"], -1 - r["f"]["turned"]) for r in ids.mapInArrow(bucket, "bucket long, id long, h long").groupBy("bucket").agg(leading.alias("f")).collect()}
     order = sorted(first, reverse=True)  # as documents follow each other
     before = {b: order[i - 1] for i, b in enumerate(order)}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
+        names = ["bucket", "copy", "id", "h", "doc_id", "z"]
         for batch in batches:
-            x = batch.column(0).to_numpy()
-            own = place(x)
-            z = pa.array([squeeze(t or b"") for t in binary(batch.column(2))], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(np.zeros(len(x), bool)), batch.column(0), batch.column(1), z], ["bucket", "copy", "id", "doc_id", "z"])
-            also = [i for i, (b, v) in enumerate(zip(own.tolist(), x.tolist(), strict=True)) if first[b] == v]
+            x, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            own = place(x, h)
+            z = pa.array([squeeze(t or b"") for t in binary(batch.column(3))], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(x), bool)), *batch.columns[:3], z], names)
+            also = [i for i, row in enumerate(zip(own.tolist(), x.tolist(), h.tolist(), strict=True)) if first[row[0]] == row[1:]]
             if also:
                 at = pa.array(also, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([before[own[i]] for i in also], pa.int64()), pa.array([True] * len(also)), batch.column(0).take(at), batch.column(1).take(at), z.take(at)],
-                    ["bucket", "copy", "id", "doc_id", "z"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([before[own[i]] for i in also], pa.int64()), pa.array([True] * len(also)), *(c.take(at) for c in batch.columns[:3]), z.take(at)], names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         held: tuple[int, int | None, str, Leaves, str] | None = None
         out: list[tuple] = []
         for batch in batches:
-            for b, copy, doc_id, z in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+            for b, copy, doc_id, z in zip(*(batch.column(k).to_pylist() for k in (0, 1, 4, 5)), strict=True):
                 if copy and (held is None or held[0] != b):
                     held = None
                     continue
@@ -277,8 +294,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, made)
 
     made = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("first_edit", pa.int64())])
-    dealt = rows.mapInArrow(spread, "bucket long, copy boolean, id long, doc_id long, z binary").repartition(partitions(spark), "bucket")
-    return dealt.sortWithinPartitions("bucket", "copy", F.desc("id"), "z").mapInArrow(compare, schema)
+    dealt = rows.mapInArrow(spread, "bucket long, copy boolean, id long, h long, doc_id long, z binary").repartition(partitions(spark), "bucket")
+    return dealt.sortWithinPartitions("bucket", "copy", F.desc("id"), "h", "z").mapInArrow(compare, schema)
 
 
 def edit(doc_id: int | None, text: str, cut: Leaves, own: str, next_: str, next_print: str) -> dict:
