@@ -83,7 +83,12 @@ def mlp_select(spark: SparkSession, d: str) -> DataFrame:
 _COUNT = "len(regexp_extract_all(html, '<{0}[ >]'))"
 SPECS = {
     "etl_title": (etl_title, "SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS language, 0 AS authors FROM pages"),
-    "etl_content": (etl_content, None),
+    "etl_content": (
+        etl_content,
+        r"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g') AS t FROM pages),
+        u AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM a)
+        SELECT page_id, length(t)::INT AS n, contains(t, '©') AS footer FROM u""",
+    ),
     "nav_dropped_text_len": (nav_dropped_text_len, "SELECT page_id, 0::BIGINT AS navs, (len(regexp_extract_all(html, '<p>')) - len(regexp_extract_all(html, '<p></p>')))::BIGINT AS paragraphs, 1::BIGINT AS titles FROM pages"),
     "dom_nodes": (dom_nodes, None),
     "dom_tags": (dom_tags, " UNION ALL ".join(f"SELECT '{t}' AS tag, sum({_COUNT.format(t)})::BIGINT AS n FROM pages" for t in ("li", "a", "p", "br", "b", "article", "h1", "ul", "nav", "footer"))),
@@ -205,7 +210,7 @@ SPECS |= {
     "attribute_tokens": (attribute_tokens, "SELECT tag, tokens, count(*) AS pages FROM (SELECT 'article' AS tag, 'post body main text' AS tokens FROM pages UNION ALL SELECT 'div', 'ad' FROM pages UNION ALL SELECT 'p', '' FROM pages) GROUP BY ALL"),
     "author_boundary": (author_boundary, None),
     "local_candidates": (local_candidates, "SELECT page_id, 4::BIGINT AS n, 3 AS furthest FROM pages"),
-    "byline_rescue": (byline_rescue, None),
+    "byline_rescue": (byline_rescue, "SELECT CASE WHEN length(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) + 13 <= 250 THEN 'h1' ELSE 'article' END AS tag, count(*) AS n FROM pages GROUP BY 1"),
     "css_selectors": (css_selectors, None),
     "extract_documents": (extract_documents, None),
     "extract_titles": (extract_titles, "SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text, true AS heading FROM pages"),
