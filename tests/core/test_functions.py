@@ -153,3 +153,13 @@ def test_scoring_dates(spark):
     at = F.lit("2024-03-10").cast("date")
     day = lambda text: one(spark, text, dates.scoring_date(F.col("x"), at).cast("string"))[0]
     assert [day(t) for t in ("on 2024-1-5.", "May 3, 2020", "3 may 2020", "2 weeks ago", "1 day ago", "2024-02-30", "no")] == ["2024-01-05", "2020-05-03", "2020-05-03", "2024-02-25", "2024-03-09", None, None]
+
+
+def test_unpacked_vectors_and_ragged_ones(spark):
+    rows = spark.createDataFrame([([1.5, -2.0],), ([],), (None,)], "a array<double>")
+    back = vector.unpack(vector.pack(rows, "a", "p"), "p", "b").collect()
+    assert [r["b"] for r in back] == [[1.5, -2.0], [], None]
+    assert vector.unpack(spark.createDataFrame([(bytearray(b"abc"),)], "p binary"), "p", "b").first()["b"] is None
+    ragged = spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "k int, v array<double>")
+    with pytest.raises(Exception, match="differ in length"):
+        vector.mean_pool(ragged, "k", "v").collect()

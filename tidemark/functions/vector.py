@@ -44,9 +44,10 @@ def dummy_embedding(text: Column, dim: int = 384) -> Column:
 
 
 def mean_pool(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, mean: the mean of each key's vectors, number by number."""
-    parts = vectors.select(key, F.posexplode(doubles(F.col(vector))).alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))
-    return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mean"))
+    """key, mean: the mean of each key's vectors, number by number; vectors of one key that differ in length are an error."""
+    parts = vectors.select(key, F.posexplode(doubles(F.col(vector))).alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    ragged = F.when(F.min("n") != F.max("n"), F.raise_error(F.lit("vectors of one key differ in length")))
+    return parts.groupBy(key).agg(ragged.cast("boolean").alias("ok"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mean")).where("ok IS NULL").select(key, "mean")
 
 
 def max_sim(query: list[list[float]], vectors: Column) -> Column:
@@ -66,3 +67,14 @@ def pack(vectors: DataFrame, vector: str, packed: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, packed])
 
     return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, T.StructField(packed, T.BinaryType())]))
+
+
+def unpack(vectors: DataFrame, packed: str, vector: str) -> DataFrame:
+    """Adds the numbers of packed 32-bit floats; bytes that are no whole numbers give null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [None if b is None or len(b) % 4 else np.frombuffer(b, "<f4") for b in batch.column(packed).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float32()))], [*batch.schema.names, vector])
+
+    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, T.StructField(vector, T.ArrayType(T.FloatType()))]))

@@ -19,10 +19,15 @@ def pair_up(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     return both.where(F.when(F.col("_g").isNull() | F.col("_p").isNull(), F.raise_error(F.concat(F.lit("unmatched "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)).drop("_g", "_p")
 
 
-def accuracy(rows: DataFrame, sets: Sequence[Sequence[str]], correct: Column, columns: Sequence[str]) -> DataFrame:
-    """n, correct, accuracy for each grouping set, in one pass; columns outside a set are null."""
-    named = rows.select(*columns, correct.cast("int").alias("ok"))
-    return named.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in columns)).agg(F.count("*").alias("n"), F.sum("ok").alias("correct"), F.avg("ok").alias("accuracy"))
+def accuracy(rows: DataFrame, sets: Sequence[Sequence[str]], correct: Column, columns: Sequence[str], present: Column | None = None) -> DataFrame:
+    """n, correct, accuracy for each grouping set, in one pass; columns outside a set are null.
+
+    With ``present`` also present_n and present_accuracy, of the rows that have the field at all.
+    """
+    named = rows.select(*columns, correct.cast("int").alias("ok"), (F.lit(True) if present is None else F.coalesce(present, F.lit(False))).alias("there"))
+    own = F.when(F.col("there"), F.col("ok"))
+    more = [] if present is None else [F.count(own).alias("present_n"), F.avg(own).alias("present_accuracy")]
+    return named.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in columns)).agg(F.count("*").alias("n"), F.sum("ok").alias("correct"), F.avg("ok").alias("accuracy"), *more)
 
 
 def missing_scores(rows: DataFrame, by: str, gold: Column, predicted: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls
+from tidemark.sources.tables import small
 
 #: Seconds between requests where robots.txt asks for none.
 DEFAULT_DELAY = 5.0
@@ -41,7 +42,7 @@ def classify(pages: DataFrame, catalog: DataFrame, url: str = "url") -> DataFram
     keyed = pages.withColumn("h", urls.host(F.col(url))).withColumn("p", urls.path(F.col(url)))
     looks = F.lower(F.col("p")).endswith(".xml") | F.lower(F.col("p")).contains("sitemap")
     fits = lambda r: F.when(r["rank"] == -1, looks).when(r["rank"] == 0, p == r["rule"]).otherwise(F.rlike("p", r["rule"]))
-    joined = keyed.join(F.broadcast(by_host), keyed["h"] == by_host["host"], "left").drop("host")
+    joined = keyed.join(small(by_host), keyed["h"] == by_host["host"], "left").drop("host")
     hits = F.filter(F.coalesce("rules", F.array()), fits)
     best = F.coalesce(F.get(F.filter(hits, lambda r: r["rank"] == -1), 0), F.get(hits, 0))
     return joined.withColumn("best", best).withColumn("kind", F.coalesce("best.kind", F.lit("reject"))).withColumn("source_id", F.col("best.id")).drop("h", "p", "rules", "best")
@@ -81,7 +82,7 @@ def collectable(pages: DataFrame, catalog: DataFrame, hashed_hosts: tuple[str, .
     keyed = pages.withColumn("_h", urls.host(F.col(url))).withColumn("_p", urls.path(F.col(url)))
     fits = F.when(F.col("_h").isin(*hashed_hosts), slug.rlike("-[0-9a-f]{8,}$")) if hashed_hosts else F.when(F.lit(False), F.lit(False))
     told = F.col("_host").isNotNull() & plain & fits.otherwise(F.exists("_patterns", lambda r: F.rlike(F.when(path == "", "/").otherwise(path), r)))
-    return keyed.join(F.broadcast(by_host), F.col("_h") == F.col("_host"), "left").withColumn("collect", F.coalesce(told, F.lit(False))).drop("_h", "_p", "_host", "_patterns")
+    return keyed.join(small(by_host), F.col("_h") == F.col("_host"), "left").withColumn("collect", F.coalesce(told, F.lit(False))).drop("_h", "_p", "_host", "_patterns")
 
 
 def sitemap_walk(files: DataFrame, roots: list[str], most: int = 60, limit: int = 1_000) -> DataFrame:
@@ -147,8 +148,11 @@ def sitemap_locs(xml: Column) -> Column:
 def parse_robots(files: DataFrame) -> DataFrame:
     """host, agent, allow, pattern, crawl_delay, request_rate: a row for each rule; ``files`` has host and text.
 
-    Groups without rules have one row with a null pattern. ``request_rate`` is seconds for a request, rounded up.
+    Groups without rules have one row with a null pattern. ``request_rate`` is seconds for a request, rounded up. A file
+    whose ``status``, if there is such a column, is 400 or more has no rules: all is allowed.
     """
+    if "status" in files.columns:
+        files = files.withColumn("text", F.when(F.coalesce("status", F.lit(0)) >= 400, "").otherwise(F.col("text")))
     kind = pa.list_(pa.struct([("agent", pa.string()), ("allow", pa.bool_()), ("pattern", pa.string()), ("crawl_delay", pa.float64()), ("request_rate", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -210,7 +210,12 @@ SPECS |= {
     "attribute_tokens": (attribute_tokens, "SELECT tag, tokens, count(*) AS pages FROM (SELECT 'article' AS tag, 'post body main text' AS tokens FROM pages UNION ALL SELECT 'div', 'ad' FROM pages UNION ALL SELECT 'p', '' FROM pages) GROUP BY ALL"),
     "author_boundary": (author_boundary, None),
     "local_candidates": (local_candidates, "SELECT page_id, 4::BIGINT AS n, 3 AS furthest FROM pages"),
-    "byline_rescue": (byline_rescue, "SELECT CASE WHEN length(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) + 13 <= 250 THEN 'h1' ELSE 'article' END AS tag, count(*) AS n FROM pages GROUP BY 1"),
+    "byline_rescue": (
+        byline_rescue,
+        r"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g') AS t FROM pages),
+        u AS (SELECT trim(regexp_replace(replace(replace(t, '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM a)
+        SELECT CASE WHEN length(t) + 13 <= 250 THEN 'article' ELSE 'h1' END AS tag, count(*) AS n FROM u GROUP BY 1""",
+    ),
     "css_selectors": (css_selectors, None),
     "extract_documents": (extract_documents, None),
     "extract_titles": (extract_titles, "SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text, true AS heading FROM pages"),

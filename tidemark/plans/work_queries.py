@@ -252,6 +252,12 @@ def accuracy_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("accuracy", F.round("accuracy", 6))
 
 
+def accuracy_present(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy over all rows and over those that have the field."""
+    found = evaluation.accuracy(judged(spark, d), [["lang"], []], F.col("quality") != F.col("toxic"), ["lang"], F.col("doc_id") % 3 > 0)
+    return found.select("lang", "n", "present_n", F.round("accuracy", 6).alias("accuracy"), F.round("present_accuracy", 6).alias("present_accuracy"))
+
+
 def missing_precision_recall(spark: SparkSession, d: str) -> DataFrame:
     out = evaluation.missing_scores(judged(spark, d), "lang", F.when(F.col("quality") == 1, 1), F.when(F.col("toxic") == 0, 1))
     return out.select("lang", *(F.round(c, 6).alias(c) for c in ("missing_precision", "missing_recall")))
@@ -451,6 +457,10 @@ SPECS = {
         accuracy_grouping_sets,
         f"WITH {_LABELLED} SELECT source, lang, count(*) AS n, sum((quality <> toxic)::INT)::BIGINT AS correct, round(avg((quality <> toxic)::INT), 6) AS accuracy FROM j GROUP BY GROUPING SETS ((lang), (source, lang), ())",
     ),
+    "accuracy_present": (
+        accuracy_present,
+        f"WITH {_LABELLED} SELECT lang, count(*) AS n, count(*) FILTER (doc_id % 3 > 0) AS present_n, round(avg((quality <> toxic)::INT), 6) AS accuracy, round(avg((quality <> toxic)::INT) FILTER (doc_id % 3 > 0), 6) AS present_accuracy FROM j GROUP BY GROUPING SETS ((lang), ())",
+    ),
     "missing_precision_recall": (
         missing_precision_recall,
         f"WITH {_LABELLED}, s AS (SELECT lang, sum((quality <> 1 AND toxic <> 0)::INT) AS hit, sum((toxic <> 0)::INT) AS said, sum((quality <> 1)::INT) AS truth FROM j GROUP BY lang) SELECT lang, round(hit / greatest(1, said), 6) AS missing_precision, round(hit / greatest(1, truth), 6) AS missing_recall FROM s",

@@ -73,3 +73,8 @@ def exists(spark: SparkSession, path: str) -> bool:
     """On whatever file system the path names."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table to broadcast, if it has so many rows at most; else it is joined like any other. Counting stops at the bound."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
