@@ -1,8 +1,9 @@
 import os
+import zlib
 
 import pytest
 
-from tidemark.llm import oracles, queries
+from tidemark.llm import common, oracles, queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -46,3 +47,16 @@ def test_columns_and_rows(spark, name):
     assert CONTRACTS[name].items() <= dict(rows.dtypes).items()
     table = "pages" if name in ("op4_html", "op8_urls") else "documents"
     assert rows.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+def test_a_null_id_is_never_learned_from(spark):
+    rows = spark.createDataFrame([(None,), (1,), (2,), (3,)], "doc_id long")
+    found = {r["doc_id"]: r["h"] for r in rows.select("doc_id", queries.held_out(4, 2).alias("h")).collect()}
+    assert found == {None: True, **{i: zlib.crc32(str(i).encode()) % 4 == 2 for i in (1, 2, 3)}}
+
+
+def test_commonest_rows_by_a_threshold(spark):
+    rows = spark.createDataFrame([(f"w{i}", i // 3) for i in range(30)], "w string, n long")
+    found = lambda most: {r["w"] for r in common.commonest(rows, "n", most).collect()}
+    assert found(100) == {f"w{i}" for i in range(30)} and found(0) == found(2) == set()
+    assert found(3) == found(5) == {"w27", "w28", "w29"} and len(found(6)) == 6
