@@ -32,6 +32,9 @@ BUCKET = 1024
 LAST = (1 << 63) - 1
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
+#: Nodes of a band that the others are held against, in rounds, where the first one does not connect them; and parcels that
+#: a band is dealt in.
+HEADS, PARCELS = (4, 12), 8
 #: Bands of a text and least hashes in each.
 BANDS, ROWS = 20, 5
 
@@ -182,8 +185,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     rooted = nodes.select("fp", "first_id", F.struct("first_id", "fp").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
     component = F.coalesce(F.col("root.first_id"), F.col("first_id"))
     of = saved(rooted.select(F.col("fp").alias("node_fp"), F.when(component != LAST, component).alias("component_id")))
-    for used in (roots, nodes):
-        drop_saved(used)
+    for done in (roots, nodes):
+        drop_saved(done)
     return prints.join(of, prints["fp"] == of["node_fp"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp"
     )
@@ -217,6 +220,18 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def unconnected(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """band, node, root of the bands of which not all nodes are connected by the links, as a table."""
+    of = components(links)
+    roots = saved(of.select(F.col("node").alias("n"), "root"))
+    placed = shared.join(roots, F.col("node") == F.col("n"), "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
+    found = saved(placed.join(mixed, "band"))
+    for done in (of, roots):
+        drop_saved(done)
+    return found
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, component_id, original and the columns to keep of every row, over links between texts whose word shingles are that similar.
 
@@ -224,8 +239,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     the copies with some edits: at 0.8 about ten bits differ. So candidates are texts that share a band: ``ROWS`` least
     hashes of their shingles, as two of a similarity s do with s ** ROWS for each of ``BANDS`` bands; at 0.8 one of 2,800
     pairs shares none. Candidates are verified by their shingles. Each text of a band is held against the band's
-    smallest, then against those of the band that are not connected to it yet, so that a large group makes links in
-    proportion to its size. Texts with the same shingles are one node.
+    smallest; where that does not connect a band, against some more of it, drawn by hash, in rounds; only texts that are
+    apart even then are held against all others of their band, so that a large group makes links in proportion to its
+    size and no link is lost. Texts with the same shingles are one node.
 
     ``original`` is true for one row of each group, that with the smallest doc_id, null last; of several such rows one.
     Rows are told apart by themselves, not by ids: ids may be null or repeat. Null and empty texts have no shingles and
@@ -270,20 +286,32 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     firsts = nodes.join(wanted, "node", "left_semi").select(F.col("first.row").alias("row"))
     sets = saved(prints.join(firsts, "row", "left_semi").select("node", "whole").mapInArrow(shingles, "node long, shingles binary"))
     direct = saved(similar(shared.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), sets, similarity))
-    roots = saved(components(direct).select(F.col("node").alias("n"), "root"))
-    placed = shared.join(roots, F.col("node") == F.col("n"), "left").select("band", "node", "head", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    apart = saved(placed.join(mixed, "band").where("node != head"))  # the head has met all of them
+    # bands whose nodes are not yet connected: all are held against some nodes more, which is linear in a band's size
+    links, used = direct, [direct]
+    for heads_more in HEADS:
+        apart = unconnected(shared, links)
+        mine = F.pmod(F.hash("node"), F.lit(PARCELS))
+        lots = [F.min(F.struct(F.xxhash64("node", "band", F.lit(k)).alias("lot"), F.col("node").alias("b"), F.col("root").alias("root_b"))) for k in range(heads_more)]
+        chosen = apart.groupBy("band").agg(*(x.alias(f"h{k}") for k, x in enumerate(lots)))
+        each = chosen.select("band", F.explode(F.array(*(f"h{k}" for k in range(heads_more)))).alias("h")).withColumn("parcel", F.explode(F.sequence(F.lit(0), F.lit(PARCELS - 1))))
+        pairs = apart.withColumn("parcel", mine).join(each, ["band", "parcel"]).where("root != h.root_b")
+        few = pairs.select(F.greatest("node", "h.b").alias("a"), F.least("node", "h.b").alias("b")).distinct()
+        new = saved(links.union(similar(few, sets, similarity)))
+        used += [apart, new]
+        links = new
+    # what is apart still is held against all of the other components, so that no link is lost
+    apart = unconnected(shared, links)
     a, b = (apart.select("band", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
     rest = a.join(b, "band").where("root_a < root_b").select("a", "b").distinct()
-    links = saved(direct.union(similar(rest, sets, similarity)))
+    links = saved(links.union(similar(rest, sets, similarity)))
+    used += [apart, links]
     first_of = lambda x: nodes.select(F.col("node").alias(x), F.struct("first", "node").alias(f"{x}_node"))
     named = links.join(first_of("a"), "a").join(first_of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     of = components(named)  # nodes by their first rows: a component's smallest node names its first row
     own = nodes.select(F.struct("first", "node").alias("own"), "node").join(of.withColumnRenamed("node", "linked"), F.col("own") == F.col("linked"), "left")
     found = saved(own.select(F.col("node").alias("n"), F.coalesce("root.first", "own.first").alias("first")))
-    for used in (of, links, apart, roots, direct, sets, shared, nodes):
-        drop_saved(used)
+    for done in (*used, of, sets, shared, nodes):
+        drop_saved(done)
     whole = {"text": F.col("whole").alias("text")}  # a column to keep that is written already
     named = prints.drop("bands").join(found, F.col("node") == F.col("n"))
     component = F.when(F.col("first.id") != LAST, F.col("first.id")).alias("component_id")
