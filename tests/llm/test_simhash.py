@@ -142,3 +142,43 @@ def test_two_texts_with_one_id_are_not_linked_by_it(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "p q r s t u v"), (0, "p q r s t u v")], "doc_id long, text string")
     out = simhash.near_duplicates(docs).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(0, 0), (1, 0), (1, 1)]
+
+
+def test_fingerprints_meet_at_the_similarity():
+    """The share of pairs at 0.8 that a turn of near copies' fingerprints finds is as calculated."""
+    rng = np.random.default_rng(9)
+    seeds = rng.integers(1 << 63, size=simhash.PRINTS + 1, dtype=np.uint64)
+    met = np.zeros(simhash.TURNS)
+    for _ in range(200):
+        pool = rng.integers(1 << 63, size=200, dtype=np.uint64)
+        both = np.stack([simhash.sketch(pool[at], seeds) for at in (slice(0, 180), slice(20, 200))])  # 160 of 200 in common
+        found = [len(simhash.close(both[:, t // 2].copy(), both[:, simhash.PRINTS].copy(), bool(t % 2))[0]) > 0 for t in range(simhash.TURNS)]
+        assert any(found)
+        met += found
+    assert 0.11 < met.mean() / 200 < 0.16
+    apart = np.stack([simhash.sketch(rng.integers(1 << 63, size=200, dtype=np.uint64), seeds) for _ in range(300)])
+    assert not any(len(simhash.close(apart[:, t // 2].copy(), apart[:, simhash.PRINTS].copy(), bool(t % 2))[0]) for t in range(simhash.TURNS))
+
+
+def test_a_crowd_of_near_copies_and_a_common_passage_make_no_pairs_of_all(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    words = [f"w{i}" for i in range(5000)]
+    base, passage = list(rng.choice(words, 120)), list(rng.choice(words, 80))
+    texts = []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.choice(120, 1 + i % 4, replace=False):  # some are not near the base, but near some other
+            copy[at] = f"edit{i}"
+        texts += [copy, passage + list(rng.choice(words, 30))]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    a, b = np.triu_indices(len(texts), 1)
+    same = np.array([len(sets[i] & sets[j]) for i, j in zip(a, b, strict=True)])
+    size = np.array([len(x) for x in sets])
+    near = same >= 0.8 * (size[a] + size[b] - same) - 1e-9
+    root = simhash.forest(len(texts), a[near], b[near])
+    verified, similar = [], simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda pairs, *more: verified.append(pairs.count()) or similar(pairs, *more))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    assert [out[i] for i in range(len(texts))] == root.tolist()
+    assert sum(verified) < 10 * len(texts)
