@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +40,25 @@ def test_unseen_words_fall_back_to_their_parts(spark, texts):
     assert model.predict("日本") [0] in model.languages  # letters, but none that training has seen
 
 
+def test_counts_of_words_take_little_of_the_driver():
+    rng = np.random.default_rng(3)
+    names, languages = [f"w{i}" for i in range(20_000)], ["de", "en", "es", "fr"]
+    held = [sorted(rng.choice(languages, int(rng.integers(1, 5)), replace=False).tolist()) for _ in names]
+    by = [[{"lang": la, "n": 300 + i % 7 + k} for k, la in enumerate(some)] for i, some in enumerate(held)]
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))
+    found = pa.table({"word": names, "by": pa.chunked_array([pa.array(by[:9], kind), pa.array(by[9:], kind)])})
+    tracemalloc.start()
+    try:
+        words, scores = language._scores(found, "word", languages)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    counts = np.array([[next((x["n"] for x in some if x["lang"] == la), 0) for la in languages] for some in by])
+    logs = np.log((counts + 0.2) / (counts.sum(axis=0) + 0.2 * len(names)))
+    assert words == {w: i for i, w in enumerate(names)} and np.allclose(scores, logs - logs.mean(axis=1, keepdims=True), atol=1e-6)
+    assert peak < 400 * len(names)  # bytes; with a dict for each word and language about twice that and more
+
+
 def test_language_without_training_rows(spark):
     none = spark.createDataFrame([(1, "ka lo", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in language.identify(none, language.fit(none)).collect()] == [(1, "und", 0.0)]

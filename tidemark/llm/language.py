@@ -15,6 +15,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,16 +107,20 @@ class LanguageModel:
         return self.languages[best], float(spread[best] / spread.sum())
 
 
+def _entries(found: pa.Table) -> list[pa.Array]:
+    """All languages and counts of the lists as two columns: as dicts they take some hundred bytes each, which the driver hasn't."""
+    return found["by"].combine_chunks().flatten().flatten()
+
+
 def _scores(found: pa.Table, key: str, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Log frequencies less their mean over the languages, so that what tells nothing scores 0; ``found`` has a list of (language, count) for each key."""
     names = found[key].to_pylist()
     if not names or not languages:
         return {}, np.zeros((0, len(languages)), np.float32)
-    column = {name: i for i, name in enumerate(languages)}
+    lang, n = _entries(found)
+    rows = np.repeat(np.arange(len(names)), pc.list_value_length(found["by"]).to_numpy())
     counts = np.zeros((len(names), len(languages)))
-    for i, by in enumerate(found["by"].to_pylist()):
-        for x in by:
-            counts[i, column[x["lang"]]] += x["n"]
+    np.add.at(counts, (rows, pc.index_in(lang, pa.array(languages, lang.type)).to_numpy()), n.to_numpy())
     logs = np.log((counts + 0.2) / (counts.sum(axis=0) + 0.2 * len(names)))
     return {name: i for i, name in enumerate(names)}, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
@@ -162,7 +167,7 @@ def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WO
     words = frequent(counted, "word", max_words)
     pieces = frequent(counted.mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", max_grams)
     drop_saved(counted)
-    languages = sorted({x["lang"] for by in words["by"].to_pylist() for x in by}) if share else []
+    languages = sorted(_entries(words)[0].unique().to_pylist()) if share else []
     return LanguageModel(languages, *_scores(words, "word", languages), *_scores(pieces, "gram", languages))
 
 
