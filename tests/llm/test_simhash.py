@@ -3,6 +3,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
+from tidemark.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -182,3 +183,22 @@ def test_a_crowd_of_near_copies_and_a_common_passage_make_no_pairs_of_all(spark,
     out = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
     assert [out[i] for i in range(len(texts))] == root.tolist()
     assert sum(verified) < 10 * len(texts)
+
+
+def test_few_links_are_connected_in_few_jobs(spark):
+    """What rounds of stars give, links back and forth, repeated ones and self-links included, without their jobs."""
+    rng = np.random.default_rng(5)
+    path = [(i, i + 1) for i in range(40)]
+    chance = [(int(a), int(b)) for a, b in rng.integers(-(1 << 62), 1 << 62, 30)[rng.integers(0, 30, (20, 2))]]
+    links = spark.createDataFrame(path + [(b, a) for a, b in path[:5]] + path[-3:] + [(7, 7), (99, 99)] + chance, "a long, b long")
+    context = spark.sparkContext
+    found, jobs = {}, {}
+    for name, connect in (("one", simhash.connect), ("stars", components), ("many", lambda x: simhash.connect(x, few=10))):
+        context.setJobGroup(name, name)
+        found[name] = sorted((r["node"], r["root"]) for r in connect(links).collect())
+        jobs[name] = len(context.statusTracker().getJobIdsForGroup(name))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert found["one"] == found["stars"] == found["many"]
+    assert [(i, 0) for i in range(1, 41)] == [x for x in found["one"] if 0 < x[0] <= 40 and x[1] == 0]
+    assert jobs["one"] <= 8 < jobs["stars"] < jobs["many"]
+    assert simhash.connect(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0

@@ -44,6 +44,8 @@ APART = 30
 CROWD = 32
 #: Heads of a shingle in the last round that has some.
 HEADS = 64
+#: Links, of 16 bytes each, that one task connects.
+FEW = 1 << 18
 
 
 def shingle_hashes(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
@@ -286,9 +288,30 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def connect(links: DataFrame, few: int = FEW) -> DataFrame:
+    """node, root of each node but roots, as ``components`` gives them, of links a, b of numbers.
+
+    Up to ``few`` links, repeated ones counted once, go to one task: rounds of stars are some thirty stages, whose tasks
+    and plans the driver keeps track of, and near copies are connected again and again. More links take the rounds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = (np.concatenate(x) for x in zip(*((c.to_numpy() for c in batch.columns) for batch in batches), strict=True))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = forest(len(nodes), at[: len(a)], at[len(a) :])
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["node", "root"])
+
+    once = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    n = once.count()
+    roots = saved(once.coalesce(1).mapInArrow(run, "node long, root long")) if 0 < n <= few else components(once)
+    drop_saved(once)
+    return roots
+
+
 def rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """The nodes, whatever their columns, with the root that links give each."""
-    roots = components(links)
+    roots = connect(links)
     found = saved(nodes.join(roots.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").drop("n").withColumn("root", F.coalesce("root", "node")))
     drop_saved(roots)
     return found
@@ -395,7 +418,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("row"))).alias("first")
     nodes = saved(prints.groupBy("node").agg(first))
     each = saved(prints.join(nodes.select(F.col("first.row").alias("row")), "row", "left_semi").select("node", "prints"))
-    met = components(candidates(each, min(SHARED, (nodes.count() // (8 * BUCKET)).bit_length())))
+    met = connect(candidates(each, min(SHARED, (nodes.count() // (8 * BUCKET)).bit_length())))
     members = saved(met.select("node", F.col("root").alias("cluster")).union(met.select("root", "root").distinct()))
     # one text of each such node, by its first row; shingles take more room than texts, so only these are written
     firsts = nodes.join(members, "node", "left_semi").select(F.col("first.row").alias("row"))
