@@ -133,7 +133,7 @@ def folded_tokens(rows: DataFrame, column: str, out: str) -> DataFrame:
     word = re.compile(r"[^\W_]+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in dom.slices(whole, whole.schema.get_field_index(column), rows=1024)):
             made = [word.findall(unicodedata.normalize("NFKC", t or "").casefold()) for t in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.string()))], [*batch.schema.names, out])
 
