@@ -88,7 +88,7 @@ def extract(pages: DataFrame, scorer: dom.Scorer | None = None, missing: tuple[f
     shared = typed.sparkSession.sparkContext.broadcast(scorer)  # a scorer's weights are some thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in dom.slices(whole, 2)):
             errors, found = [], []
             for html in batch.column(2).to_pylist():
                 error, fields = "too_large" if html is not None and len(html.encode("utf-8", "surrogatepass")) > MAX_BYTES else None, dict.fromkeys(dom.FIELDS)
