@@ -254,3 +254,28 @@ def test_split_counts_and_scores_by_scope(spark):
     made = spark.createDataFrame([("train", "t", "x", 1.0, True), ("test", "t", None, 0.0, False), ("test", "t", "", 1.0, True)], "split string, field string, gold string, f1 double, exact boolean")
     got = {r["scope"]: (r["n"], r["accuracy"], r["specificity"]) for r in evaluation.benchmark_scores(made).collect()}
     assert got == {"all": (3, 2 / 3, 0.5), "nontrain": (2, 0.5, 0.5), "test": (2, 0.5, 0.5)}
+
+
+def test_storing_an_index_shuffles_texts_and_not_their_postings(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [(i % 90, " ".join(f"w{rng.randrange(300)}" for _ in range(200)), "t t u") for i in range(100)] + [(None, "a b", ""), (None, "a c", None), (7, "_", "Z")]
+    docs = spark.createDataFrame(texts, "doc_id long, content string, title string")
+    fields = {"content": F.col("content"), "title": F.col("title")}
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.ArrayList()
+
+    def moved():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = moved()
+    R.store(docs, fields, f"file://{tmp_path}/index")
+    assert sum(n for k, n in moved().items() if k not in before) < 5 * len(texts)
+    stored, made = R.opened(spark, f"file://{tmp_path}/index"), R.index(docs, fields)
+    for name, columns in (("postings", ("token", "field", "doc_id", "tf", "length")), ("stats", ("field", "n", "mean"))):
+        a, b = (getattr(x, name).select(*columns) for x in (stored, made))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.dtypes == b.dtypes
+    unique = docs.where("doc_id > 20 and doc_id < 80")
+    R.store(unique, fields, f"file://{tmp_path}/unique")
+    assert sorted(map(str, R.opened(spark, f"file://{tmp_path}/unique").postings.drop("bucket").collect())) == sorted(map(str, R.index(unique, fields).postings.select("token", "field", "doc_id", "length", "tf").collect()))

@@ -27,6 +27,8 @@ WIDE = 5
 MODES = ("keyword", "semantic", "hybrid")
 #: Buckets of a stored index.
 BUCKETS = 64
+#: Bytes of text whose postings a task of ``store`` sorts and writes, and those from which small tables are cut for more cores.
+PART_BYTES, LEAST_BYTES = 32 << 20, 4 << 20
 
 
 @dataclass
@@ -92,15 +94,36 @@ def bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(token, 1, 2)), F.lit(BUCKETS)).cast("int")
 
 
+def counted(flat: DataFrame) -> DataFrame:
+    """Postings of texts' words, counted inside each text: as runs of its sorted words, so that nothing is shuffled or kept."""
+    words = flat.where(F.size("words") > 0).select("doc_id", "field", F.size("words").alias("length"), F.sort_array("words").alias("w"))
+    begins = F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: (i == 1) | (F.element_at("w", i) != F.element_at("w", F.greatest(i - 1, F.lit(1)))))
+    runs = words.select("*", begins.alias("at"))
+    each = F.transform("at", lambda i, k: F.struct(F.element_at("w", i).alias("token"), (F.coalesce(F.get("at", k + 1), F.col("length") + 1) - i).cast("long").alias("tf")))
+    return runs.select("doc_id", "field", "length", F.explode(each).alias("c")).select("c.token", "field", "doc_id", "length", "c.tf")
+
+
 def store(docs: DataFrame, fields: dict[str, Column], path: str) -> None:
-    """Write an index unless there is one. A frequent token's postings are cut by document, so that no task has all."""
+    """Write an index unless there is one.
+
+    Texts are dealt out in parts of bounded size, and each part's postings are sorted and written by the task that has its
+    texts. So texts are shuffled, not their postings, and a part of a bucket is a file, however frequent a token is.
+    """
     spark = docs.sparkSession
     if exists(spark, f"{path}/stats/_SUCCESS"):
         return
-    made = index(docs, fields)
-    keyed = made.postings.withColumn("bucket", bucket(F.col("token"))).repartitionByRange("bucket", "token", "doc_id").sortWithinPartitions("bucket", "token", "doc_id")
-    keyed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    made.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    texts = docs.select("doc_id", *(c.alias(n) for n, c in fields.items()))
+    size = sum((F.coalesce(F.octet_length(F.col(n)), F.lit(0)).cast("long") for n in fields), F.lit(0))
+    each = texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    rows, whole, most = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.max("n")).first()
+    parts = max(1, -(-whole // PART_BYTES), min(spark.sparkContext.defaultParallelism, -(-whole // LEAST_BYTES)))
+    made = counted(_fields(texts.repartition(parts, "doc_id", *fields), {n: F.col(n) for n in fields}))
+    if most and most > 1:  # rows with one id and as many words are one document's, as in an index that is not stored
+        made = made.groupBy("token", "field", "doc_id", "length").agg(F.sum("tf").alias("tf"))
+    made.withColumn("bucket", bucket(F.col("token"))).sortWithinPartitions("bucket", "token", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    words = {r["field"]: r["words"] for r in spark.read.parquet(f"{path}/postings").groupBy("field").agg(F.sum("tf").alias("words")).collect()} if whole else {}
+    stats = [(n, rows, words.get(n, 0) / rows) for n in fields if rows]
+    spark.createDataFrame(stats, "field string, n long, mean double").write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def opened(spark: SparkSession, path: str) -> Index:
