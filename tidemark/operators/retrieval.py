@@ -1,8 +1,8 @@
 """Keyword, semantic, hybrid and late-interaction search.
 
 An index is two tables: postings (token, field, doc_id, tf, length of the field) and statistics of the fields. It can be
-written once: postings then lie in buckets by their tokens' first two characters and sorted by token, so that a query
-reads the few parts that have its words, a prefix too. Without a stored index a query counts its own words only, before
+written once: postings then lie in buckets by their tokens' first two characters, so that a query reads the few parts
+that have its words, a prefix too. Without a stored index a query counts its own words only, before
 anything is shuffled. BM25 has k1 = 1.2 and b = 0.75; fields add up by their weights. Ids are ranked first, and only the
 winners are joined back to their texts.
 """
@@ -27,7 +27,7 @@ WIDE = 5
 MODES = ("keyword", "semantic", "hybrid")
 #: Buckets of a stored index.
 BUCKETS = 64
-#: Bytes of text whose postings a task of ``store`` sorts and writes, and those from which small tables are cut for more cores.
+#: Bytes of text whose postings a task of ``store`` writes, and those from which small tables are cut for more cores.
 PART_BYTES, LEAST_BYTES = 32 << 20, 4 << 20
 
 
@@ -106,7 +106,7 @@ def counted(flat: DataFrame) -> DataFrame:
 def store(docs: DataFrame, fields: dict[str, Column], path: str) -> None:
     """Write an index unless there is one.
 
-    Texts are dealt out in parts of bounded size, and each part's postings are sorted and written by the task that has its
+    Texts are dealt out in parts of bounded size, and each part's postings are put in buckets and written by the task that has its
     texts. So texts are shuffled, not their postings, and a part of a bucket is a file, however frequent a token is.
     """
     spark = docs.sparkSession
@@ -120,7 +120,7 @@ def store(docs: DataFrame, fields: dict[str, Column], path: str) -> None:
     made = counted(_fields(texts.repartition(parts, "doc_id", *fields), {n: F.col(n) for n in fields}))
     if most and most > 1:  # rows with one id and as many words are one document's, as in an index that is not stored
         made = made.groupBy("token", "field", "doc_id", "length").agg(F.sum("tf").alias("tf"))
-    made.withColumn("bucket", bucket(F.col("token"))).sortWithinPartitions("bucket", "token", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    made.withColumn("bucket", bucket(F.col("token"))).sortWithinPartitions("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     words = {r["field"]: r["words"] for r in spark.read.parquet(f"{path}/postings").groupBy("field").agg(F.sum("tf").alias("words")).collect()} if whole else {}
     stats = [(n, rows, words.get(n, 0) / rows) for n in fields if rows]
     spark.createDataFrame(stats, "field string, n long, mean double").write.mode("overwrite").parquet(f"{path}/stats")
