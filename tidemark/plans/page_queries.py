@@ -185,7 +185,7 @@ def author_boundary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def local_candidates(spark: SparkSession, d: str) -> DataFrame:
-    nodes = dom.nodes_of(pages(spark, d))
+    nodes = dom.nodes_of(pages(spark, d), text=False)
     found = extraction.local_candidates(nodes, nodes.where("tag = 'h1'").select("page_id", "node_id"))
     return found.groupBy("page_id").agg(F.count("*").alias("n"), F.max("distance").alias("furthest"))
 
@@ -193,11 +193,11 @@ def local_candidates(spark: SparkSession, d: str) -> DataFrame:
 def byline_rescue(spark: SparkSession, d: str) -> DataFrame:
     """Pages marked with an author whose name is in their heading: the heading is the byline's tightest node."""
     named = pages(spark, d).select("page_id", F.regexp_replace("html", "<h1>", "<h1>Ada Lovelace ").alias("html"))
-    nodes = dom.nodes_of(named)
+    nodes, bare = dom.nodes_of(named), dom.nodes_of(named, text=False)
     names = named.select("page_id", F.array(F.lit("Ada Lovelace")).alias("names"))
-    chosen = nodes.where("tag = 'article'").select("page_id", "node_id")
+    chosen = bare.where("tag = 'article'").select("page_id", "node_id")
     found = extraction.rescue_byline(nodes, names, chosen)
-    return found.join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).groupBy("tag").agg(F.count("*").alias("n"))
+    return found.join(bare.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def attribute_tokens(spark: SparkSession, d: str) -> DataFrame:
