@@ -279,3 +279,33 @@ def test_storing_an_index_shuffles_texts_and_not_their_postings(spark, tmp_path)
     unique = docs.where("doc_id > 20 and doc_id < 80")
     R.store(unique, fields, f"file://{tmp_path}/unique")
     assert sorted(map(str, R.opened(spark, f"file://{tmp_path}/unique").postings.drop("bucket").collect())) == sorted(map(str, R.index(unique, fields).postings.select("token", "field", "doc_id", "length", "tf").collect()))
+
+
+def test_the_stream_sends_timers_only_if_a_lease_changes():
+    from pyspark.sql import Row
+
+    from tidemark.streaming.stage_queue import Runs
+
+    class Handle:
+        def __init__(self):
+            self.value, self.calls = None, []
+            self.getValueState = lambda name, schema: self
+            self.get, self.exists = lambda: self.value, lambda: self.value is not None
+            self.registerTimer, self.deleteTimer = lambda t: self.calls.append(("set", t)), lambda t: self.calls.append(("delete", t))
+            self.listTimers = lambda: self.calls.append("list") or []
+
+        def update(self, value):
+            self.value = value
+
+    def send(*events):
+        handle.calls.clear()
+        rows = [Row(op=op, ts_ms=ts, kind=None, error_code=None, delay_ms=None, token=None) for ts, op in events]
+        return [(r.state, r.version) for r in runs.handleInputRows(("k",), iter(rows), None)], list(handle.calls)
+
+    handle, runs = Handle(), Runs(60_000, 5)
+    runs.init(handle)
+    assert send((5, "heartbeat")) == ([], [])
+    assert send((11, "claim"), (10, "enqueue")) == ([("leased", 2)], [("set", 60_011)])
+    assert send((12, "enqueue")) == ([("leased", 3)], [])
+    assert send((20, "heartbeat")) == ([("running", 4)], [("delete", 60_011), ("set", 60_020)])
+    assert send((30, "complete")) == ([("succeeded", 5)], [("delete", 60_020)])

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,31 +29,33 @@ class Runs(StatefulProcessor):
         self.run = handle.getValueState("run", _STATE)
 
     def _load(self) -> tuple[Run, int]:
-        if not self.run.exists():
+        if (held := self.run.get()) is None:
             return Run(), 0
-        *fields, version = self.run.get()
+        *fields, version = held
         return Run(*fields), version
 
-    def _given(self, key, run: Run, version: int) -> Iterator[pd.DataFrame]:
+    def _given(self, key, run: Run, version: int, timers: list[int]) -> Iterator[Row]:
+        """``timers`` are those that stand; one that stays is left alone, since each call is a message to the JVM."""
         self.run.update((*run.row(key[0])[1:], run.token, version + 1))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if run.lease_ms:
+        for timer in timers:
+            if timer != run.lease_ms:
+                self.handle.deleteTimer(timer)
+        if run.lease_ms and run.lease_ms not in timers:
             self.handle.registerTimer(run.lease_ms)
         if run.state:
-            yield pd.DataFrame([(*run.row(key[0]), version + 1)], columns=_NAMES)
+            yield Row(*_NAMES)(*run.row(key[0]), version + 1)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         run, version = self._load()
-        for e in pd.concat(list(rows)).sort_values(["ts_ms", "op"], kind="stable").itertuples(index=False):
-            text = lambda v: None if v is None or pd.isna(v) else str(v)
-            run.apply(e.op, int(e.ts_ms), text(e.kind), text(e.error_code), 0 if pd.isna(e.delay_ms) else int(e.delay_ms), self.lease_ms, self.most, text(e.token))
-        yield from self._given(key, run, version)
+        timers = [run.lease_ms] if run.lease_ms else []  # a run has a timer while it has a lease
+        for e in sorted(rows, key=lambda e: (e.ts_ms, e.op is None, e.op or "")):
+            run.apply(e.op, e.ts_ms, e.kind, e.error_code, e.delay_ms or 0, self.lease_ms, self.most, e.token)
+        yield from self._given(key, run, version, timers)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         run, version = self._load()
         run.expire(expiredTimerInfo.getExpiryTimeInMs(), self.most)
-        yield from self._given(key, run, version)
+        yield from self._given(key, run, version, list(self.handle.listTimers()))
 
     def close(self) -> None:
         pass
@@ -66,7 +67,7 @@ def runs(events: DataFrame, lease_ms: int = LEASE_MS, max_attempts: int = MAX_AT
     ``late`` is how much later than others an event may come. Needs the RocksDB state store.
     """
     timed = events.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", late)
-    return timed.groupBy("run_key").transformWithStateInPandas(Runs(lease_ms, max_attempts), VERSIONED, "update", "eventTime")
+    return timed.groupBy("run_key").transformWithState(Runs(lease_ms, max_attempts), VERSIONED, "update", "eventTime")
 
 
 def latest(rows: DataFrame) -> DataFrame:
